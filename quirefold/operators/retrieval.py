@@ -8,6 +8,7 @@ batch, so a title may hold any share of the store. Only candidates are shuffled
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,37 @@ def embed_questions(questions: DataFrame, embedder) -> DataFrame:
     return questions.select("q_idx", embedder.embed(F.col("question")).alias("vector"))
 
 
-def title_question_pairs(titles: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every title with every question: the rows of the answer table.
+def question_blocks(questions: DataFrame) -> list[DataFrame]:
+    """The question table in parts of at most `QUESTION_BLOCK` dense `q_idx` values.
 
-    The question list is packed into one row and exploded next to each title, so the titles stay
-    where they are.
+    One part is what a task may hold in memory at a time. A list of any length comes out whole; a
+    list that a person wrote is one part.
     """
-    packed = questions.agg(F.array_sort(F.collect_list(F.struct("q_idx", "question"))).alias("q"))
-    return titles.select("title", F.explode(packed.scalar()).alias("q")).select("title", "q.q_idx", "q.question")
+    last = questions.agg(F.max("q_idx")).first()[0]
+    if last is None or last < QUESTION_BLOCK:
+        return [questions]
+    return [
+        questions.where(F.col("q_idx").between(start, start + QUESTION_BLOCK - 1))
+        for start in range(0, last + 1, QUESTION_BLOCK)
+    ]
+
+
+def beside_each(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """`rows` with a column `q` for every question, without a join.
+
+    Each part of the question list is packed into one constant and exploded in place, so the rows
+    are neither shuffled nor sorted.
+    """
+    parts = []
+    for block in question_blocks(questions):
+        packed = block.agg(F.collect_list(F.struct(*block.columns)).alias("q"))
+        parts.append(rows.withColumn("q", F.explode(packed.scalar())))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def title_question_pairs(titles: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every title with every question: the rows of the answer table."""
+    return beside_each(titles.select("title"), questions).select("title", "q.q_idx", "q.question")
 
 
 def adaptive_k(n: Column, exponent: float = 0.4, factor: float = 2.0, max_k: int = 20) -> Column:
@@ -43,21 +67,6 @@ def adaptive_k(n: Column, exponent: float = 0.4, factor: float = 2.0, max_k: int
     return F.least((F.pow(n.cast("double"), F.lit(exponent)) * factor).cast("int"), F.lit(max_k))
 
 
-def _question_blocks(vectors: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Question vectors in blocks of bounded size; a question list of any length comes out whole."""
-    count = vectors.select("q_idx").distinct().count()
-    if count <= QUESTION_BLOCK:
-        blocks = [vectors]
-    else:
-        numbered = vectors.withColumn("_block", F.floor(F.col("q_idx") / QUESTION_BLOCK))
-        last = numbered.agg(F.max("_block")).first()[0]
-        blocks = (numbered.where(F.col("_block") == b).drop("_block") for b in range(last + 1))
-    for block in blocks:
-        rows = block.select("q_idx", "vector").toPandas()
-        if len(rows):
-            yield rows["q_idx"].to_numpy(), np.array(rows["vector"].tolist(), dtype=float)
-
-
 def _unit_rows(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
@@ -95,23 +104,25 @@ def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int) -> DataF
     """Candidates by a matrix product per Arrow batch; the path for large stores and long vectors."""
     schema = "title string, q_idx int, id string, chunk string, distance double"
     narrow = store.select("title", "id", "chunk", "embedding")
-    result = None
-    for q_idx, matrix in _question_blocks(vectors):
-        part = narrow.mapInPandas(_batch_candidates(q_idx, matrix, max_k), schema)
-        result = part if result is None else result.unionByName(part)
-    return narrow.sparkSession.createDataFrame([], schema) if result is None else result
+    parts = []
+    for block in question_blocks(vectors):
+        rows = block.select("q_idx", "vector").toPandas()  # at most QUESTION_BLOCK rows
+        if len(rows):
+            matrix = np.array(rows["vector"].tolist(), dtype=float)
+            parts.append(narrow.mapInPandas(_batch_candidates(rows["q_idx"].to_numpy(), matrix, max_k), schema))
+    return reduce(DataFrame.unionByName, parts or [narrow.sparkSession.createDataFrame([], schema)])
 
 
 def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int) -> DataFrame:
     """Candidates by array expressions, one row per chunk and question, without Python workers.
 
     The rank filter that follows becomes a group limit before the shuffle, so only the best rows of
-    each task travel. Meant for short question lists: the list is packed into one row.
+    each task travel. For short question lists and short vectors.
     """
-    packed = vectors.agg(F.collect_list(F.struct("q_idx", "vector")).alias("q"))
-    pairs = store.where(F.col("embedding").isNotNull()).select(
-        "title", "id", "chunk", as_double(F.col("embedding")).alias("v"), F.explode(packed.scalar()).alias("q")
+    stored = store.where(F.col("embedding").isNotNull()).select(
+        "title", "id", "chunk", as_double(F.col("embedding")).alias("v")
     )
+    pairs = beside_each(stored, vectors.select("q_idx", "vector"))
     distance = round_to(cosine_distance(F.col("v"), as_double(F.col("q.vector"))), DISTANCE_DIGITS)
     return pairs.select("title", "q.q_idx", "id", "chunk", distance.alias("distance"))
 
@@ -128,6 +139,7 @@ def lsh_candidates(
 
     On unit vectors the squared euclidean distance is twice the cosine distance. A pair that meets in
     several hash tables is kept only in the first of them, which needs no shuffle to remove repeats.
+    The hashed questions are broadcast one block at a time, which bounds their size.
     """
     lsh = BucketedRandomProjectionLSH(
         inputCol="_unit", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables, seed=seed
@@ -146,11 +158,18 @@ def lsh_candidates(
     left = hashed(stored, "s").select(
         "title", "id", "chunk", "embedding", "s_hashes", F.posexplode("s_hashes").alias("table", "bucket")
     )
-    right = hashed(vectors.withColumn("_unit", unit("vector")), "q").select(
-        "q_idx", "vector", "q_hashes", F.posexplode("q_hashes").alias("table", "bucket")
-    )
     same = F.zip_with("s_hashes", "q_hashes", lambda a, b: a == b)
-    met = left.join(right, ["table", "bucket"]).where(F.array_position(same, True) == F.col("table") + 1)
+    parts = []
+    for block in question_blocks(vectors):
+        right = hashed(block.withColumn("_unit", unit("vector")), "q").select(
+            "q_idx", "vector", "q_hashes", F.posexplode("q_hashes").alias("table", "bucket")
+        )
+        parts.append(
+            left.join(F.broadcast(right), ["table", "bucket"]).where(
+                F.array_position(same, True) == F.col("table") + 1
+            )
+        )
+    met = reduce(DataFrame.unionByName, parts)
     distance = round_to(
         cosine_distance(as_double(F.col("embedding")), as_double(F.col("vector"))), DISTANCE_DIGITS
     )

@@ -5,10 +5,11 @@ Every read has an explicit schema, so a title that looks like a number stays a s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirefold import schemas
 from quirefold.operators.cleaning import title_of
+from quirefold.operators.ordering import dense_index
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -65,29 +66,34 @@ def read_embedded_chunks(spark: SparkSession, path: str, fmt: str = "json") -> D
 def questions_of(table: DataFrame, order_by: str) -> DataFrame:
     """Question list from a template: the second column by position, in the order of `order_by`.
 
-    Empty questions are dropped before they are numbered. A question list is one sheet written by a
-    person, hence one ordered window.
+    `order_by` is a numeric column. Empty questions are dropped before they are numbered.
     """
-    text = table.columns[1]
-    order = Window.partitionBy(F.lit(0)).orderBy(order_by)
-    return (
-        table.where(F.col(f"`{text}`").isNotNull())
-        .select((F.row_number().over(order) - 1).alias("q_idx"), F.col(f"`{text}`").cast("string").alias("question"))
+    text = F.col(f"`{table.columns[1]}`")
+    asked = table.where(text.isNotNull()).select(
+        F.lit(0).alias("_sheet"), F.col(f"`{order_by}`").alias("_order"), text.cast("string").alias("question")
     )
+    return dense_index(asked, ["_sheet"], "_order", "q_idx").select(F.col("q_idx").cast("int"), "question")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question list from a CSV sheet with a header row; the first column numbers the questions."""
+    """Question list from a CSV sheet with a header row, in file order."""
     table = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    number = F.col(f"`{table.columns[0]}`").try_cast("double")
-    return questions_of(table.withColumn("_number", number), "_number")
+    # a multi-line CSV file is never split, so this id follows the rows of the sheet
+    return questions_of(table.withColumn("_row", F.monotonically_increasing_id()), "_row")
 
 
 def write_comparison(table: DataFrame, path: str, fmt: str = "csv") -> None:
     """The comparison table as one sheet; its rows are the questions of one list."""
     writer = table.coalesce(1).write.mode("overwrite")
     if fmt == "csv":
-        writer.csv(path, header=True, quoteAll=True, escape='"')
+        writer.csv(
+            path,
+            header=True,
+            quoteAll=True,
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     else:
         writer.format(fmt).save(path)
 

@@ -1,0 +1,69 @@
+"""Run registered queries next to their SQL and compare values.
+
+`python -m tests.compare [folder] [query ...]`
+"""
+
+from __future__ import annotations
+
+import sys
+import time
+
+import duckdb
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+def duck(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return con
+
+
+def canonical(table) -> list[tuple]:
+    """Rows with columns in name order, in a fixed row order."""
+    names = sorted(table.column_names)
+    columns = [table.column(n).to_pylist() for n in names]
+    return sorted(zip(*columns, strict=True), key=repr)
+
+
+def compare(spark, folder: str, name: str, fn, sql: str | None) -> tuple[bool, str]:
+    start = time.time()
+    left = fn(spark, folder).toArrow()
+    spent = f"{time.time() - start:.1f}s"
+    if sql is None:
+        return left.num_rows > 0, f"{left.num_rows} rows, no SQL, {spent}"
+    start = time.time()
+    right = duck(folder).sql(sql).to_arrow_table()
+    spent += f" sql {time.time() - start:.1f}s"
+    if sorted(left.column_names) != sorted(right.column_names):
+        return False, f"columns {left.column_names} / {right.column_names}"
+    types = [
+        (n, str(left.schema.field(n).type), str(right.schema.field(n).type))
+        for n in left.column_names
+        if str(left.schema.field(n).type) != str(right.schema.field(n).type)
+    ]
+    a, b = canonical(left), canonical(right)
+    if a == b:
+        return left.num_rows > 0, f"{left.num_rows} rows, {spent} {types or ''}"
+    only_a, only_b = [r for r in a if r not in set(b)][:2], [r for r in b if r not in set(a)][:2]
+    return False, f"{len(a)} / {len(b)} rows, {spent}; spark only {only_a!s:.600}; sql only {only_b!s:.600}"
+
+
+if __name__ == "__main__":
+    import __spark_entry__ as contract
+    from quirefold.session import local_session
+
+    spark = local_session(8)
+    spark.sparkContext.setLogLevel("ERROR")
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(contract.queries())
+    failed = []
+    for name in names:
+        try:
+            ok, note = compare(spark, folder, name, contract.queries()[name], contract.oracle_sql().get(name))
+        except Exception as error:  # noqa: BLE001 - report and go on
+            ok, note = False, f"{type(error).__name__}: {str(error)[:700]}"
+        print("ok  " if ok else "FAIL", name, note, flush=True)
+        failed += [] if ok else [name]
+    print(len(names) - len(failed), "of", len(names), "ok; failed:", failed)
