@@ -111,6 +111,7 @@ def boilerplate_facts(
         .groupBy("doc", "_contacts")
         .agg(
             F.count("*").alias("n"),
+            F.sum(F.length("text")).alias("n_chars"),
             F.min(p0).alias("first"),
             F.max(p0).alias("last"),
             F.max(F.when(text.rlike(disclaimer_pattern), p0)).alias("disclaimer"),
@@ -121,6 +122,7 @@ def boilerplate_facts(
     has_contacts = F.col("_contacts").isNotNull()
     facts = by_text.groupBy("doc").agg(
         F.sum("n").alias("n_pages"),
+        F.sum("n_chars").alias("n_chars"),
         F.max_by(F.when(has_contacts, F.col("first")), F.when(has_contacts, F.col("last"))).alias("contacts"),
         F.max("disclaimer").alias("disclaimer"),
         F.max("toc_0").alias("toc_0"),
@@ -137,6 +139,7 @@ def boilerplate_facts(
         .select(
             "doc",
             "n_pages",
+            "n_chars",
             "contacts",
             "disclaimer",
             "n_left",

@@ -577,17 +577,27 @@ for name in ("comparison_table", "sink_comparison"):
 
 # --- the whole run: the same steps over cleaned pages and their own chunks --------------------------
 
+CLEANED_DOCS = {
+    "docs": (
+        ["toc"],
+        """SELECT replace(doc, '.pdf', '') AS title, '' AS zip_name,
+                  replace(strip_accents(coalesce(array_to_string(ps[start + 1 :], chr(10)), '')), 'ß', 'ss') AS text
+           FROM toc""",
+    ),
+}
+for name, rule in (("page_chunks", "percentile"), ("page_chunks_gradient", "gradient"), ("page_chunks_n", "n_chunks")):
+    oracle(
+        name,
+        [f"chunks_{rule}"],
+        f"SELECT title, CAST(chunk_idx AS INTEGER) AS chunk_idx, chunk FROM chunks_{rule}",
+        CLEANED_DOCS,
+    )
 oracle(
     "full_comparison",
     ["resolved"],
     "SELECT title, q_idx, response, source_chunks FROM resolved",
-    {
-        "docs": (
-            ["toc"],
-            """SELECT replace(doc, '.pdf', '') AS title, '' AS zip_name,
-                      replace(strip_accents(coalesce(array_to_string(ps[start + 1 :], chr(10)), '')), 'ß', 'ss') AS text
-               FROM toc""",
-        ),
+    CLEANED_DOCS
+    | {
         "label_store": (
             ["chunks_percentile"],
             """SELECT title, zip_name, chunk, chunk_idx, substr(sha256(title), 1, 16) || '-' ||

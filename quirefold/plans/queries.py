@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quirefold.functions import text as tx
 from quirefold.functions.embedders import HashEmbedder
 from quirefold.functions.vectors import l2_normalize, round_to
-from quirefold.operators import answering, chunking, cleaning, identity, ordering, retrieval, splitting
+from quirefold.operators import answering, chunking, cleaning, identity, longform, ordering, retrieval, splitting
 from quirefold.plans import tables
 from quirefold.plans.comparison import compare_documents
 from quirefold.session import scratch_path
@@ -294,6 +294,27 @@ _chunks("semantic_chunks_gradient", breakpoint_threshold_type="gradient")
 _chunks("semantic_chunks_n", number_of_chunks=4)
 
 
+def _chunks_of_pages(name: str, **options):
+    def run(spark, folder):
+        marked = cleaning.clean_pages(tables.document_pages(spark, folder))
+        cut = longform.semantic_chunk_pages(
+            longform.kept_pages(marked),
+            sentence_split_regex=tables.UNIT_REGEX,
+            max_words=tables.UNIT_WORDS,
+            block=16,
+            **options,
+        )
+        return chunking.drop_blank_chunks(cut)
+
+    run.__name__ = name
+    return query(run)
+
+
+_chunks_of_pages("page_chunks", breakpoint_threshold_amount=tables.PERCENTILE)
+_chunks_of_pages("page_chunks_gradient", breakpoint_threshold_type="gradient", breakpoint_threshold_amount=tables.PERCENTILE)
+_chunks_of_pages("page_chunks_n", number_of_chunks=4)
+
+
 @query
 def drop_blank_chunks(spark, folder):
     turns = tables.table(spark, folder, "conversations")
