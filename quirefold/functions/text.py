@@ -8,12 +8,13 @@ from pyspark.sql import Column, functions as F
 
 # The characters Python treats as line ends and as whitespace, as Java regex source.
 # Single characters below 256 and the guarded range keep the class at two tests per character.
-LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
+OTHER_LINE_END = r"\r\n?|[\x0b\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 SPACE_CHARS = (
     r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
 SPACE = f"[{SPACE_CHARS}]"
+NOT_ONE_BLANK = f" {SPACE}+|[{SPACE_CHARS.replace(' ', '')}]{SPACE}*"  # a run that is not a single blank
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 PARAGRAPH = "  \n"
 SENTENCE_END = f"(?<=[.?!]){SPACE}+"
@@ -28,8 +29,11 @@ ASCII_SPELLING = {
 
 def lines(text: Column) -> Column:
     """Lines of a page: every kind of line end splits, and a final line end adds no empty line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # all line ends become "\n" first: a one-character split needs no regex
+    ended = F.regexp_replace(text, OTHER_LINE_END, "\n")
+    return F.when(ended == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.regexp_replace(ended, "\n\\z", ""), "\n", -1)
+    )
 
 
 def line_lengths(text: Column) -> Column:
@@ -38,7 +42,7 @@ def line_lengths(text: Column) -> Column:
 
 def single_spaced(text: Column) -> Column:
     """The words of a text joined by single spaces."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, NOT_ONE_BLANK, " "))
 
 
 def _words_in(spaced: Column) -> Column:
@@ -52,11 +56,6 @@ def word_count(text: Column) -> Column:
     return _words_in(single_spaced(text))
 
 
-def has_more_words(text: Column, limit: int) -> Column:
-    """`word_count(text) > limit`, without counting texts that are too short to have that many."""
-    return (F.length(text) > 2 * limit) & (word_count(text) > limit)
-
-
 def is_not_blank(text: Column) -> Column:
     return text.rlike(NOT_SPACE)
 
@@ -66,14 +65,11 @@ def split_sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END, -1)
 
 
-def packed_parts(unit: Column, max_words: int) -> Column:
-    """Cut one oversized unit at sentence ends and pack the sentences greedily up to `max_words`.
-
-    A first sentence that is too long by itself leaves an empty part before it, and a sentence is
-    never cut further, however long. Words of packed parts are separated by single spaces.
-    """
-    spaced = F.transform(split_sentences(unit), single_spaced)
-    sentences = F.transform(spaced, lambda s: F.struct(s.alias("text"), _words_in(s).alias("n")))
+def _packed(spaced: Column, max_words: int) -> Column:
+    """Greedy packing of a single-spaced unit: its sentences are cut at blanks, and words count blanks."""
+    sentences = F.transform(
+        F.split(spaced, "(?<=[.?!]) ", -1), lambda s: F.struct(s.alias("text"), _words_in(s).alias("n"))
+    )
     empty = F.struct(
         F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n")
     )
@@ -93,14 +89,28 @@ def packed_parts(unit: Column, max_words: int) -> Column:
     return F.aggregate(sentences, empty, add, finish)
 
 
-def unit_array(text: Column, split_regex: str, max_words: int) -> Column:
-    """Paragraph units of a text, oversized ones packed; the array position is the unit index."""
-    return F.flatten(
+def packed_parts(unit: Column, max_words: int) -> Column:
+    """Parts of one unit: the unit itself, or if it has more than `max_words` words, its sentences
+    packed greedily up to that number.
+
+    A first sentence that is too long by itself leaves an empty part before it, and a sentence is
+    never cut further, however long. Words of packed parts are separated by single spaces.
+    """
+    # one-element transform: normalises the spaces once for counting and for packing
+    counted = F.element_at(
         F.transform(
-            F.split(text, split_regex, -1),
-            lambda u: F.when(has_more_words(u, max_words), packed_parts(u, max_words)).otherwise(F.array(u)),
-        )
+            F.array(single_spaced(unit)),
+            lambda s: F.when(_words_in(s) > max_words, _packed(s, max_words)).otherwise(F.array(unit)),
+        ),
+        1,
     )
+    # a text with n words has at least 2n - 1 characters: most units need no count
+    return F.when(F.length(unit) > 2 * max_words, counted).otherwise(F.array(unit))
+
+
+def unit_array(text: Column, split_regex: str, max_words: int) -> Column:
+    """Paragraph units of a text, oversized ones packed; the array position is the unit index."""
+    return F.flatten(F.transform(F.split(text, split_regex, -1), lambda u: packed_parts(u, max_words)))
 
 
 def _letter_table() -> tuple[str, str]:

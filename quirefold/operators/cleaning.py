@@ -27,37 +27,35 @@ def common_headers(pages: DataFrame, sample_pages: int = 5) -> DataFrame:
 
     The header ends at the first line whose length differs between the sampled pages. Without any
     difference inside the first sampled page there is no header. A sampled page that has fewer lines
-    counts as a difference.
+    counts as a difference. Only line lengths of the sampled pages are grouped, never texts.
     """
-    sample = F.when(
-        F.col("page_num").between(1, sample_pages),
-        F.struct("page_num", line_lengths(F.col("text")).alias("lengths")),
+    sampled = pages.where(F.col("page_num").between(1, sample_pages)).select(
+        "doc", "page_num", F.posexplode_outer(line_lengths(F.col("text"))).alias("i", "len")
     )
-    gathered = pages.groupBy("doc").agg(
-        F.max("page_num").alias("last_page"),
-        F.collect_list(sample).alias("samples"),  # nulls are left out: at most `sample_pages` entries
+    per_line = sampled.groupBy("doc", "i").agg(
+        F.count("*").alias("n"),
+        F.min("len").alias("lo"),
+        F.max("len").alias("hi"),
+        F.max(F.when(F.col("page_num") == 1, F.col("len"))).alias("first"),
     )
-    first = F.get(
-        F.transform(F.filter("samples", lambda s: s["page_num"] == 1), lambda s: s["lengths"]), F.lit(0)
+    per_doc = per_line.groupBy("doc").agg(
+        # each sampled page has one row at line 0, or one row without a line
+        F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n"))).alias("n_pages"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("first").isNotNull(), F.struct("i", "first", "lo", "hi", "n")))
+        ).alias("page_1"),
     )
-    positions = F.when(F.size("first") > 0, F.sequence(F.lit(0), F.size("first") - 1)).otherwise(
-        F.array().cast("array<int>")
+    differing = F.filter("page_1", lambda x: (x["lo"] != x["hi"]) | (x["n"] < F.col("n_pages")))
+    prefix = F.filter("page_1", lambda x: x["i"] < F.col("common_index"))
+    headers = per_doc.withColumn("common_index", F.coalesce(F.get(differing, F.lit(0))["i"], F.lit(0))).select(
+        "doc", "common_index", F.transform(prefix, lambda x: x["first"]).alias("common_lengths")
     )
-    differing = F.filter(
-        positions,
-        lambda i: F.exists("samples", lambda s: ~F.get(s["lengths"], i).eqNullSafe(F.get("first", i))),
-    )
-    return (
-        gathered.withColumn("first", first)
-        .withColumn("common_index", F.coalesce(F.get(differing, F.lit(0)), F.lit(0)))
-        .select(
-            "doc",
-            "last_page",
-            "common_index",
-            F.when(F.col("common_index") > 0, F.slice("first", F.lit(1), F.col("common_index")))
-            .otherwise(F.array().cast("array<int>"))
-            .alias("common_lengths"),
-        )
+    last = pages.groupBy("doc").agg(F.max("page_num").alias("last_page"))
+    return last.join(headers, "doc", "left").select(
+        "doc",
+        "last_page",
+        F.coalesce("common_index", F.lit(0)).alias("common_index"),
+        F.coalesce("common_lengths", F.array().cast("array<int>")).alias("common_lengths"),
     )
 
 

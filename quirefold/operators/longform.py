@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.functions.text import PARAGRAPH, ascii_fold, has_more_words, packed_parts
+from quirefold.functions.text import PARAGRAPH, ascii_fold, packed_parts
 from quirefold.operators.chunking import Breakpoints, gradient, join_units, neighbour_distances, window_vectors
 from quirefold.operators.ordering import BLOCK, attach_facts, block_of, running_total
 from quirefold.operators.splitting import MAX_WORDS
@@ -51,8 +51,7 @@ def page_paragraphs(
 
 def paragraph_units(paragraphs: DataFrame, max_words: int = MAX_WORDS, block: int = BLOCK) -> DataFrame:
     """`(title, idx, sentence)`: paragraphs, oversized ones packed, numbered through the document."""
-    text = F.col("paragraph")
-    parts = F.when(has_more_words(text, max_words), packed_parts(text, max_words)).otherwise(F.array(text))
+    parts = packed_parts(F.col("paragraph"), max_words)
     numbered = running_total(
         paragraphs.select("title", "par", parts.alias("parts")), ["title"], "par", F.size("parts"), "before", block
     )

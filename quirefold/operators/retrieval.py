@@ -7,6 +7,7 @@ batch, so a title may hold any share of the store. Only candidates are shuffled
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirefold.functions.vectors import as_double, cosine_distance, l2_normalize, round_to
+from quirefold.functions.vectors import dot, l2_normalize, round_to
 from quirefold.operators.identity import title_counts
 
 DISTANCE_DIGITS = 6
@@ -120,10 +121,10 @@ def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int) -> DataF
     each task travel. For short question lists and short vectors.
     """
     stored = store.where(F.col("embedding").isNotNull()).select(
-        "title", "id", "chunk", as_double(F.col("embedding")).alias("v")
+        "title", "id", "chunk", l2_normalize(F.col("embedding")).alias("v")
     )
-    pairs = beside_each(stored, vectors.select("q_idx", "vector"))
-    distance = round_to(cosine_distance(F.col("v"), as_double(F.col("q.vector"))), DISTANCE_DIGITS)
+    pairs = beside_each(stored, vectors.select("q_idx", l2_normalize(F.col("vector")).alias("vector")))
+    distance = round_to(1.0 - dot(F.col("v"), F.col("q.vector")), DISTANCE_DIGITS)
     return pairs.select("title", "q.q_idx", "id", "chunk", distance.alias("distance"))
 
 
@@ -131,49 +132,50 @@ def lsh_candidates(
     store: DataFrame,
     vectors: DataFrame,
     max_k: int,
-    bucket_length: float = 0.6,
-    tables: int = 8,
+    bucket_length: float | None = None,
+    tables: int = 10,
+    hashes: int = 4,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate candidates: random projection buckets on unit vectors, exact distance afterwards.
 
-    On unit vectors the squared euclidean distance is twice the cosine distance. A pair that meets in
-    several hash tables is kept only in the first of them, which needs no shuffle to remove repeats.
-    The hashed questions are broadcast one block at a time, which bounds their size.
+    On unit vectors the squared euclidean distance is twice the cosine distance. A chunk and a question
+    meet when all `hashes` buckets of one of the `tables` agree; the default bucket length is the width
+    that random projections of a unit vector spread over. A pair that meets in several tables is kept
+    only in the first of them, which needs no shuffle to remove repeats. The hashed questions are
+    broadcast one block at a time, which bounds their size.
     """
+    stored = store.where(F.col("embedding").isNotNull()).select(
+        "title", "id", "chunk", l2_normalize(F.col("embedding")).alias("v")
+    )
+    if bucket_length is None:
+        dim = stored.select(F.size("v")).first()
+        bucket_length = 2.0 / math.sqrt(dim[0] if dim else 1)
     lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="_unit", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables * hashes, seed=seed
     )
-
-    def unit(column: str) -> Column:
-        return array_to_vector(l2_normalize(F.col(column)))
-
-    stored = store.where(F.col("embedding").isNotNull()).withColumn("_unit", unit("embedding"))
+    stored = stored.withColumn("_unit", array_to_vector("v"))
     model = lsh.fit(stored)
 
-    def hashed(df: DataFrame, prefix: str) -> DataFrame:
-        hashes = F.array(*[F.get(vector_to_array(F.col("_hash")[i]), F.lit(0)).cast("long") for i in range(tables)])
-        return model.transform(df).withColumn(f"{prefix}_hashes", hashes)
+    def signed(df: DataFrame, name: str) -> DataFrame:
+        bucket = [F.get(vector_to_array(F.col("_hash")[i]), F.lit(0)) for i in range(tables * hashes)]
+        signatures = F.array(*[F.xxhash64(*bucket[t * hashes : (t + 1) * hashes]) for t in range(tables)])
+        return (
+            model.transform(df)
+            .withColumn(name, signatures)
+            .drop("_unit", "_hash")
+            .select("*", F.posexplode(name).alias("table", "signature"))
+        )
 
-    left = hashed(stored, "s").select(
-        "title", "id", "chunk", "embedding", "s_hashes", F.posexplode("s_hashes").alias("table", "bucket")
-    )
-    same = F.zip_with("s_hashes", "q_hashes", lambda a, b: a == b)
+    left = signed(stored, "s")
+    first_meeting = F.array_position(F.zip_with("s", "q", lambda a, b: a == b), True) == F.col("table") + 1
     parts = []
     for block in question_blocks(vectors):
-        right = hashed(block.withColumn("_unit", unit("vector")), "q").select(
-            "q_idx", "vector", "q_hashes", F.posexplode("q_hashes").alias("table", "bucket")
-        )
-        parts.append(
-            left.join(F.broadcast(right), ["table", "bucket"]).where(
-                F.array_position(same, True) == F.col("table") + 1
-            )
-        )
-    met = reduce(DataFrame.unionByName, parts)
-    distance = round_to(
-        cosine_distance(as_double(F.col("embedding")), as_double(F.col("vector"))), DISTANCE_DIGITS
-    )
-    return met.select("title", "q_idx", "id", "chunk", distance.alias("distance"))
+        asked = block.select("q_idx", l2_normalize(F.col("vector")).alias("qv")).withColumn("_unit", array_to_vector("qv"))
+        right = F.broadcast(signed(asked, "q"))
+        parts.append(left.join(right, ["table", "signature"]).where(first_meeting))
+    distance = round_to(1.0 - dot(F.col("v"), F.col("qv")), DISTANCE_DIGITS)
+    return reduce(DataFrame.unionByName, parts).select("title", "q_idx", "id", "chunk", distance.alias("distance"))
 
 
 METHODS = {"matrix": matrix_candidates, "native": native_candidates, "lsh": lsh_candidates}

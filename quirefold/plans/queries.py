@@ -301,7 +301,7 @@ def _chunks_of_pages(name: str, **options):
             longform.kept_pages(marked),
             sentence_split_regex=tables.UNIT_REGEX,
             max_words=tables.UNIT_WORDS,
-            block=16,
+            block=64,  # small, so that documents of the test tables span several blocks
             **options,
         )
         return chunking.drop_blank_chunks(cut)
