@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 # The characters Python treats as line ends and as whitespace, as Java regex source.
 # Single characters below 256 and the guarded range keep the class at two tests per character.
-OTHER_LINE_END = r"\r\n?|[\x0b\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+OTHER_LINE_END = f"\r\n|[{OTHER_LINE_ENDS}]"
 SPACE_CHARS = (
     r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
@@ -29,11 +32,11 @@ ASCII_SPELLING = {
 
 def lines(text: Column) -> Column:
     """Lines of a page: every kind of line end splits, and a final line end adds no empty line."""
-    # all line ends become "\n" first: a one-character split needs no regex
-    ended = F.regexp_replace(text, OTHER_LINE_END, "\n")
-    return F.when(ended == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(ended, "\n\\z", ""), "\n", -1)
-    )
+    # All line ends become "\n" first, and only where a byte search finds others: most texts need no regex.
+    has_others = reduce(or_, [F.contains(text, F.lit(end)) for end in OTHER_LINE_ENDS])
+    ended = F.when(has_others, F.regexp_replace(text, OTHER_LINE_END, "\n")).otherwise(text)
+    inner = F.when(F.endswith(ended, F.lit("\n")), F.left(ended, F.length(ended) - 1)).otherwise(ended)
+    return F.when(ended == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n", -1))
 
 
 def line_lengths(text: Column) -> Column:
