@@ -79,6 +79,7 @@ def strip_common_headers(pages: DataFrame, sample_pages: int = 5) -> DataFrame:
         "page_num",
         F.array_join(F.slice("_lines", cut + 1, F.size("_lines") + 1), "\n").alias("text"),
         "last_page",
+        "_block",
     )
 
 
@@ -159,7 +160,7 @@ def mark_boilerplate(body: DataFrame, **options) -> DataFrame:
     return (
         marked.withColumn("p1", p1)
         .withColumn("keep", F.coalesce((p1 >= F.col("start_page")) & (p1 < F.col("n_kept")), F.lit(False)))
-        .drop("_last")
+        .drop("_last", "_block")
     )
 
 

@@ -116,7 +116,9 @@ def semantic_chunk_pages(
     paragraphs = stage(page_paragraphs(stage(pages, "pages"), sentence_split_regex, block=block), "paragraphs")
     units = paragraph_units(paragraphs, max_words, block)
     measured = stage(block_distances(units, breakpoints, buffer_size, embedder, block), "measured")
-    rows = attach_facts(measured, document_thresholds(measured, breakpoints), "title", "idx", "last_idx", block)
+    rows = attach_facts(measured, document_thresholds(measured, breakpoints), "title", "idx", "last_idx", block).drop(
+        "_block"
+    )
     bypassed = (F.col("last_idx") < breakpoints.bypass_units) & (F.col("idx") < F.col("last_idx"))
     is_break = F.when(F.col("last_idx") < breakpoints.bypass_units, bypassed).otherwise(
         F.coalesce(F.col("metric") > F.col("threshold"), F.lit(False))

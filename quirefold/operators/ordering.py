@@ -14,7 +14,7 @@ BLOCK = 4096
 
 def block_of(position: str | Column, block: int = BLOCK) -> Column:
     position = F.col(position) if isinstance(position, str) else position
-    return F.floor(position / block).cast("long")
+    return F.call_function("div", position, F.lit(block))  # integral: exact for positions of any size
 
 
 def running_total(
@@ -62,6 +62,9 @@ def attach_facts(
 
     `last` is the fact column with the largest position of the group. Each fact row is repeated once
     per block, so ordinary groups are not repeated at all and no join key holds more than one block.
+    The result keeps `_block`: a second call on it finds its rows already partitioned by the join key.
     """
     spread = facts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), block_of(last, block))))
-    return rows.withColumn("_block", block_of(position, block)).join(spread, [key, "_block"]).drop("_block")
+    if "_block" not in rows.columns:
+        rows = rows.withColumn("_block", block_of(position, block))
+    return rows.join(spread, [key, "_block"])

@@ -193,14 +193,17 @@ def retrieve(
     """Hits `(title, q_idx, rank, id, chunk, distance)`: the adaptive top-k of each title.
 
     `store` has `title, id, chunk, embedding`; `vectors` has `q_idx, vector`. Ties go to the smaller id.
-    Two filters on purpose: the constant bound is what Spark can push in front of the shuffle.
+    Two filters on purpose: the constant bound is what Spark can push in front of the shuffle. The
+    per-title bound comes by (title, question), the key that the ranked rows are partitioned on, so
+    chunk texts are not shuffled again and a large title is no join hot spot.
     """
     candidates = METHODS[method](store, vectors, max_k)
     by_distance = Window.partitionBy("title", "q_idx").orderBy("distance", "id")
     best = candidates.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= max_k)
     k = title_counts(store) if counts is None else counts
     k = k.select("title", adaptive_k(F.col("n_chunks"), exponent, factor, max_k).alias("k"))
-    return best.join(k, "title").where(F.col("rank") <= F.col("k")).select(
+    k = beside_each(k, vectors.select("q_idx")).select("title", "q.q_idx", "k")
+    return best.join(k, ["title", "q_idx"]).where(F.col("rank") <= F.col("k")).select(
         "title", "q_idx", "rank", "id", "chunk", "distance"
     )
 
