@@ -115,6 +115,15 @@ def check_ingest(files: DataFrame, threshold: int = 20, allow_large: bool = Fals
         raise ValueError(f"a folder holds {threshold} PDFs or more; pass allow_large=True to go on")
 
 
+def check_unique_titles(pages: DataFrame) -> None:
+    """Refuse documents that would share a title: the part of their names before the first dot."""
+    names = pages.select("doc").distinct().select(title_of(F.col("doc")).alias("title"))
+    shared = names.groupBy("title").count().where("count > 1")
+    example = shared.first()
+    if example is not None:
+        raise ValueError(f"several documents have the title {example['title']!r}; rename them")
+
+
 def folder_up_to_date(source: DataFrame, processed: DataFrame) -> DataFrame:
     """Per source folder: whether the names after `.pdf` -> `.txt` equal the processed names as sets.
 

@@ -6,33 +6,24 @@ skip as a batch run, so a restart or a second stream adds nothing twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quirefold import schemas
-from quirefold.operators.identity import assign_ids
-from quirefold.sources import store as stores
+from quirefold.plans.comparison import add_documents
 
 
 def ingest_documents(
-    spark: SparkSession,
-    source: str,
-    store: str,
-    checkpoint: str,
-    to_chunks: Callable[[DataFrame], DataFrame],
-    embed: Callable[[DataFrame], DataFrame],
+    spark: SparkSession, source: str, store: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """Run through all new files `(title, zip_name, text)` in `source` and append their chunks to `store`.
 
-    `to_chunks` cuts documents into non-blank chunks, `embed` adds `embedding`. Titles must be unique
-    within the source. The query ends when the files present at the start are done.
+    `options` are those of `add_documents`. Titles must be unique within the source. The query ends
+    when the files present at the start are done.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = stores.skip_existing_titles(batch, batch.sparkSession.table(store))
-        stores.append_new(embed(assign_ids(to_chunks(fresh), row_groups=True)), store)
+        add_documents(batch, store, **options)
 
     documents = spark.readStream.schema(schemas.DOCS).parquet(source)
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirefold import schemas
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.operators import answering, chunking, identity, retrieval
+from quirefold.operators import answering, identity, retrieval
 from quirefold.plans import comparison
 from quirefold.sources import files, store as stores
 from quirefold.streaming.ingest import ingest_documents
@@ -232,17 +232,31 @@ def test_whole_run_and_its_page_form_agree(spark):
     assert all((r["source_chunks"] == "Source Chunks: None") == (r["title"] == "empty") for r in merged)
 
 
+def test_shared_titles_are_refused(spark):
+    pages = spark.createDataFrame([("a.v1.pdf", 0, "c"), ("a.v2.pdf", 0, "c")], schemas.PAGES)
+    with pytest.raises(ValueError, match="'a'"):
+        files.check_unique_titles(pages)
+
+
+def test_stored_documents_answer_questions(spark, tmp_path):
+    stores.get_or_create(spark, "asked", str(tmp_path / "store"))
+    docs = spark.createDataFrame([("a", "z", "red fox\nruns far"), ("b", "z", "blue sea\n\nis deep")], schemas.DOCS)
+    assert comparison.add_documents(docs, "asked", split_regex="\n") == 2
+    assert comparison.add_documents(docs, "asked", split_regex="\n") == 0
+    questions = spark.createDataFrame([(0, "fox")], schemas.QUESTIONS)
+    answers = comparison.ask(spark.table("asked"), docs.select("title"), questions)
+    got = {r["title"]: r["source_chunks"] for r in answers.collect()}
+    assert got == {"a": "red fox runs far", "b": "blue sea  is deep"}
+    spark.sql("DROP TABLE asked")
+
+
 def test_stream_ingests_new_files_once(spark, tmp_path):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
     stores.get_or_create(spark, "streamed", str(tmp_path / "store"))
-    embedder = HashEmbedder(8)
 
     def run():
-        ingest_documents(
-            spark, source, "streamed", checkpoint,
-            lambda docs: chunking.drop_blank_chunks(chunking.semantic_chunk(docs, sentence_split_regex="\n")),
-            lambda chunks: chunks.withColumn("embedding", embedder.embed(F.col("chunk"))),
-        ).awaitTermination()
+        options = {"split_regex": "\n", "embedder": HashEmbedder(8)}
+        ingest_documents(spark, source, "streamed", checkpoint, **options).awaitTermination()
         return sorted(r["title"] for r in spark.table("streamed").select("title").distinct().collect())
 
     spark.createDataFrame([("a", "z", "x\ny"), ("b", "z", "u")], schemas.DOCS).write.parquet(source)
