@@ -100,9 +100,7 @@ def questions_second_column(spark, folder):
 def sink_comparison(spark, folder):
     path = scratch_path(spark, "comparison")
     files.write_comparison(comparison_table(spark, folder), path)
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn(
-        "q_idx", F.col("q_idx").cast("int")
-    )
+    return files.read_comparison(spark, path)
 
 
 @query

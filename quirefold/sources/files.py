@@ -98,6 +98,12 @@ def write_comparison(table: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
+def read_comparison(spark: SparkSession, path: str) -> DataFrame:
+    """A written CSV sheet; empty answers stay empty texts."""
+    sheet = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\0")
+    return sheet.withColumn("q_idx", F.col("q_idx").cast("int"))
+
+
 def pdf_names(files: DataFrame) -> DataFrame:
     """Files that are processed: the extension is matched case-sensitively."""
     return files.where(F.col("name").endswith(".pdf"))
