@@ -134,7 +134,7 @@ def lsh_candidates(
     max_k: int,
     bucket_length: float | None = None,
     tables: int = 10,
-    hashes: int = 4,
+    hashes: int = 3,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate candidates: random projection buckets on unit vectors, exact distance afterwards.
