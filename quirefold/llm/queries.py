@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm.common import table
+from quirefold.llm.common import held_out, remainder, table
 from quirefold.llm.decontamination import find_contamination
+from quirefold.llm.langid import fit_languages, identify_languages
 from quirefold.llm.line_dedup import dedup_lines
+from quirefold.llm.lm_score import score_texts
 from quirefold.llm.packing import pack_documents
+from quirefold.llm.quality import score_quality
 from quirefold.llm.simhash import simhash_groups
+from quirefold.llm.toxicity import score_toxicity
 from quirefold.llm.url_filter import judge_urls
 
 # Fixed values of the contract: verdict, host, path.
@@ -30,6 +34,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def _predicted() -> Column:
+    return (F.col("score") >= 0.3).cast("int").alias("predicted")
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_quality(documents(spark, folder), table(spark, folder, "labels"), remainder(5) != 0)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", _predicted())
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
@@ -39,6 +52,24 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    judged = identify_languages(docs, fit_languages(docs, remainder(5) != 0))
+    return judged.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_texts(documents(spark, folder), remainder(10) != 0)
+    return scored.select(
+        "doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, folder), table(spark, folder, "labels"), remainder(4) != 2)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", _predicted())
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder))
 
@@ -54,8 +85,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_lm_score": op5_lm_score,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,

@@ -64,7 +64,7 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(a, b): the address of a page and of its canonical link or refresh target, as the html names it."""
+    """(a, b): the address of a page and of its canonical link or refresh target (null if it has no host)."""
     url = F.col("url")
     found = pages.where(host_of(url) != "").select(
         address_of(url).alias("a"), host_of(url).alias("host"), path_of(url).alias("path"),
@@ -83,8 +83,9 @@ def alias_links(pages: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("http://"), "host", F.when(folder == "", "/").otherwise(folder), to))
     )
     # Distinct before the address is taken apart again: one copy of each link, and two small expressions.
+    # Nulls stay for the reader to drop, since a filter here would be pushed down with both expressions in it.
     found = found.where(F.length("to") > 0).select("a", full.alias("full")).distinct()
-    return found.select("a", address_of(F.col("full")).alias("b")).where(F.col("b").isNotNull())
+    return found.select("a", address_of(F.col("full")).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
