@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import texts_of
+from quirefold.llm.common import KEY, content_key, texts_of
 
 BLOCK_WORDS = 1 << 17
 CHUNK = 1 << 14
@@ -234,16 +234,16 @@ def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[obj
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.95, min_words: int = 8
 ) -> DataFrame:
-    """doc_id, item_id, distance, item_words, start: items found in documents, one row per row and item.
+    """doc_id, item_id, distance, item_words, start, _q1, _q2: items found in documents, one row per row and item.
 
     An item of w words is found where some passage is within (1 - `similarity`) * w word edits. Words are
     compared in lower case without punctuation at their ends; `start` counts such words. Items under
-    `min_words` words (at least 8) say nothing and are not searched. Null and empty texts hold no item;
+    `min_words` words (at least 8) say nothing and are not searched. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
     repeated rows are found alike; empty tables give no rows. Other columns are not returned.
     """
     spark = docs.sparkSession
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, start long"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, start long, _q1 long, _q2 long"
     out = None
     for block in item_blocks(benchmark, max(min_words, SMALLEST)):
         samples = samples_for([w for _, w in block], similarity, target_recall)
@@ -254,23 +254,32 @@ def find_contamination(
             index, ids = ItemIndex(items, similarity, samples), _WordIds()
             for batch in batches:
                 rows = list(index.search([word_ids(t, ids) for t in texts_of(batch)]))
+                at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
+                        batch.column("doc_id").take(at),
                         pa.array([items[r[1]][0] for r in rows], target),
                         pa.array([r[2] for r in rows], pa.int32()),
                         pa.array([len(items[r[1]][1]) for r in rows], pa.int32()),
                         pa.array([r[3] for r in rows], pa.int64()),
+                        *[batch.column(c).take(at) for c in KEY],
                     ],
-                    names=["doc_id", "item_id", "distance", "item_words", "start"],
+                    names=["doc_id", "item_id", "distance", "item_words", "start", *KEY],
                 )
 
         target = _arrow_type(benchmark, "item_id")
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text", *content_key("doc_id", "text")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, with the columns of `docs`."""
+    hit = find_contamination(docs, benchmark, **options).select(*KEY).distinct()
+    rows = docs.withColumns(dict(zip(KEY, content_key("doc_id", "text"))))
+    return rows.join(hit, KEY, "left_anti").select(*docs.columns)
+
+
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

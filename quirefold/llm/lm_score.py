@@ -29,6 +29,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 200_000
 FLUSH_WORDS = 300_000
 PRIOR_TOKENS = 1_000.0
+WARM_ROUNDS = 3
 END = "</s>"
 LN10 = math.log(10)
 
@@ -151,9 +152,14 @@ def _rows(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def piece_probabilities(words: DataFrame, numbers: dict[str, int], prior: np.ndarray, end_count: int) -> np.ndarray:
-    """One re-estimation: the prior as `PRIOR_TOKENS` pieces, and the pieces expected in the training words."""
-    sent = words.sparkSession.sparkContext.broadcast((numbers, prior))
+def piece_probabilities(
+    words: DataFrame, numbers: dict[str, int], prior: np.ndarray, weights: np.ndarray, end_count: int
+) -> np.ndarray:
+    """One re-estimation: the prior as `PRIOR_TOKENS` pieces, and the pieces expected in the training words.
+
+    `weights` are the probabilities of the round before.
+    """
+    sent = words.sparkSession.sparkContext.broadcast((numbers, weights))
 
     def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
         lattice = Lattice(*sent.value)
@@ -181,7 +187,11 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) ->
     seen = words.agg(F.sum("n"), F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, train = (seen[0] or 0), (seen[1] or 0) + ends
     distinct = (seen[2] or 0) + (ends > 0)
-    probabilities = piece_probabilities(words, numbers, prior, ends)
+    often = max(tokens // FREQUENT, 1)  # at most FREQUENT words reach `often` occurrences among `tokens`
+    probabilities = prior
+    for _ in range(WARM_ROUNDS):  # rounds on the frequent words come near the fixed point; the last one takes all words
+        probabilities = piece_probabilities(words.where(F.col("n") > often), numbers, prior, probabilities, ends)
+    probabilities = piece_probabilities(words, numbers, prior, probabilities, ends)
     model = spark.sparkContext.broadcast((numbers, probabilities))
     spread = train + 0.1 * (distinct + 1)
 
@@ -198,8 +208,6 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) ->
             )
 
     judged = stage(words.mapInArrow(judge, "word binary, n long, c long, base double, log10p double"), "judged-words")
-    often = max(tokens // FREQUENT, 1)
-    # At most FREQUENT words reach `often` occurrences among `tokens`.
     frequent = _frequent(judged, often)
     sent = spark.sparkContext.broadcast(frequent)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm.common import held_out, remainder, table
+from quirefold.llm.ann import nearest
+from quirefold.llm.common import KEY, held_out, remainder, table
 from quirefold.llm.decontamination import find_contamination
 from quirefold.llm.langid import fit_languages, identify_languages
 from quirefold.llm.line_dedup import dedup_lines
@@ -44,7 +45,7 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return find_contamination(documents(spark, folder), table(spark, folder, "benchmark"))
+    return find_contamination(documents(spark, folder), table(spark, folder, "benchmark")).drop(*KEY)
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_toxicity(documents(spark, folder), table(spark, folder, "labels"), remainder(4) != 2)
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", _predicted())
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_lm_score": op5_lm_score,
+    "op6_nearest": op6_nearest,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
