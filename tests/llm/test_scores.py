@@ -100,7 +100,7 @@ def test_toxicity_learns_what_only_pairs_tell(spark):
     """A text is toxic if and only if it holds an insult together with a group; weights alone cannot say so."""
     draw = random.Random(4)
     rows, labels = [], []
-    for i in range(1200):
+    for i in range(2000, 3200):
         insult, group = draw.random() < 0.5, draw.random() < 0.5
         words = [f"w{draw.randrange(30)}" for _ in range(6)] + ["Insult!"] * insult + ["group"] * group
         draw.shuffle(words)
