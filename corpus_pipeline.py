@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the learnt languages with at least even odds, go."""
     judged = identify_languages(docs.withColumnsRenamed(_aside(docs)), fit_languages(docs, remainder(5) != 0))
     known = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return judged.where(known).withColumnsRenamed({v: k for k, v in _aside(docs).items()}).select(*docs.columns)
+    return judged.where(known).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in _aside(docs).items()}).select(*docs.columns)
 
 
 def _aside(docs: DataFrame) -> dict[str, str]:
