@@ -20,14 +20,20 @@ SPACE = f"[{SPACE_CHARS}]"
 NOT_ONE_BLANK = f" {SPACE}+|[{SPACE_CHARS.replace(' ', '')}]{SPACE}*"  # a run that is not a single blank
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 PARAGRAPH = "  \n"
+PACK_SLICE = 128  # sentences packed at a time
 SENTENCE_END = f"(?<=[.?!]){SPACE}+"
 
 # ASCII spellings of characters that do not decompose into a base letter.
 ASCII_SPELLING = {
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",
     "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i",
-    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", " ": " ",
+    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "\u00a0": " ",
+    "ẞ": "SS", "‚": ",", "„": '"', "‹": "<", "›": ">", "«": "<<", "»": ">>", "•": "*", "·": "*", "−": "-",
+    "‐": "-", "‑": "-", "‒": "-", "€": "EUR", "£": "GBP", "©": "(c)", "®": "(r)", "°": "deg", "×": "x", "\u00ad": "",
 }
+COMBINING = "[\u0300-\u036f]"
+# Latin compatibility forms: spaces and marks, fractions and numerals, letter-like signs, ligatures, full width.
+COMPATIBILITY_RANGES = [(0x00A0, 0x00C0), (0x2000, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
 
 
 def lines(text: Column) -> Column:
@@ -73,9 +79,9 @@ def _packed(spaced: Column, max_words: int) -> Column:
     sentences = F.transform(
         F.split(spaced, "(?<=[.?!]) ", -1), lambda s: F.struct(s.alias("text"), _words_in(s).alias("n"))
     )
-    empty = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n")
-    )
+
+    def start(text: Column, n: Column) -> Column:
+        return F.struct(F.array().cast("array<string>").alias("done"), text.alias("text"), n.alias("n"))
 
     def add(acc: Column, s: Column) -> Column:
         flush = acc["n"] + s["n"] > max_words
@@ -86,10 +92,27 @@ def _packed(spaced: Column, max_words: int) -> Column:
             F.when(flush, s["n"]).otherwise(acc["n"] + s["n"]).alias("n"),
         )
 
+    # Sentences are taken in slices, so that an accumulated array that is copied at each step stays short: the
+    # slices carry the open part over, and finished parts are kept slice by slice.
+    def add_slice(acc: Column, piece: Column) -> Column:
+        last = acc["last"]
+        return F.struct(
+            F.concat(acc["done"], F.array(last["done"])).alias("done"),
+            F.aggregate(piece, start(last["text"], last["n"]), add).alias("last"),
+        )
+
     def finish(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["text"]))).otherwise(acc["done"])
+        last = acc["last"]
+        rest = F.when(last["n"] > 0, F.array(last["text"])).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.flatten(acc["done"]), last["done"], rest)
+
+    def in_slices(all_sentences: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(all_sentences) - 1, F.lit(PACK_SLICE))
+        return F.transform(firsts, lambda i: F.slice(all_sentences, i + 1, F.lit(PACK_SLICE)))
 
-    return F.aggregate(sentences, empty, add, finish)
+    slices = F.element_at(F.transform(F.array(sentences), in_slices), 1)
+    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), start(F.lit(""), F.lit(0)).alias("last"))
+    return F.aggregate(slices, begin, add_slice, finish)
 
 
 def packed_parts(unit: Column, max_words: int) -> Column:
@@ -127,15 +150,39 @@ def _letter_table() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
+def _compatibility_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters with an ASCII compatibility form: those of one character, and the spellings of the others."""
+    single, plain, spelled = [], [], {}
+    for low, high in COMPATIBILITY_RANGES:
+        for code in range(low, high):
+            form = unicodedata.normalize("NFKD", chr(code)).replace("\u2044", "/")
+            form = "".join(c for c in form if not unicodedata.combining(c))
+            if not form.isascii() or not form or form == chr(code) or chr(code) in ASCII_SPELLING:
+                continue
+            if len(form) == 1:
+                single.append(chr(code))
+                plain.append(form)
+            else:
+                spelled[chr(code)] = form
+    return "".join(single), "".join(plain), spelled
+
+
 _ACCENTED, _PLAIN = _letter_table()
+_FORMS, _FORMS_PLAIN, _SPELLED = _compatibility_forms()
+_OTHERS = f"[{''.join(_SPELLED)}]"
 
 
 def ascii_fold(text: Column) -> Column:
-    """Latin letters without accents, ligatures and typographic marks spelled out.
+    """Latin letters without accents; ligatures, compatibility forms and typographic marks spelled out.
 
-    Scripts other than Latin stay as they are. Pure ASCII texts skip the replacement passes.
+    Combining marks go. Scripts other than Latin stay as they are. Pure ASCII texts skip all passes, and texts
+    without compatibility forms the passes for these.
     """
-    folded = F.translate(text, _ACCENTED, _PLAIN)
+    folded = F.translate(text, _ACCENTED + _FORMS, _PLAIN + _FORMS_PLAIN)
     for mark, spelling in ASCII_SPELLING.items():
         folded = F.replace(folded, F.lit(mark), F.lit(spelling))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(text)
+    forms = F.regexp_replace(folded, COMBINING, "")
+    for mark, spelling in _SPELLED.items():
+        forms = F.replace(forms, F.lit(mark), F.lit(spelling))
+    rare = text.rlike(f"{COMBINING}|{_OTHERS}")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.when(rare, forms).otherwise(folded)).otherwise(text)

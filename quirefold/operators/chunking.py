@@ -22,8 +22,8 @@ from quirefold.operators.splitting import MAX_WORDS, WINDOW_SEPARATOR, split_uni
 # The amount used for a threshold type when none is given.
 DEFAULT_AMOUNTS = {"percentile": 95, "standard_deviation": 3, "interquartile": 1.5, "gradient": 95}
 
-# Distances are compared at a fixed number of digits, which makes cuts reproducible across engines and
-# bounds the state of the exact percentile: there are only so many values between 0 and 2.
+# Distances are compared at a fixed number of digits, unless the caller says otherwise: cuts are then the same
+# on every engine and the exact percentile has a bounded state, as there are only so many values between 0 and 2.
 DISTANCE_DIGITS = 6
 GRADIENT_DIGITS = 7
 THRESHOLD_DIGITS = 10
@@ -52,12 +52,15 @@ class Breakpoints:
         """Documents with at most this many units are not measured; each unit is a chunk."""
         return 2 if self.kind == "gradient" else 1
 
+    def nth(self, n: Column) -> Column:
+        """Which of the `n` largest metrics is the threshold when a number of chunks is wanted."""
+        return F.least(F.greatest(F.lit(self.number_of_chunks), F.lit(1)), n)
+
     def threshold(self, metric: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
-        """Aggregate expression of the threshold; `over` turns it into a window expression."""
-        if self.number_of_chunks is not None:
-            ordered = F.sort_array(over(F.collect_list(metric)), asc=False)
-            nth = F.least(F.greatest(F.lit(self.number_of_chunks), F.lit(1)), F.size(ordered))
-            return F.get(ordered, nth - 1)
+        """Aggregate expression of the threshold; `over` turns it into a window expression.
+
+        Not for a number of chunks, whose threshold is a rank: see `measure_units` and `document_thresholds`.
+        """
         if self.kind in ("percentile", "gradient"):
             value = over(F.percentile(metric, F.lit(self.amount / 100.0)))
         elif self.kind == "standard_deviation":
@@ -133,9 +136,14 @@ def measure_units(
     metric = gradient(["title"]) if breakpoints.uses_gradient else F.col("distance")
     whole = Window.partitionBy("title")
     units = units.withColumn("metric", metric)
+    if breakpoints.number_of_chunks is not None:
+        ranked = Window.partitionBy("title").orderBy(F.desc_nulls_last("metric"))
+        units = units.withColumns({"_n": F.count("metric").over(whole), "_nth": F.row_number().over(ranked)})
+        chosen = F.when(F.col("_nth") == breakpoints.nth(F.col("_n")), F.col("metric"))
+        units = units.withColumn("threshold", F.max(chosen).over(whole)).drop("_n", "_nth")
+    else:
+        units = units.withColumn("threshold", breakpoints.threshold(F.col("metric"), lambda c: c.over(whole)))
     return units.withColumn(
-        "threshold", breakpoints.threshold(F.col("metric"), lambda c: c.over(whole))
-    ).withColumn(
         "is_break", F.coalesce(F.col("metric") > F.col("threshold"), ~measured & (F.col("idx") < F.col("n_units") - 1))
     )
 

@@ -1,9 +1,10 @@
 """Chunking of documents that are spread over many page rows and may be of any size.
 
-A document is never one value, one group or one task here. Units are cut from pages directly, windows
-work on blocks of consecutive units that overlap by the width of the window, and what is known per
-document (threshold, counts) comes back to the rows block by block. The result equals merging the
-pages and calling `semantic_chunk`.
+Units are cut from pages directly, windows work on blocks of consecutive units that overlap by the width of
+the window, and what is known per document (threshold, counts) comes back to the rows block by block. What
+still has to be one value are a paragraph and a chunk: a document without any paragraph end is one paragraph,
+and one whose distances are all equal is one chunk. The result equals merging the pages and calling
+`semantic_chunk`, for patterns that end at a line end; others are refused.
 
 Steps that are read more than once are written to the shared folder (`stage`), each pass then reads
 the columns it needs.
@@ -30,6 +31,12 @@ def kept_pages(marked: DataFrame, fold: bool = True) -> DataFrame:
     )
 
 
+def ends_lines(split_regex: str) -> bool:
+    """Whether every match of the pattern lies inside one page and the line end that follows it."""
+    plain = split_regex.replace("\\n", "\n")
+    return plain.count("\n") == 1 and plain.endswith("\n") and not set(plain) & set(".^$*+?{}[]\\|()")
+
+
 def page_paragraphs(
     pages: DataFrame, split_regex: str = PARAGRAPH, separator: str = "\n", block: int = BLOCK
 ) -> DataFrame:
@@ -84,20 +91,23 @@ def block_distances(
 
 
 def document_thresholds(measured: DataFrame, breakpoints: Breakpoints) -> DataFrame:
-    """`(title, last_idx, threshold)`. Aggregates with a small state; the k-th largest is a group limit."""
+    """`(title, last_idx, threshold)`. Aggregates with a small state.
+
+    For a number of chunks, equal metrics are counted first; what is ranked per document are its distinct
+    rounded metrics, whose number does not grow with the document.
+    """
     ends = measured.groupBy("title").agg(F.max("idx").alias("last_idx"))
     if breakpoints.number_of_chunks is None:
         return measured.groupBy("title").agg(
             F.max("idx").alias("last_idx"), breakpoints.threshold(F.col("metric")).alias("threshold")
         )
-    wanted = max(breakpoints.number_of_chunks, 1)
-    largest = Window.partitionBy("title").orderBy(F.desc("metric"))
-    top = (
-        measured.where(F.col("metric").isNotNull())
-        .select("title", "metric", F.row_number().over(largest).alias("nth"))
-        .where(F.col("nth") <= wanted)
+    counted = measured.where(F.col("metric").isNotNull()).groupBy("title", "metric").agg(F.count(F.lit(1)).alias("n"))
+    downwards = Window.partitionBy("title").orderBy(F.desc("metric"))
+    counted = counted.withColumns(
+        {"upto": F.sum("n").over(downwards), "total": F.sum("n").over(Window.partitionBy("title"))}
     )
-    return ends.join(top.groupBy("title").agg(F.min("metric").alias("threshold")), "title", "left")
+    reached = F.when(F.col("upto") >= breakpoints.nth(F.col("total")), F.col("metric"))
+    return ends.join(counted.groupBy("title").agg(F.max(reached).alias("threshold")), "title", "left")
 
 
 def semantic_chunk_pages(
@@ -112,6 +122,8 @@ def semantic_chunk_pages(
     block: int = BLOCK,
 ) -> DataFrame:
     """Pages `(title, position, last, text)` to chunks `(title, chunk_idx, chunk)`."""
+    if not ends_lines(sentence_split_regex):
+        raise ValueError("cutting from pages needs a pattern of plain characters with one line end, at its end")
     breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks)
     paragraphs = stage(page_paragraphs(stage(pages, "pages"), sentence_split_regex, block=block), "paragraphs")
     units = paragraph_units(paragraphs, max_words, block)

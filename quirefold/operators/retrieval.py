@@ -1,28 +1,30 @@
 """Nearest chunks of one title for every (title, question) pair.
 
-The store is read once and not shuffled. Each task compares its Arrow batches with all question
-vectors in one matrix product and passes on at most `max_k` candidates per (title, question) and
-batch, so a title may hold any share of the store. Only candidates are shuffled for the final ranks.
+Candidates are ids and distances only; the texts of the hits are fetched once the ranks are known. The exact
+search reads the store once for as many questions as fit into `QUESTION_BYTES` of vectors: each task compares
+its Arrow batches with them in slices, and passes on at most `max_k` rows per (title, question) and batch, so
+a title may hold any share of the store.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirefold.functions.vectors import dot, l2_normalize, round_to
 from quirefold.operators.identity import title_counts
+from quirefold.operators.ordering import dense_index
 
 DISTANCE_DIGITS = 6
-QUESTION_BLOCK = 2048  # question vectors handed to the tasks at a time
-SEPARATOR = "\n" + "-" * 86 + "\n"
+QUESTION_BLOCK = 2048  # questions packed into one constant at a time
+QUESTION_BYTES = 64 * 1024 * 1024  # question vectors handed to the tasks at a time
+FRAME_ROWS = 1_000_000  # candidate rows a task holds at a time
+SEPARATOR = "\n" + "-" * 86 + "\n"  # fixed value: stands between the passages of a context
 
 
 def embed_questions(questions: DataFrame, embedder) -> DataFrame:
@@ -30,19 +32,21 @@ def embed_questions(questions: DataFrame, embedder) -> DataFrame:
     return questions.select("q_idx", embedder.embed(F.col("question")).alias("vector"))
 
 
-def question_blocks(questions: DataFrame) -> list[DataFrame]:
-    """The question table in parts of at most `QUESTION_BLOCK` dense `q_idx` values.
+def question_blocks(questions: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """The question table in parts of `size` questions (default `QUESTION_BLOCK`) in the order of `q_idx`.
 
-    One part is what a task may hold in memory at a time. A list of any length comes out whole; a
-    list that a person wrote is one part.
+    Keys may have gaps and be negative; a null key is refused. Every list takes the same path.
     """
-    last = questions.agg(F.max("q_idx")).first()[0]
-    if last is None or last < QUESTION_BLOCK:
+    size = size or QUESTION_BLOCK
+    keys = questions.select("q_idx", F.lit(0).alias("_list"))
+    if not keys.where(F.col("q_idx").isNull()).isEmpty():
+        raise ValueError("every question needs a q_idx")
+    numbered = dense_index(keys.distinct(), ["_list"], "q_idx", "_n")
+    starts = sorted(r["q_idx"] for r in numbered.where(F.col("_n") % size == 0).collect())
+    if not starts:
         return [questions]
-    return [
-        questions.where(F.col("q_idx").between(start, start + QUESTION_BLOCK - 1))
-        for start in range(0, last + 1, QUESTION_BLOCK)
-    ]
+    after = [F.col("q_idx") < nxt for nxt in starts[1:]] + [F.lit(True)]
+    return [questions.where((F.col("q_idx") >= start) & end) for start, end in zip(starts, after)]
 
 
 def beside_each(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -63,6 +67,7 @@ def title_question_pairs(titles: DataFrame, questions: DataFrame) -> DataFrame:
     return beside_each(titles.select("title"), questions).select("title", "q.q_idx", "q.question")
 
 
+# The defaults of the adaptive number of chunks.
 def adaptive_k(n: Column, exponent: float = 0.4, factor: float = 2.0, max_k: int = 20) -> Column:
     """How many chunks to fetch from a title with `n` chunks."""
     return F.least((F.pow(n.cast("double"), F.lit(exponent)) * factor).cast("int"), F.lit(max_k))
@@ -73,109 +78,113 @@ def _unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _batch_candidates(q_idx: np.ndarray, questions: np.ndarray, max_k: int):
-    """Task function: the best rows of each Arrow batch, per title and question."""
-    questions = _unit_rows(questions)
+def _batch_candidates(asked, max_k: int, digits: int | None):
+    """Task function: the best rows of each Arrow batch, per title and question, in frames of bounded size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_idx, questions = asked.value
         for batch in batches:
-            batch = batch[batch["embedding"].notna()].reset_index(drop=True)
+            batch = batch[batch["embedding"].notna()].sort_values(["title", "id"], kind="stable").reset_index(drop=True)
             if batch.empty:
                 continue
             vectors = _unit_rows(np.stack(batch["embedding"].to_numpy()).astype(float))
-            distances = np.round(1.0 - vectors @ questions.T, DISTANCE_DIGITS) + 0.0
-            ids = batch["id"].to_numpy()
-            rows, cols = [], []
-            for members in batch.groupby("title").indices.values():
-                members = members[np.argsort(ids[members], kind="stable")]
-                # stable sort on distance after the sort on id: ties go to the smaller id
-                order = np.argsort(distances[members], axis=0, kind="stable")[:max_k]
-                rows.append(members[order].ravel())
-                cols.append(np.tile(np.arange(len(q_idx)), len(order)))
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
-            out = batch.loc[rows, ["title", "id", "chunk"]].reset_index(drop=True)
-            out.insert(1, "q_idx", q_idx[cols])
-            out["distance"] = distances[rows, cols]
-            yield out
+            titles, ids = batch["title"].to_numpy(), batch["id"].to_numpy()
+            groups = list(batch.groupby("title", sort=False).indices.values())
+            step = max(1, FRAME_ROWS // len(batch))
+            for low in range(0, len(q_idx), step):
+                distances = 1.0 - vectors @ questions[low : low + step].T
+                if digits is not None:
+                    distances = np.round(distances, digits) + 0.0
+                rows, cols = [], []
+                for members in groups:
+                    here = distances[members]
+                    if len(members) > max_k:
+                        # rows are in the order of their ids: a stable sort gives ties to the smaller one
+                        members = members[np.argsort(here, axis=0, kind="stable")[:max_k]]
+                    else:
+                        members = np.repeat(members[:, None], here.shape[1], axis=1)
+                    rows.append(members.ravel())
+                    cols.append(np.tile(np.arange(here.shape[1]), len(members)))
+                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                yield pd.DataFrame(
+                    {"title": titles[rows], "q_idx": q_idx[low + cols], "id": ids[rows], "distance": distances[rows, cols]}
+                )
 
     return run
 
 
-def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int) -> DataFrame:
-    """Candidates by a matrix product per Arrow batch; the path for large stores and long vectors."""
-    schema = "title string, q_idx int, id string, chunk string, distance double"
-    narrow = store.select("title", "id", "chunk", "embedding")
+def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
+    """Candidates by matrix products per Arrow batch; the path for large stores and long vectors."""
+    spark = store.sparkSession
+    schema = "title string, q_idx int, id string, distance double"
+    narrow = store.select("title", "id", "embedding")
+    width = vectors.select(F.max(F.size("vector"))).first()[0]
     parts = []
-    for block in question_blocks(vectors):
-        rows = block.select("q_idx", "vector").toPandas()  # at most QUESTION_BLOCK rows
+    for block in question_blocks(vectors, max(1, QUESTION_BYTES // (8 * max(width or 1, 1)))):
+        rows = block.select("q_idx", "vector").toArrow()  # at most QUESTION_BYTES of vectors
         if len(rows):
-            matrix = np.array(rows["vector"].tolist(), dtype=float)
-            parts.append(narrow.mapInPandas(_batch_candidates(rows["q_idx"].to_numpy(), matrix, max_k), schema))
-    return reduce(DataFrame.unionByName, parts or [narrow.sparkSession.createDataFrame([], schema)])
+            matrix = _unit_rows(np.array(rows.column("vector").to_pylist(), dtype=float))
+            asked = spark.sparkContext.broadcast((rows.column("q_idx").to_numpy(), matrix))
+            parts.append(narrow.mapInPandas(_batch_candidates(asked, max_k, digits), schema))
+    return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], schema)])
 
 
-def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int) -> DataFrame:
+def _distance(a: Column, b: Column, digits: int | None) -> Column:
+    distance = F.lit(1.0) - dot(a, b)
+    return distance if digits is None else round_to(distance, digits)
+
+
+def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
     """Candidates by array expressions, one row per chunk and question, without Python workers.
 
     The rank filter that follows becomes a group limit before the shuffle, so only the best rows of
     each task travel. For short question lists and short vectors.
     """
     stored = store.where(F.col("embedding").isNotNull()).select(
-        "title", "id", "chunk", l2_normalize(F.col("embedding")).alias("v")
+        "title", "id", l2_normalize(F.col("embedding")).alias("v")
     )
     pairs = beside_each(stored, vectors.select("q_idx", l2_normalize(F.col("vector")).alias("vector")))
-    distance = round_to(1.0 - dot(F.col("v"), F.col("q.vector")), DISTANCE_DIGITS)
-    return pairs.select("title", "q.q_idx", "id", "chunk", distance.alias("distance"))
+    return pairs.select("title", "q.q_idx", "id", _distance(F.col("v"), F.col("q.vector"), digits).alias("distance"))
+
+
+def projection_sign(table: int, hash_: int, dim: int) -> float:
+    """The declared random projections: +1 or -1 by the first digit of an MD5."""
+    return 1.0 if hashlib.md5(f"{table}-{hash_}-{dim}".encode()).hexdigest()[0] < "8" else -1.0
 
 
 def lsh_candidates(
     store: DataFrame,
     vectors: DataFrame,
     max_k: int,
-    bucket_length: float | None = None,
+    digits: int | None = None,
+    bucket_length: float = 2.0,
     tables: int = 10,
     hashes: int = 3,
-    seed: int = 7,
 ) -> DataFrame:
     """Approximate candidates: random projection buckets on unit vectors, exact distance afterwards.
 
-    On unit vectors the squared euclidean distance is twice the cosine distance. A chunk and a question
-    meet when all `hashes` buckets of one of the `tables` agree; the default bucket length is the width
-    that random projections of a unit vector spread over. A pair that meets in several tables is kept
-    only in the first of them, which needs no shuffle to remove repeats. The hashed questions are
-    broadcast one block at a time, which bounds their size.
+    Projections on +1 / -1 directions spread over about one unit. A chunk and a question meet when all `hashes`
+    buckets of one of the `tables` agree. Only signatures and ids are matched; vectors are fetched once per
+    candidate.
     """
     stored = store.where(F.col("embedding").isNotNull()).select(
-        "title", "id", "chunk", l2_normalize(F.col("embedding")).alias("v")
-    )
-    if bucket_length is None:
-        dim = stored.select(F.size("v")).first()
-        bucket_length = 2.0 / math.sqrt(dim[0] if dim else 1)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables * hashes, seed=seed
+        "title", "id", l2_normalize(F.col("embedding")).alias("v")
     )
-    stored = stored.withColumn("_unit", array_to_vector("v"))
-    model = lsh.fit(stored)
-
-    def signed(df: DataFrame, name: str) -> DataFrame:
-        bucket = [F.get(vector_to_array(F.col("_hash")[i]), F.lit(0)) for i in range(tables * hashes)]
-        signatures = F.array(*[F.xxhash64(*bucket[t * hashes : (t + 1) * hashes]) for t in range(tables)])
-        return (
-            model.transform(df)
-            .withColumn(name, signatures)
-            .drop("_unit", "_hash")
-            .select("*", F.posexplode(name).alias("table", "signature"))
-        )
-
-    left = signed(stored, "s")
-    first_meeting = F.array_position(F.zip_with("s", "q", lambda a, b: a == b), True) == F.col("table") + 1
-    parts = []
-    for block in question_blocks(vectors):
-        asked = block.select("q_idx", l2_normalize(F.col("vector")).alias("qv")).withColumn("_unit", array_to_vector("qv"))
-        right = F.broadcast(signed(asked, "q"))
-        parts.append(left.join(right, ["table", "signature"]).where(first_meeting))
-    distance = round_to(1.0 - dot(F.col("v"), F.col("qv")), DISTANCE_DIGITS)
-    return reduce(DataFrame.unionByName, parts).select("title", "q_idx", "id", "chunk", distance.alias("distance"))
+    asked = vectors.select("q_idx", l2_normalize(F.col("vector")).alias("qv"))
+    dim = stored.select(F.size("v")).first()
+    dim = dim[0] if dim else 0
+
+    def signed(df: DataFrame, vector: str, key: list[str]) -> DataFrame:
+        def bucket(table: int, hash_: int) -> Column:
+            signs = F.array(*[F.lit(projection_sign(table, hash_, d)) for d in range(dim)])
+            return F.floor(F.round(dot(F.col(vector), signs), 6) / bucket_length)
+
+        signatures = [F.array_join(F.array(*[bucket(t, h) for h in range(hashes)]), ",") for t in range(tables)]
+        return df.select(*key, F.posexplode(F.array(*signatures)).alias("table", "signature"))
+
+    met = signed(stored, "v", ["title", "id"]).join(signed(asked, "qv", ["q_idx"]), ["table", "signature"])
+    pairs = met.select("title", "id", "q_idx").distinct().join(stored, ["title", "id"]).join(asked, "q_idx")
+    return pairs.select("title", "q_idx", "id", _distance(F.col("v"), F.col("qv"), digits).alias("distance"))
 
 
 METHODS = {"matrix": matrix_candidates, "native": native_candidates, "lsh": lsh_candidates}
@@ -189,21 +198,21 @@ def retrieve(
     max_k: int = 20,
     method: str = "matrix",
     counts: DataFrame | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Hits `(title, q_idx, rank, id, chunk, distance)`: the adaptive top-k of each title.
 
-    `store` has `title, id, chunk, embedding`; `vectors` has `q_idx, vector`. Ties go to the smaller id.
-    Two filters on purpose: the constant bound is what Spark can push in front of the shuffle. The
-    per-title bound comes by (title, question), the key that the ranked rows are partitioned on, so
-    chunk texts are not shuffled again and a large title is no join hot spot.
+    `store` has `title, id, chunk, embedding`; `vectors` has `q_idx, vector`. Ties go to the smaller id;
+    `digits` rounds distances before they are ranked. Two filters on purpose: the constant bound is what Spark
+    can push in front of the shuffle. Texts join when the ranks are final.
     """
-    candidates = METHODS[method](store, vectors, max_k)
+    candidates = METHODS[method](store, vectors, max_k, digits)
     by_distance = Window.partitionBy("title", "q_idx").orderBy("distance", "id")
     best = candidates.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= max_k)
     k = title_counts(store) if counts is None else counts
     k = k.select("title", adaptive_k(F.col("n_chunks"), exponent, factor, max_k).alias("k"))
-    k = beside_each(k, vectors.select("q_idx")).select("title", "q.q_idx", "k")
-    return best.join(k, ["title", "q_idx"]).where(F.col("rank") <= F.col("k")).select(
+    best = best.join(k, "title").where(F.col("rank") <= F.col("k"))
+    return best.join(store.select("title", "id", "chunk"), ["title", "id"]).select(
         "title", "q_idx", "rank", "id", "chunk", "distance"
     )
 

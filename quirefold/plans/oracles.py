@@ -70,9 +70,9 @@ step(
 step(
     "label_store",
     [],
-    """SELECT 'v' || vec_id AS id, coalesce(d.text, '') AS chunk, 'label' || label AS title,
+    """SELECT 'v' || doc_id AS id, doc_id, coalesce(d.text, '') AS chunk, 'label' || label AS title,
               coalesce(d.source, '') AS zip_name, embedding
-       FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
+       FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)""",
 )
 step(
     "answered",
@@ -90,7 +90,8 @@ step(
 
 # --- scans, files, folders -------------------------------------------------------------------------
 
-oracle("scan_pages", ["page_rows"], "SELECT doc, page_num, text FROM page_rows")
+for name in ("scan_pages", "pages_roundtrip"):
+    oracle(name, ["page_rows"], "SELECT doc, page_num, text FROM page_rows")
 oracle("scan_text", [], "SELECT 'doc' || doc_id AS title, text FROM documents")
 oracle(
     "title_from_path",
@@ -427,7 +428,7 @@ oracle(
     [],
     """SELECT title, chunk_idx, substr(sha256(title), 1, 16) || '-' ||
               (row_number() OVER (PARTITION BY title ORDER BY chunk_idx) - 1) AS id
-       FROM (SELECT 'conv' || conv_id AS title, CAST(turn AS INTEGER) AS chunk_idx FROM conversations WHERE role <> 'user')""",
+       FROM (SELECT 'conv' || conv_id AS title, CAST(turn * 2 AS INTEGER) AS chunk_idx FROM conversations)""",
 )
 oracle(
     "doc_metadata",
@@ -456,8 +457,8 @@ oracle(
 oracle(
     "embeddings_jsonl_roundtrip",
     ["label_store"],
-    """SELECT title, zip_name, chunk, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0
-              AS embedding_sum FROM label_store""",
+    """SELECT title, zip_name, CAST(doc_id AS INTEGER) AS chunk_idx, chunk, array_to_string(list_transform(embedding,
+              lambda x: printf('%.5f', CAST(x AS DOUBLE) + 0.0)), ',') AS embedding FROM label_store""",
 )
 
 # --- retrieval -------------------------------------------------------------------------------------
@@ -480,16 +481,35 @@ step(
     ["question_dims", "store_dims"],
     "SELECT id, q_idx, sum(x * y) AS p FROM store_dims JOIN question_dims USING (b) GROUP BY id, q_idx",
 )
-step(
-    "hits",
-    ["products", "questions", "label_store"],
-    """SELECT r.* FROM
+RANKED = """SELECT r.* FROM
          (SELECT *, row_number() OVER (PARTITION BY title, q_idx ORDER BY distance, id) AS rank
           FROM (SELECT title, q_idx, id, chunk, round(1.0 - coalesce(p, 0), 6) + 0.0 AS distance
-                FROM label_store CROSS JOIN questions LEFT JOIN products USING (id, q_idx))) r
+                FROM {candidates} LEFT JOIN products USING (id, q_idx))) r
        JOIN (SELECT title, floor(pow(CAST(count(*) AS DOUBLE), 0.4) * 2) AS k FROM label_store GROUP BY title) USING (title)
-       WHERE rank <= least(k, 20)""",
+       WHERE rank <= least(k, 20)"""
+step("hits", ["products", "questions", "label_store"], RANKED.format(candidates="label_store CROSS JOIN questions"))
+# projections on +1 / -1 directions by the first digit of an MD5, ten tables of three buckets of width 2
+step(
+    "signs",
+    [],
+    """SELECT t, h, b, CASE WHEN substr(md5(t || '-' || h || '-' || b), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
+       FROM unnest(range(0, 10)) AS x(t), unnest(range(0, 3)) AS y(h), unnest(range(0, 64)) AS z(b)""",
+)
+for side, key, dims, x in (("store", "id", "store_dims", "y"), ("question", "q_idx", "question_dims", "x")):
+    step(
+        f"{side}_signatures",
+        ["signs", dims],
+        f"""SELECT {key}, t, string_agg(bucket, ',' ORDER BY h) AS signature FROM
+              (SELECT {key}, t, h, CAST(floor(round(sum({x} * sign), 6) / 2.0) AS BIGINT) AS bucket
+               FROM {dims} JOIN signs USING (b) GROUP BY ALL) GROUP BY ALL""",
+    )
+step(
+    "met",
+    ["store_signatures", "question_signatures", "label_store"],
+    """SELECT * FROM (SELECT DISTINCT id, q_idx FROM store_signatures JOIN question_signatures USING (t, signature))
+       JOIN label_store USING (id)""",
 )
+step("lsh_hits", ["products", "met", "label_store"], RANKED.format(candidates="met"))
 step(
     "contexts",
     ["hits"],
@@ -510,6 +530,13 @@ oracle(
 )
 for name in ("topk_within_title", "topk_within_title_native"):
     oracle(name, ["hits"], "SELECT title, q_idx, CAST(rank AS INTEGER) AS rank, id, distance FROM hits")
+oracle("topk_lsh", ["lsh_hits"], "SELECT title, q_idx, CAST(rank AS INTEGER) AS rank, id, distance FROM lsh_hits")
+oracle(
+    "topk_lsh_recall",
+    ["hits", "lsh_hits"],
+    """SELECT h.title, count(*) AS n_exact, round(count(l.id) / count(*), 4) AS recall
+       FROM hits h LEFT JOIN lsh_hits l USING (title, q_idx, id) GROUP BY h.title""",
+)
 oracle(
     "title_question_pairs",
     ["questions", "label_store"],
@@ -592,8 +619,7 @@ for name, rule in (("page_chunks", "percentile"), ("page_chunks_gradient", "grad
         f"SELECT title, CAST(chunk_idx AS INTEGER) AS chunk_idx, chunk FROM chunks_{rule}",
         CLEANED_DOCS,
     )
-oracle(
-    "full_comparison",
+WHOLE_RUN = (
     ["resolved"],
     "SELECT title, q_idx, response, source_chunks FROM resolved",
     CLEANED_DOCS
@@ -617,3 +643,5 @@ oracle(
         ),
     },
 )
+for name in ("full_comparison", "stored_comparison"):
+    oracle(name, *WHOLE_RUN)

@@ -11,7 +11,7 @@ from quirefold.functions.embedders import HashEmbedder
 from quirefold.functions.vectors import l2_normalize, round_to
 from quirefold.operators import answering, chunking, cleaning, identity, longform, ordering, retrieval, splitting
 from quirefold.plans import tables
-from quirefold.plans.comparison import compare_documents
+from quirefold.plans.comparison import add_pages, compare_documents, compare_stored
 from quirefold.session import scratch_path
 from quirefold.sources import files, store as stores
 
@@ -83,12 +83,14 @@ def chunks_jsonl_roundtrip(spark, folder):
 def embeddings_jsonl_roundtrip(spark, folder):
     path = scratch_path(spark, "embedded")
     files.write_stage(
-        tables.label_store(spark, folder).select("title", "zip_name", F.lit(0).alias("chunk_idx"), "chunk", "embedding"),
+        tables.label_store(spark, folder).select(
+            "title", "zip_name", F.substring("id", 2, 18).cast("int").alias("chunk_idx"), "chunk", "embedding"
+        ),
         path,
     )
     back = files.read_embedded_chunks(spark, path)
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return back.select("title", "zip_name", "chunk", round_to(total, 6).alias("embedding_sum"))
+    entries = F.transform("embedding", lambda x: F.format_string("%.5f", x.cast("double") + F.lit(0.0)))
+    return back.select("title", "zip_name", "chunk_idx", "chunk", F.array_join(entries, ",").alias("embedding"))
 
 
 @query
@@ -372,12 +374,12 @@ def hash_embed_chunks(spark, folder):
 
 
 def _turn_chunks(spark, folder):
-    """Conversations as a chunk table with gaps: one chunk per turn, the user's turns left out."""
-    turns = tables.table(spark, folder, "conversations").where(F.col("role") != "user")
+    """Conversations as a chunk table with gaps: one chunk per turn, under every other number."""
+    turns = tables.table(spark, folder, "conversations")
     return turns.select(
         F.concat(F.lit("conv"), "conv_id").alias("title"),
         F.col("role").alias("zip_name"),
-        F.col("turn").cast("int").alias("chunk_idx"),
+        (F.col("turn") * 2).cast("int").alias("chunk_idx"),
         F.col("text").alias("chunk"),
     )
 
@@ -458,7 +460,10 @@ def adaptive_k(spark, folder):
 
 def _hits(spark, folder, method):
     return retrieval.retrieve(
-        tables.label_store(spark, folder), tables.question_vectors(spark, folder), method=method
+        tables.label_store(spark, folder),
+        tables.question_vectors(spark, folder),
+        method=method,
+        digits=retrieval.DISTANCE_DIGITS,
     )
 
 
@@ -517,7 +522,7 @@ def render_prompt(spark, folder):
 
 @query
 def generate_hook(spark, folder):
-    return answering.generate(_prompts(spark, folder)).select("title", "q_idx", "response")
+    return answering.generate(_prompts(spark, folder), answering.stub_generator).select("title", "q_idx", "response")
 
 
 @query
@@ -528,7 +533,8 @@ def parse_citations(spark, folder):
 
 def _answers(spark, folder):
     docs = retrieval.context_blocks(_hits(spark, folder, "matrix")).select("title", "q_idx", "docs")
-    return answering.parse_answers(tables.answered(spark, folder).join(docs, ["title", "q_idx"]))
+    answered = tables.answered(spark, folder).join(docs, ["title", "q_idx"], "left")
+    return answering.parse_answers(answered.withColumn("docs", F.coalesce("docs", F.array().cast("array<string>"))))
 
 
 @query
@@ -545,7 +551,7 @@ def answer_text(spark, folder):
 
 @query
 def comparison_table(spark, folder):
-    return answering.comparison_table(_answers(spark, folder), [f"label{i}" for i in range(10)])
+    return answering.comparison_table(_answers(spark, folder))
 
 
 @query
@@ -554,6 +560,38 @@ def full_comparison(spark, folder):
     return compare_documents(
         tables.document_pages(spark, folder),
         tables.questions(spark, folder),
+        generator=answering.stub_generator,
         split_regex=tables.UNIT_REGEX,
         max_words=tables.UNIT_WORDS,
+        digits=retrieval.DISTANCE_DIGITS,
     ).select("title", "q_idx", "response", "source_chunks")
+
+
+@query
+def stored_comparison(spark, folder):
+    """The run over a store in two goes: English documents first, then all of them; what is stored is skipped."""
+    name, pages = _new_store(spark), tables.document_pages(spark, folder)
+    english = tables.table(spark, folder, "documents").where("lang = 'en'")
+    english = english.select(F.concat(F.lit("doc"), "doc_id", F.lit(".pdf")).alias("doc"))
+    options = {"split_regex": tables.UNIT_REGEX, "max_words": tables.UNIT_WORDS}
+    add_pages(pages.join(english, "doc", "left_semi"), name, **options)
+    files_ = tables.document_files(spark, folder)
+    return compare_stored(
+        pages,
+        tables.questions(spark, folder),
+        name,
+        files_,
+        files_.where("lower(name) LIKE '%.pdf'"),
+        generator=answering.stub_generator,
+        allow_large=True,
+        digits=retrieval.DISTANCE_DIGITS,
+        **options,
+    ).select("title", "q_idx", "response", "source_chunks")
+
+
+@query
+def pages_roundtrip(spark, folder):
+    """The page table written and read back with its schema."""
+    path = scratch_path(spark, "pages")
+    tables.document_pages(spark, folder).write.parquet(path)
+    return files.read_pages(spark, path)

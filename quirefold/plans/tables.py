@@ -83,18 +83,17 @@ def question_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_store(spark: SparkSession, folder: str) -> DataFrame:
-    """The `embeddings` table as a store: the label is the title, the document of the same number the chunk."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
-    return (
-        table(spark, folder, "embeddings")
-        .join(docs, "vec_id", "left")
-        .select(
-            F.concat(F.lit("v"), "vec_id").alias("id"),
-            F.coalesce("text", F.lit("")).alias("chunk"),
-            F.concat(F.lit("label"), "label").alias("title"),
-            F.coalesce("source", F.lit("")).alias("zip_name"),
-            "embedding",
-        )
+    """Every document as a chunk of a store; vector and title are those of the embedding of its number, in turn."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", "source", F.pmod("doc_id", F.lit(vectors.count())).alias("vec_id")
+    )
+    return docs.join(vectors, "vec_id").select(
+        F.concat(F.lit("v"), "doc_id").alias("id"),
+        F.coalesce("text", F.lit("")).alias("chunk"),
+        F.concat(F.lit("label"), "label").alias("title"),
+        F.coalesce("source", F.lit("")).alias("zip_name"),
+        "embedding",
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "quire
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: `spark.checkpoint.dir`, set here only when nobody set it."""
+    """The folder all executors can reach: `spark.checkpoint.dir`, set here only when nobody set it.
+
+    A folder of this machine is set only where the driver's process is the executor too.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="quirefold-")
         spark.sparkContext.setCheckpointDir(folder)

@@ -83,8 +83,11 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_comparison(table: DataFrame, path: str, fmt: str = "csv") -> None:
-    """The comparison table as one sheet; its rows are the questions of one list."""
-    writer = table.coalesce(1).write.mode("overwrite")
+    """The comparison table as one sheet; its rows are the questions of one list.
+
+    The table is computed in parallel; only its finished rows meet in the one task that writes the sheet.
+    """
+    writer = table.repartition(1).sortWithinPartitions("q_idx").write.mode("overwrite")
     if fmt == "csv":
         writer.csv(
             path,
@@ -121,9 +124,15 @@ def check_ingest(files: DataFrame, threshold: int = 20, allow_large: bool = Fals
         raise ValueError(f"a folder holds {threshold} PDFs or more; pass allow_large=True to go on")
 
 
-def check_unique_titles(pages: DataFrame) -> None:
-    """Refuse documents that would share a title: the part of their names before the first dot."""
-    names = pages.select("doc").distinct().select(title_of(F.col("doc")).alias("title"))
+def check_unique_titles(pages: DataFrame, whole_names: bool = False) -> None:
+    """Refuse documents that would share a title: the part of their names before the first dot.
+
+    With `whole_names` the rows are documents and `doc` is the title itself.
+    """
+    if whole_names:
+        names = pages.select(F.col("doc").alias("title"))
+    else:
+        names = pages.select("doc").distinct().select(title_of(F.col("doc")).alias("title"))
     shared = names.groupBy("title").count().where("count > 1")
     example = shared.first()
     if example is not None:

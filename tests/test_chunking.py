@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
-from quirefold.functions.text import is_not_blank, packed_parts, split_sentences, word_count
+from quirefold.functions.text import ascii_fold, is_not_blank, packed_parts, split_sentences, word_count
 from quirefold.functions.vectors import l2_normalize
 from quirefold.operators import chunking, longform, ordering, splitting
 from quirefold.plans import tables
@@ -228,3 +229,42 @@ def test_page_form_with_paragraphs_over_pages(spark):
     )
     rows = longform.page_paragraphs(pages, block=2).orderBy("par").collect()
     assert [r["paragraph"] for r in rows] == text.split("  \n")
+
+
+@pytest.mark.parametrize("regex", [r"\n\s*\n", r"\s+", "\n\n", "."])
+def test_patterns_that_reach_over_page_ends_are_refused_when_cutting_from_pages(spark, regex):
+    pages = spark.createDataFrame([("a", 0, 0, "x")], "title string, position int, last int, text string")
+    with pytest.raises(ValueError, match="line end"):
+        longform.semantic_chunk_pages(pages, sentence_split_regex=regex)
+    assert longform.ends_lines("  \n") and longform.ends_lines(r"\n")
+
+
+def seconds(frame):
+    start = time.perf_counter()
+    frame.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_packing_time_is_in_proportion(spark):
+    def unit(n):
+        text = " ".join(f"a{i} b c." for i in range(n))
+        return spark.createDataFrame([(text,)], "t string").select(packed_parts(F.col("t"), 10).alias("p"))
+
+    seconds(unit(1000))
+    assert seconds(unit(64000)) <= 6 * seconds(unit(16000)) + 1
+
+
+def test_chunk_number_time_is_in_proportion(spark):
+    def cut(n):
+        doc = [("d", "\n".join(f"w{i % 97} b{i % 13} c" for i in range(n)))]
+        docs = spark.createDataFrame(doc, "title string, text string")
+        return chunking.semantic_chunk(docs, number_of_chunks=7, sentence_split_regex="\n")
+
+    seconds(cut(500))
+    assert seconds(cut(16000)) <= 6 * seconds(cut(4000)) + 1
+
+
+def test_fold_of_ligatures_marks_and_combining_accents(spark):
+    text = "\ufb01 \ufb02 \u1e9e \u2122 \u2022 \u20ac \u00bd \u2011 e\u0301 \u00e9 \u00df \uff21 \u2163 \u6771"
+    got = spark.createDataFrame([(text,)], "t string").select(ascii_fold(F.col("t"))).first()[0]
+    assert got == "fi fl SS TM * EUR 1/2 - e e ss A IV \u6771"

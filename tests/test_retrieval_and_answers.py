@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold import schemas
-from quirefold.functions.embedders import HashEmbedder
+from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
 from quirefold.operators import answering, identity, retrieval
 from quirefold.plans import comparison
 from quirefold.sources import files, store as stores
@@ -53,18 +54,19 @@ def brute_force(store, vectors):
 def test_hits_against_brute_force(spark, monkeypatch, method, question_block):
     """Many exact ties, one title far larger than the others, question lists of several blocks."""
     monkeypatch.setattr(retrieval, "QUESTION_BLOCK", question_block)
+    monkeypatch.setattr(retrieval, "QUESTION_BYTES", question_block * 8 * 6)
     store = store_of(spark, {"hot": 400, "one": 1, "few": 9}).repartition(7)
     vectors = vectors_of(spark, 8)
-    hits = retrieval.retrieve(store, vectors, method=method)
+    hits = retrieval.retrieve(store, vectors, method=method, digits=6)
     assert {(r["title"], r["q_idx"], r["rank"], r["id"]) for r in hits.collect()} == brute_force(store, vectors)
 
 
 def test_small_arrow_batches_give_the_same_hits(spark):
     store, vectors = store_of(spark, {"hot": 300, "few": 9}), vectors_of(spark, 4)
-    whole = sorted(retrieval.retrieve(store, vectors).collect())
+    whole = sorted(retrieval.retrieve(store, vectors, digits=6).collect())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        assert sorted(retrieval.retrieve(store, vectors).collect()) == whole
+        assert sorted(retrieval.retrieve(store, vectors, digits=6).collect()) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -74,8 +76,8 @@ def test_approximate_hits_are_exact_in_distance_and_mostly_found(spark):
     rows = [(f"{i:04d}", "c", "t", "z", [float(x) for x in rng.normal(size=16)]) for i in range(400)]
     store = spark.createDataFrame(rows, schemas.STORE)
     vectors = store.limit(5).select((F.col("id").cast("int")).alias("q_idx"), F.col("embedding").cast("array<double>").alias("vector"))
-    exact = {(r["q_idx"], r["id"]): r["distance"] for r in retrieval.retrieve(store, vectors).collect()}
-    found = {(r["q_idx"], r["id"]): r["distance"] for r in retrieval.retrieve(store, vectors, method="lsh").collect()}
+    exact = {(r["q_idx"], r["id"]): r["distance"] for r in retrieval.retrieve(store, vectors, digits=6).collect()}
+    found = {(r["q_idx"], r["id"]): r["distance"] for r in retrieval.retrieve(store, vectors, method="lsh", digits=6).collect()}
     both = exact.keys() & found.keys()
     assert len(both) >= 0.5 * len(exact)
     assert all(found[k] == exact[k] for k in both)
@@ -139,7 +141,7 @@ def test_no_hits_fall_back(spark):
 def test_comparison_keeps_duplicate_questions_and_order(spark):
     rows = [("b", 1, "same", "rb1", "sb1"), ("a", 0, "same", "ra0", "sa0"), ("b", 0, "same", "rb0", "sb0")]
     answers = spark.createDataFrame(rows, "title string, q_idx int, question string, response string, source_chunks string")
-    table = answering.comparison_table(answers, ["b", "a", "x.y"])
+    table = answering.comparison_table(answers, ["b", "a", "x.y"], partial=True)
     assert table.columns == [
         "q_idx", "question", "b-response", "b-source_chunks", "a-response", "a-source_chunks", "x.y-response", "x.y-source_chunks",
     ]
@@ -225,8 +227,9 @@ def small_pages(spark):
 def test_whole_run_and_its_page_form_agree(spark):
     questions = spark.createDataFrame([(0, "fox?"), (1, "sea?"), (2, "fox?")], schemas.QUESTIONS)
     pages = small_pages(spark)
-    merged = comparison.compare_documents(pages, questions).orderBy("title", "q_idx").collect()
-    paged = comparison.compare_documents(pages, questions, value_chars=10).orderBy("title", "q_idx").collect()
+    stub = answering.stub_generator
+    merged = comparison.compare_documents(pages, questions, generator=stub).orderBy("title", "q_idx").collect()
+    paged = comparison.compare_documents(pages, questions, generator=stub, by_pages=True).orderBy("title", "q_idx").collect()
     assert merged == paged
     assert [(r["title"], r["q_idx"]) for r in merged] == [(t, q) for t in ("a", "b", "empty") for q in range(3)]
     assert all((r["source_chunks"] == "Source Chunks: None") == (r["title"] == "empty") for r in merged)
@@ -244,7 +247,7 @@ def test_stored_documents_answer_questions(spark, tmp_path):
     assert comparison.add_documents(docs, "asked", split_regex="\n") == 2
     assert comparison.add_documents(docs, "asked", split_regex="\n") == 0
     questions = spark.createDataFrame([(0, "fox")], schemas.QUESTIONS)
-    answers = comparison.ask(spark.table("asked"), docs.select("title"), questions)
+    answers = comparison.ask(spark.table("asked"), docs.select("title"), questions, generator=answering.stub_generator)
     got = {r["title"]: r["source_chunks"] for r in answers.collect()}
     assert got == {"a": "red fox runs far", "b": "blue sea  is deep"}
     spark.sql("DROP TABLE asked")
@@ -266,3 +269,103 @@ def test_stream_ingests_new_files_once(spark, tmp_path):
     spark.createDataFrame([("b", "z", "changed"), ("c", "z", "new")], schemas.DOCS).write.mode("append").parquet(source)
     assert run() == ["a", "b", "c"] and spark.table("streamed").count() == first + 1
     spark.sql("DROP TABLE streamed")
+
+
+@pytest.mark.parametrize("keys", [[-1, 0, 3000], [-1, 0, 2000], [7], [10**9, -(10**9), 5]])
+def test_every_question_keeps_its_pairs(spark, monkeypatch, keys):
+    """Keys may be negative or far apart; the number of parts follows the questions, not the keys."""
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 2)
+    questions = spark.createDataFrame([(k, "?") for k in keys], schemas.QUESTIONS)
+    assert len(retrieval.question_blocks(questions)) == (len(keys) + 1) // 2
+    titles = spark.createDataFrame([("a",), ("b",)], "title string")
+    pairs = {(r["title"], r["q_idx"]) for r in retrieval.title_question_pairs(titles, questions).collect()}
+    assert pairs == {(t, k) for t in "ab" for k in keys}
+
+
+def test_questions_without_a_key_are_refused(spark):
+    questions = spark.createDataFrame([(None, "?"), (1, "?")], schemas.QUESTIONS)
+    with pytest.raises(ValueError, match="q_idx"):
+        retrieval.question_blocks(questions)
+
+
+def test_candidates_are_narrow_and_frames_bounded(spark, monkeypatch):
+    """Many small titles and many questions: ids and distances only, a bounded number of rows at a time."""
+    monkeypatch.setattr(retrieval, "FRAME_ROWS", 500)
+    rng = np.random.default_rng(1)
+    batch = pd.DataFrame({
+        "title": [f"t{i // 3}" for i in range(90)],
+        "id": [f"{i:03d}" for i in range(90)],
+        "embedding": [rng.normal(size=4) for _ in range(90)],
+    })
+
+    class Asked:
+        value = (np.arange(40), retrieval._unit_rows(rng.normal(size=(40, 4))))
+
+    frames = list(retrieval._batch_candidates(Asked, 20, None)(iter([batch])))
+    assert all(list(f.columns) == ["title", "q_idx", "id", "distance"] and len(f) <= 500 for f in frames)
+    assert sum(map(len, frames)) == 90 * 40
+    store, vectors = store_of(spark, {"a": 5}), vectors_of(spark, 3)
+    for method in retrieval.METHODS.values():
+        assert method(store, vectors, 20).columns == ["title", "q_idx", "id", "distance"]
+
+
+def test_a_list_that_leaves_titles_out_is_refused(spark):
+    rows = [(t, 0, "?", f"r{t}", "s", [1]) for t in "ab"]
+    answers = spark.createDataFrame(
+        rows, "title string, q_idx int, question string, response string, source_chunks string, cited array<int>"
+    )
+    with pytest.raises(ValueError, match="'b'"):
+        answering.comparison_table(answers, ["a"])
+    assert answering.comparison_table(answers).first()["b-response"] == "rb"
+    assert "b-response" not in answering.comparison_table(answers, ["a"], partial=True).columns
+
+
+def test_documents_that_share_a_title_are_refused_by_the_store(spark, tmp_path):
+    stores.get_or_create(spark, "unique_titles", str(tmp_path / "store"))
+    docs = spark.createDataFrame([("a", "z", "x"), ("a", "z", "y")], schemas.DOCS)
+    with pytest.raises(ValueError, match="'a'"):
+        comparison.add_documents(docs, "unique_titles")
+    spark.sql("DROP TABLE unique_titles")
+
+
+def test_an_append_reads_only_the_buckets_of_its_titles(spark, tmp_path):
+    stores.get_or_create(spark, "bucketed", str(tmp_path / "store"), buckets=8)
+    assert stores.buckets_of(spark, "bucketed") == 8
+    rows = [(f"t{i}-0", "c", f"t{i}", "z", [1.0]) for i in range(40)]
+    assert stores.append_new(spark.createDataFrame(rows, schemas.STORE), "bucketed") == 40
+    assert stores.append_new(spark.createDataFrame(rows, schemas.STORE), "bucketed") == 0
+    one = spark.createDataFrame(rows[:1], schemas.STORE)
+    part = stores.touched(spark.table("bucketed"), one, 8)
+    assert part.select("bucket").distinct().count() == 1
+    assert len({f.rsplit("/", 2)[1] for f in part.inputFiles()}) == 1
+    assert stores.of_title(spark.table("bucketed"), "t7", 8).count() == 1
+    spark.sql("DROP TABLE bucketed")
+
+
+def test_a_second_run_embeds_and_asks_only_once_per_text(spark, tmp_path):
+    """Counts the calls of both hooks over a run in two goes."""
+    cut, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        cut.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def generator(system_text, prompts, **settings):
+        asked.add(len(prompts))
+        return answering.stub_generator(system_text, prompts)
+
+    stores.get_or_create(spark, "twice", str(tmp_path / "store"))
+    pages = small_pages(spark)
+    questions = spark.createDataFrame([(0, "fox?")], schemas.QUESTIONS)
+    comparison.add_pages(pages.where("doc = 'a.pdf'"), "twice", embedder=ModelEmbedder(encode))
+    first = cut.value
+    assert first == spark.table("twice").count()
+    answers = comparison.compare_stored(pages, questions, "twice", generator=generator, embedder=ModelEmbedder(encode))
+    assert answers.count() == 3 and len(answers.collect()) == 3
+    assert asked.value == 3
+    assert cut.value >= spark.table("twice").count() + 1
+    assert comparison.add_pages(pages, "twice", embedder=ModelEmbedder(encode)) == 0
+    with pytest.raises(ValueError):
+        names = spark.createDataFrame([("f", f"{i}.pdf") for i in range(20)], schemas.FILES)
+        comparison.compare_stored(pages, questions, "twice", names, generator=generator)
+    spark.sql("DROP TABLE twice")
