@@ -93,6 +93,11 @@ step(
 for name in ("scan_pages", "pages_roundtrip"):
     oracle(name, ["page_rows"], "SELECT doc, page_num, text FROM page_rows")
 oracle("scan_text", [], "SELECT 'doc' || doc_id AS title, text FROM documents")
+oracle(
+    "scan_text_folders",
+    [],
+    "SELECT 'source=' || source AS zip_name, count(*) AS n_files, true AS named FROM documents GROUP BY source",
+)
 oracle(
     "title_from_path",
     [],

@@ -55,6 +55,18 @@ def scan_text(spark, folder):
     )
 
 
+@query
+def scan_text_folders(spark, folder):
+    """One folder of text files per source; the reader names the folder of every file, and its title by its name."""
+    path = scratch_path(spark, "folders")
+    docs = tables.table(spark, folder, "documents").select("source", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    back = files.read_texts(spark, f"{path}/*")
+    return back.groupBy("zip_name").agg(
+        F.count("*").alias("n_files"), F.bool_and(F.col("title").startswith("part-")).alias("named")
+    )
+
+
 @query
 def title_from_path(spark, folder):
     pages = tables.table(spark, folder, "pages")
