@@ -22,11 +22,10 @@ from quirefold.operators.splitting import MAX_WORDS, WINDOW_SEPARATOR, split_uni
 # The amount used for a threshold type when none is given.
 DEFAULT_AMOUNTS = {"percentile": 95, "standard_deviation": 3, "interquartile": 1.5, "gradient": 95}
 
-# Distances are compared at a fixed number of digits, unless the caller says otherwise: cuts are then the same
-# on every engine and the exact percentile has a bounded state, as there are only so many values between 0 and 2.
-DISTANCE_DIGITS = 6
-GRADIENT_DIGITS = 7
-THRESHOLD_DIGITS = 10
+# With `digits`, distances are rounded to that many digits, gradients to one more and thresholds to four more:
+# cuts are then the same on every engine, and the exact percentile has a bounded state, as there are only so many
+# values between 0 and 2. Without, they are compared as they are.
+COMPARED_DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -36,6 +35,7 @@ class Breakpoints:
     kind: str = "percentile"
     amount: float | None = None
     number_of_chunks: int | None = None
+    digits: int | None = None
 
     def __post_init__(self):
         if self.kind not in DEFAULT_AMOUNTS:
@@ -68,7 +68,7 @@ class Breakpoints:
         else:
             quarters = over(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.75))))
             value = over(F.avg(metric)) + F.lit(float(self.amount)) * (quarters[1] - quarters[0])
-        return F.round(value, THRESHOLD_DIGITS)
+        return value if self.digits is None else F.round(value, self.digits + 4)
 
 
 def window_vectors(
@@ -92,7 +92,11 @@ def window_vectors(
     ).drop("_combined")
 
 
-def neighbour_distances(units: DataFrame, by: list[str]) -> DataFrame:
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else round_to(value, digits)
+
+
+def neighbour_distances(units: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
     """Add `distance`: cosine distance between a unit's `vec` and the next one; null on the last unit."""
     order = Window.partitionBy(*by).orderBy("idx")
     units = units.withColumn("_norm", norm(F.col("vec")))
@@ -102,9 +106,9 @@ def neighbour_distances(units: DataFrame, by: list[str]) -> DataFrame:
             "distance",
             F.when(
                 F.col("_next").isNotNull(),
-                round_to(
+                _rounded(
                     cosine_distance_of(dot(F.col("vec"), F.col("_next.vec")), F.col("_norm"), F.col("_next._norm")),
-                    DISTANCE_DIGITS,
+                    digits,
                 ),
             ),
         )
@@ -112,12 +116,12 @@ def neighbour_distances(units: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def gradient(by: list[str]) -> Column:
+def gradient(by: list[str], digits: int | None = None) -> Column:
     """Numerical gradient of `distance`: central differences inside, one-sided at both ends."""
     order = Window.partitionBy(*by).orderBy("idx")
     here, prev, nxt = F.col("distance"), F.lag("distance").over(order), F.lead("distance").over(order)
     slope = F.when(prev.isNull(), nxt - here).when(nxt.isNull(), here - prev).otherwise((nxt - prev) / 2)
-    return F.when(here.isNotNull(), round_to(slope, GRADIENT_DIGITS))
+    return F.when(here.isNotNull(), _rounded(slope, None if digits is None else digits + 1))
 
 
 def measure_units(
@@ -132,8 +136,8 @@ def measure_units(
     units = split_units(docs.repartition("title"), split_regex, max_words)
     measured = F.col("n_units") > breakpoints.bypass_units
     units = window_vectors(units, embedder or HashEmbedder(), buffer_size, ["title"], measured)
-    units = neighbour_distances(units, ["title"])
-    metric = gradient(["title"]) if breakpoints.uses_gradient else F.col("distance")
+    units = neighbour_distances(units, ["title"], breakpoints.digits)
+    metric = gradient(["title"], breakpoints.digits) if breakpoints.uses_gradient else F.col("distance")
     whole = Window.partitionBy("title")
     units = units.withColumn("metric", metric)
     if breakpoints.number_of_chunks is not None:
@@ -166,13 +170,14 @@ def semantic_chunk(
     sentence_split_regex: str = PARAGRAPH,
     embedder=None,
     max_words: int = MAX_WORDS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Documents `(title, text, ...)` to chunks `(title, chunk_idx, ..., chunk[, start_index])`.
 
-    Titles must be unique. All other columns of a document are copied to its chunks.
+    Titles must be unique. `digits` rounds what is compared, see `COMPARED_DIGITS`. All other columns of a document are copied to its chunks.
     Use as `docs.transform(semantic_chunk, ...)`.
     """
-    breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks)
+    breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks, digits)
     carried = [c for c in docs.columns if c not in ("title", "text")]
     units = measure_units(docs, breakpoints, buffer_size, sentence_split_regex, max_words, embedder)
     numbered = running_total_in_row_groups(units, ["title"], "idx", F.col("is_break"), "chunk_idx")

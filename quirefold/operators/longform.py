@@ -81,8 +81,8 @@ def block_distances(
     rows = units.withColumn("_block", F.explode(F.sequence(first, last)))
     by = ["title", "_block"]
     rows = window_vectors(rows, embedder or HashEmbedder(), buffer_size, by)
-    rows = neighbour_distances(rows, by)
-    metric = gradient(by) if breakpoints.uses_gradient else F.col("distance")
+    rows = neighbour_distances(rows, by, breakpoints.digits)
+    metric = gradient(by, breakpoints.digits) if breakpoints.uses_gradient else F.col("distance")
     return (
         rows.withColumn("metric", metric)
         .where(F.col("_block") == block_of("idx", block))
@@ -94,7 +94,7 @@ def document_thresholds(measured: DataFrame, breakpoints: Breakpoints) -> DataFr
     """`(title, last_idx, threshold)`. Aggregates with a small state.
 
     For a number of chunks, equal metrics are counted first; what is ranked per document are its distinct
-    rounded metrics, whose number does not grow with the document.
+    metrics, whose number does not grow with the document when they are rounded (`digits`).
     """
     ends = measured.groupBy("title").agg(F.max("idx").alias("last_idx"))
     if breakpoints.number_of_chunks is None:
@@ -120,11 +120,12 @@ def semantic_chunk_pages(
     embedder=None,
     max_words: int = MAX_WORDS,
     block: int = BLOCK,
+    digits: int | None = None,
 ) -> DataFrame:
     """Pages `(title, position, last, text)` to chunks `(title, chunk_idx, chunk)`."""
     if not ends_lines(sentence_split_regex):
         raise ValueError("cutting from pages needs a pattern of plain characters with one line end, at its end")
-    breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks)
+    breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks, digits)
     paragraphs = stage(page_paragraphs(stage(pages, "pages"), sentence_split_regex, block=block), "paragraphs")
     units = paragraph_units(paragraphs, max_words, block)
     measured = stage(block_distances(units, breakpoints, buffer_size, embedder, block), "measured")

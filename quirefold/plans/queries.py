@@ -251,7 +251,7 @@ def l2_normalize_vectors(spark, folder):
 def _measured(spark, folder, kind="percentile", amount=None, number_of_chunks=None):
     return chunking.measure_units(
         tables.documents(spark, folder),
-        chunking.Breakpoints(kind, amount, number_of_chunks),
+        chunking.Breakpoints(kind, amount, number_of_chunks, chunking.COMPARED_DIGITS),
         split_regex=tables.UNIT_REGEX,
         max_words=tables.UNIT_WORDS,
     )
@@ -313,6 +313,7 @@ def _chunks_of_pages(name: str, **options):
             longform.kept_pages(marked),
             sentence_split_regex=tables.UNIT_REGEX,
             max_words=tables.UNIT_WORDS,
+            digits=chunking.COMPARED_DIGITS,
             block=64,  # small, so that documents of the test tables span several blocks
             **options,
         )
@@ -346,6 +347,7 @@ def semantic_chunk_with_index(spark, folder):
     return chunking.semantic_chunk(
         tables.documents(spark, folder),
         add_start_index=True,
+        digits=chunking.COMPARED_DIGITS,
         breakpoint_threshold_amount=tables.PERCENTILE,
         sentence_split_regex=tables.UNIT_REGEX,
         max_words=tables.UNIT_WORDS,
@@ -364,6 +366,7 @@ def chunk_metadata(spark, folder):
     docs = tables.documents(spark, folder).join(labels, "title", "left")
     chunks = docs.transform(
         chunking.semantic_chunk,
+        digits=chunking.COMPARED_DIGITS,
         breakpoint_threshold_amount=tables.PERCENTILE,
         sentence_split_regex=tables.UNIT_REGEX,
         max_words=tables.UNIT_WORDS,
@@ -575,6 +578,7 @@ def full_comparison(spark, folder):
         generator=answering.stub_generator,
         split_regex=tables.UNIT_REGEX,
         max_words=tables.UNIT_WORDS,
+        cut_digits=chunking.COMPARED_DIGITS,
         digits=retrieval.DISTANCE_DIGITS,
     ).select("title", "q_idx", "response", "source_chunks")
 
@@ -585,7 +589,7 @@ def stored_comparison(spark, folder):
     name, pages = _new_store(spark), tables.document_pages(spark, folder)
     english = tables.table(spark, folder, "documents").where("lang = 'en'")
     english = english.select(F.concat(F.lit("doc"), "doc_id", F.lit(".pdf")).alias("doc"))
-    options = {"split_regex": tables.UNIT_REGEX, "max_words": tables.UNIT_WORDS}
+    options = {"split_regex": tables.UNIT_REGEX, "max_words": tables.UNIT_WORDS, "cut_digits": chunking.COMPARED_DIGITS}
     add_pages(pages.join(english, "doc", "left_semi"), name, **options)
     files_ = tables.document_files(spark, folder)
     return compare_stored(

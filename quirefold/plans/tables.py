@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.operators.chunking import drop_blank_chunks, semantic_chunk
+from quirefold.operators.chunking import COMPARED_DIGITS, drop_blank_chunks, semantic_chunk
 from quirefold.operators.retrieval import beside_each, embed_questions
 from quirefold.sources.files import questions_of
 
@@ -99,7 +99,7 @@ def label_store(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Chunks of `documents`, blank ones dropped."""
-    options = {"breakpoint_threshold_amount": PERCENTILE} | options
+    options = {"breakpoint_threshold_amount": PERCENTILE, "digits": COMPARED_DIGITS} | options
     cut = semantic_chunk(
         documents(spark, folder), sentence_split_regex=UNIT_REGEX, max_words=UNIT_WORDS, **options
     )
