@@ -13,6 +13,7 @@ is scored whole.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,9 +75,9 @@ class Machine:
         return at[self.terms[at] == terms]
 
     def epoch(self, rows: list[tuple[np.ndarray, int]]) -> None:
+        """One pass over (slots, label), updating the state in place."""
         bias = len(self.terms)
-        for terms, label in rows:
-            slots = self.slots(terms)
+        for slots, label in rows:
             at = np.append(slots, bias)
             w, v = self.weights(at), self.factors[slots]
             total = v.sum(0)
@@ -136,17 +137,27 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
     )
     best = terms.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).toArrow().column("term").to_numpy()
     machine = Machine.start(np.sort(best))
+    sent = spark.sparkContext.broadcast(machine)
+
+    def pack(group: pa.Table) -> pa.Table:
+        rows = [(sent.value.slots(np.array(t.as_py(), dtype=np.int64)), y.as_py()) for t, y in zip(group["terms"], group["label"])]
+        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0].tobytes()), r[1]))
+        return pa.table({"data": [pickle.dumps([(s.astype(np.int32), y) for s, y in rows])]})
+
+    # A shard becomes one value of bounded size, written once: rounds read it and shuffle nothing.
+    shards = stage(sample.groupBy("shard").applyInArrow(pack, "data binary"), "toxicity-shards")
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(machine)
 
-        def epoch(group: pa.Table) -> pa.Table:
-            own = Machine(sent.value.terms, *[x.copy() for x in _state(sent.value)])
-            rows = [(np.array(t.as_py(), dtype=np.int64), y.as_py()) for t, y in zip(group["terms"], group["label"])]
-            own.epoch(sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(r[0].tobytes()), r[1])))
-            return pa.table({f"s{i}": [x.tobytes()] for i, x in enumerate(_state(own))})
+        def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    own = Machine(sent.value.terms, *[x.copy() for x in _state(sent.value)])
+                    own.epoch(pickle.loads(data))
+                    yield pa.RecordBatch.from_pydict({f"s{i}": [x.tobytes()] for i, x in enumerate(_state(own))})
 
-        schema = "s0 binary, s1 binary, s2 binary, s3 binary"
-        states = sample.groupBy("shard").applyInArrow(epoch, schema).collect()  # SHARDS states of bounded size
+        states = shards.mapInArrow(epoch, "s0 binary, s1 binary, s2 binary, s3 binary").collect()  # SHARDS states
+        states.sort()
         parts = [
             np.mean([np.frombuffer(s[i]) for s in states], axis=0).reshape(x.shape) for i, x in enumerate(_state(machine))
         ]
