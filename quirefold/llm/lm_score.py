@@ -115,6 +115,127 @@ class Lattice:
                 beta[i] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
+class LatticeBlocks:
+    """The recursions of `Lattice` for many words at once: words of one length are the columns of a matrix.
+
+    Pieces are found by a rolling hash of the code points in two tables of slots. Very long words, which are
+    few, take the recursions one by one.
+    """
+
+    LONGEST_WORD, CELLS, SLOT_BITS = 64, 1 << 16, 20
+    _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, numbers: dict[str, int], probabilities: np.ndarray):
+        self.single = Lattice(numbers, probabilities)
+        self.size = len(probabilities)
+        pieces = list(self.single.edges.items())
+        self.keys = np.array([self._hash(p) for p, _ in pieces] + [0], dtype=np.uint64)
+        self.logs = np.array([x for _, (_, x) in pieces] + [-math.inf])
+        self.numbers = np.array([n for _, (n, _) in pieces] + [0])
+        left, self.tables = np.arange(len(pieces)), []
+        while len(left):  # every piece gets a slot of its own in one of the tables
+            factor = self._STEP + np.uint64(2 * len(self.tables))
+            slots = np.full(1 << self.SLOT_BITS, -1, dtype=np.int32)
+            at = self._slot(self.keys[left], factor)
+            slots[at[::-1]] = left[::-1]
+            self.tables.append((factor, slots))
+            left = left[slots[at] != left]
+        self.powers = np.cumprod(np.full(self.single.longest + 1, self._BASE), dtype=np.uint64)
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self._BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Hash of every prefix of the rows; the first is that of the empty prefix."""
+        out = [np.zeros(len(codes), dtype=np.uint64)]
+        for column in codes.T:
+            out.append(out[-1] * self._BASE + column + np.uint64(1))
+        return out
+
+    def _slot(self, hashes: np.ndarray, factor: np.uint64) -> np.ndarray:
+        mixed = hashes * factor
+        return ((mixed ^ (mixed >> np.uint64(29))) * factor >> np.uint64(64 - self.SLOT_BITS)).view(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the piece with each hash, or -1, which stands for a log probability of minus infinity."""
+        found = np.full(hashes.shape, -1, dtype=np.int32)
+        for factor, slots in self.tables:
+            here = slots.take(self._slot(hashes, factor))
+            np.copyto(found, here, where=(here >= 0) & (self.keys.take(here) == hashes))
+        return found
+
+    def _spelt(self, code: int) -> tuple[list[int], float]:
+        octets = [self.single.octets[b] for b in chr(code).encode("utf-8", "surrogatepass")]
+        return [n for n, _ in octets], sum(x for _, x in octets)
+
+    def _forward(self, codes: np.ndarray) -> tuple[np.ndarray, list]:
+        """alpha (positions, words) and, per end position, (first start, pieces, log probabilities)."""
+        n, length = codes.shape
+        hashes = self._hashes(codes)
+        alpha, steps = np.zeros((length + 1, n)), []
+        for j in range(1, length + 1):
+            low = max(0, j - self.single.longest)
+            heads = np.stack(hashes[low:j]) * self.powers[j - low - 1 :: -1][: j - low, None]
+            pieces = self._find(hashes[j] - heads)
+            logs = self.logs.take(pieces)
+            for code in np.unique(codes[pieces[-1] < 0, j - 1]):
+                logs[-1, (pieces[-1] < 0) & (codes[:, j - 1] == code)] = self._spelt(int(code))[1]
+            terms = alpha[low:j] + logs
+            top = terms.max(axis=0)
+            alpha[j] = top + np.log(np.exp(terms - top).sum(axis=0))
+            steps.append((low, pieces, logs))
+        return alpha, steps
+
+    def _blocks(self, words: list[str]):
+        """(positions, code matrix) of words of one length, then (positions, None) for the long ones."""
+        marked = ["▁" + w for w in words]
+        lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        order = np.argsort(lengths, kind="stable")
+        for length in np.unique(lengths):
+            at = order[np.searchsorted(lengths[order], length) : np.searchsorted(lengths[order], length, "right")]
+            if length > self.LONGEST_WORD:
+                yield at, None
+                continue
+            step = max(1, self.CELLS // int(length))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                data = "".join([marked[i] for i in part]).encode("utf-32-le", "surrogatepass")
+                yield part, np.frombuffer(data, dtype=np.uint32).reshape(len(part), length)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for at, codes in self._blocks(words):
+            if codes is None:
+                out[at] = [self.single.log_probability(words[i]) for i in at]
+            else:
+                out[at] = self._forward(codes)[0][-1]
+        return out
+
+    def expect(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
+        for at, codes in self._blocks(words):
+            if codes is None:
+                for i in at:
+                    self.single.expect(words[i], float(counts[i]), into)
+                continue
+            alpha, steps = self._forward(codes)
+            beta = np.full(alpha.shape, -math.inf)
+            beta[-1] = 0
+            for j in range(len(steps), 0, -1):
+                low, pieces, logs = steps[j - 1]
+                tails = logs + beta[j]
+                weights = np.exp(alpha[low:j] + tails - alpha[-1]) * counts[at]
+                known = pieces >= 0
+                into += np.bincount(self.numbers.take(pieces[known]), weights=weights[known], minlength=self.size)
+                for code in np.unique(codes[~known[-1], j - 1]):
+                    share = weights[-1, ~known[-1] & (codes[:, j - 1] == code)].sum()
+                    for number in self._spelt(int(code))[0]:
+                        into[number] += share
+                beta[low:j] = np.logaddexp(beta[low:j], tails)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """`[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -160,11 +281,14 @@ def piece_probabilities(
     `weights` are the probabilities of the round before.
     """
     sent = words.sparkSession.sparkContext.broadcast((numbers, weights))
+    built: dict[str, LatticeBlocks] = {}  # each task gets its own copy of the empty dictionary
 
     def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
-        lattice = Lattice(*sent.value)
-        for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-            lattice.expect(word.decode("utf-8", "surrogatepass"), c, sums)
+        if not built:
+            built["blocks"] = LatticeBlocks(*sent.value)
+        blocks = built["blocks"]
+        words = [w.decode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
+        blocks.expect(words, np.asarray(batch.column("c"), dtype=float), sums)
 
     counts = partition_sum(words.where("c > 0").select("word", "c"), add, len(prior)) + PRIOR_TOKENS * prior
     counts[numbers[END]] += end_count
@@ -196,10 +320,10 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) ->
     spread = train + 0.1 * (distinct + 1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*model.value)
+        blocks = LatticeBlocks(*model.value)
         for batch in batches:
-            names = batch.column("word").to_pylist()
-            logs = [lattice.log_probability(w.decode("utf-8", "surrogatepass")) / LN10 for w in names]
+            names = [w.decode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
+            logs = blocks.log_probabilities(names) / LN10
             counts = np.asarray(batch.column("c"), dtype=float)
             base = np.log10((counts + 0.1) / spread)
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ import pytest
 
 from quirefold.llm import lm_score
 from quirefold.llm.common import remainder as crc
-from quirefold.llm.lm_score import END, LN10, VOCABULARY, Lattice, read_pieces, score_texts
+from quirefold.llm.lm_score import END, LN10, VOCABULARY, Lattice, LatticeBlocks, read_pieces, score_texts
 from tests.llm.helpers import AWKWARD, documents, remainder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +103,18 @@ def test_score_is_the_product_over_words(spark):
 
 def test_empty_table(spark):
     assert score_texts(documents(spark, [], awkward=False), crc(10) != 0).count() == 0
+
+
+def test_many_words_at_once_equal_one_by_one():
+    numbers, prior = read_pieces(VOCABULARY)
+    blocks = LatticeBlocks(numbers, prior)
+    words = ["", "a", "the", "thereof", "naïve", "東京", "\U0001f600x", "\x00b", "\x00", "a" * 63, "a" * 64, "b" * 90, "é日本" * 5, "the"]
+    single = [blocks.single.log_probability(w) for w in words]
+    assert blocks.log_probabilities(words) == pytest.approx(single)
+    counts = np.arange(1.0, len(words) + 1)
+    want, got = np.zeros(len(prior)), np.zeros(len(prior))
+    for word, c in zip(words, counts):
+        blocks.single.expect(word, c, want)
+    blocks.expect(words, counts, got)
+    assert got == pytest.approx(want)
+    assert len(blocks.log_probabilities([])) == 0
