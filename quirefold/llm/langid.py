@@ -13,6 +13,7 @@ cover all learning documents, and every text is scored whole.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,18 +136,27 @@ def fit_languages(docs: DataFrame, learn, max_train: int = MAX_TRAIN) -> Languag
     sample = stage(
         sample.mapInArrow(vectors, "shard int, label int, buckets array<int>, values array<float>"), "language-sample"
     )
+
+    def pack(group: pa.Table) -> pa.Table:
+        return pa.table({"data": [pickle.dumps(_examples(group))]})
+
+    # A shard becomes one value of bounded size, written once: rounds read it and shuffle nothing.
+    learning = sample.where(F.col("shard") < SHARDS).groupBy("shard").applyInArrow(pack, "data binary")
+    learning = stage(learning, "language-shards")
     shape = (BUCKETS + 1, len(names))
     z, n = np.zeros(shape), np.zeros(shape)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def epoch(group: pa.Table) -> pa.Table:
-            z, n = (x.copy() for x in state.value)
-            ftrl_epoch(_examples(group), z, n)
-            return pa.table({"z": [z.tobytes()], "n": [n.tobytes()]})
+        def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    z, n = (x.copy() for x in state.value)
+                    ftrl_epoch(pickle.loads(data), z, n)
+                    yield pa.RecordBatch.from_pydict({"z": [z.tobytes()], "n": [n.tobytes()]})
 
-        learnt = sample.where(F.col("shard") < SHARDS).groupBy("shard").applyInArrow(epoch, "z binary, n binary")
-        states = learnt.collect()  # SHARDS states of a size set by BUCKETS
+        states = learning.mapInArrow(epoch, "z binary, n binary").collect()  # SHARDS states of a size set by BUCKETS
+        states.sort()
         if states:
             z = np.mean([np.frombuffer(s["z"]).reshape(shape) for s in states], axis=0)
             n = np.mean([np.frombuffer(s["n"]).reshape(shape) for s in states], axis=0)
@@ -162,7 +172,8 @@ def _examples(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
     rows = [
         (np.array(b.as_py(), dtype=np.int64), np.array(v.as_py(), dtype=np.float64), y.as_py()) for b, v, y in zip(*columns)
     ]
-    return sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(r[0].tobytes()), r[2]))
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0].tobytes()), r[2]))
+    return [(b.astype(np.int32), v.astype(np.float32), y) for b, v, y in rows]
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
