@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from quirefold.llm.common import KEY, content_key, texts_of
+from quirefold.session import stage
 
 BLOCK_WORDS = 1 << 17
 CHUNK = 1 << 14
@@ -275,7 +276,8 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with the columns of `docs`."""
-    hit = find_contamination(docs, benchmark, **options).select(*KEY).distinct()
+    # Written first, so that its size is known and a small list is sent to the documents instead of moving them.
+    hit = stage(find_contamination(docs, benchmark, **options).select(*KEY).distinct(), "contaminated")
     rows = docs.withColumns(dict(zip(KEY, content_key("doc_id", "text"))))
     return rows.join(hit, KEY, "left_anti").select(*docs.columns)
 
