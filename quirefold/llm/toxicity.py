@@ -135,7 +135,8 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
     terms = terms.where(F.col("c1") + F.col("c0") >= MIN_DOCS).select(
         "term", (F.pow(gap, 2) / (share * (1.0 + 1e-9 - share))).alias("gain")
     )
-    best = terms.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).toArrow().column("term").to_numpy()
+    # The terms of a bounded sample are few: few partitions, so that few lists of candidates reach the driver.
+    best = terms.coalesce(SHARDS).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).toArrow().column("term").to_numpy()
     machine = Machine.start(np.sort(best))
     sent = spark.sparkContext.broadcast(machine)
 
@@ -154,14 +155,19 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
                 for data in batch.column("data").to_pylist():
                     own = Machine(sent.value.terms, *[x.copy() for x in _state(sent.value)])
                     own.epoch(pickle.loads(data))
-                    yield pa.RecordBatch.from_pydict({f"s{i}": [x.tobytes()] for i, x in enumerate(_state(own))})
+                    yield pa.RecordBatch.from_pydict(
+                        {f"s{i}": [x.astype(np.float32).tobytes()] for i, x in enumerate(_state(own))}
+                    )
 
         states = shards.mapInArrow(epoch, "s0 binary, s1 binary, s2 binary, s3 binary").collect()  # SHARDS states
         states.sort()
         parts = [
-            np.mean([np.frombuffer(s[i]) for s in states], axis=0).reshape(x.shape) for i, x in enumerate(_state(machine))
+            np.mean([np.frombuffer(s[i], dtype=np.float32) for s in states], axis=0, dtype=float).reshape(x.shape)
+            for i, x in enumerate(_state(machine))
         ]
         machine = Machine(machine.terms, *parts)
+        del states
+        sent.destroy()
     return machine
 
 
