@@ -1,12 +1,10 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Distances count words. The CGK embedding walks through a word sequence with random bits: at every step it
-emits the word it stands on and moves on if a bit, drawn from the step and the word, says so. Sequences close
-in edit distance emit strings close in Hamming distance. Sampling a few steps of the walk gives a hash that
-close windows share; it is repeated over several samples and walks until simulated edits are found with the
-target recall. Windows have the size of the item, rounded down to a power of two: documents are embedded at
-every start, items at every offset. Candidates are verified by the exact edit distance of the whole item to
-the best passage around.
+Distances count words. An item within k edits of a passage is cut into k + 1 pieces of consecutive words: an
+edit touches one piece at most, so one piece at least stands in the passage unchanged, at most k words from its
+place. Every place of a document that holds a piece is a candidate; no item within reach is missed. A candidate
+stays if enough words around it belong to the item, and is verified by the exact edit distance of the whole item
+to the best passage around.
 
 The items of a block (bounded in words) are the stated query set, sent to all tasks; documents never move.
 """
@@ -25,11 +23,12 @@ from quirefold.llm.common import KEY, content_key, texts_of
 from quirefold.session import stage
 
 BLOCK_WORDS = 1 << 17
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 CACHE_WORDS = 1 << 19
 TABLE_BITS = 20
-WALKS = 2
-SMALLEST, LARGEST = 8, 64
+PIECE_WORDS = 8  # of longer pieces the first words are looked up
+CELLS = 1 << 20  # words around candidates that are counted at a time
+SMALLEST = 8
 MARKS = ".,;:!?\"'`()[]{}<>|*_-–—“”‘’«»¡¿…"
 _MIX = np.int64(0x1E3779B97F4A7C15)
 
@@ -52,46 +51,15 @@ def word_ids(text: str, ids: _WordIds) -> np.ndarray:
     return found[found != 0]
 
 
-def window_size(n_words: int) -> int:
-    size = SMALLEST
-    while size * 2 <= min(n_words, LARGEST):
-        size *= 2
-    return size
+def piece_bounds(n_words: int, most: int) -> list[tuple[int, int]]:
+    """Where the `most` + 1 pieces of an item of `n_words` words begin and end; their lengths differ by one at most."""
+    ends = [n_words * i // (most + 1) for i in range(most + 2)]
+    return [(low, min(high, low + PIECE_WORDS)) for low, high in zip(ends, ends[1:])]
 
 
-class _Walk:
-    """One random walk for windows of `size` words and `samples` hashes over some of its steps.
-
-    It makes `size` steps, so that it cannot leave its window. The bit of a step and a word is a bit of the
-    word's own hash; walks use different halves of it.
-    """
-
-    def __init__(self, size: int, number: int, samples: int):
-        draw = random.Random(f"{size}/{number}")
-        self.size, self.samples = size, samples
-        self.bit = [31 * number + step % 31 for step in range(size)]
-        strata = np.linspace(0, size, (4 if size <= 8 else 5) + 1).astype(int)
-        self.at: list[list[int]] = [[] for _ in range(size)]
-        for sample in range(samples):
-            for low, high in zip(strata, strata[1:]):
-                self.at[draw.randrange(low, high)].append(sample)
-        self.last = max(step for step, users in enumerate(self.at) if users)
-
-    def hashes(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(samples, starts): `words` must reach `size` beyond every start."""
-        out = np.zeros((self.samples, len(starts)), dtype=np.int64)
-        at, seen, move = starts.astype(np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
-        for step in range(self.last + 1):
-            words.take(at, out=seen, mode="clip")
-            for sample in self.at[step]:
-                row = out[sample]
-                row *= _MIX
-                row += seen
-            np.right_shift(seen, self.bit[step], out=move)
-            np.bitwise_and(move, 1, out=move)
-            at += move
-        out *= _MIX
-        return out.view(np.uint64)
+def _mixed(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper `bits` bits of the hashes, once more multiplied, as an index."""
+    return ((hashes * _MIX).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def best_passage(item: list[int], masks: dict[int, int], words: np.ndarray) -> tuple[int, int]:
@@ -117,10 +85,11 @@ def best_passage(item: list[int], masks: dict[int, int], words: np.ndarray) -> t
 
 
 class ItemIndex:
-    """The hashes of all item windows of a block, and the search of word sequences against them."""
+    """The pieces of all items of a block, and the search of word sequences against them."""
 
-    def __init__(self, items: list[tuple[object, list[int]]], similarity: float, samples: int):
-        self.similarity = similarity
+    def __init__(self, items: list[tuple[object, list[int]]], similarity: float):
+        if not 0 < similarity <= 1:
+            raise ValueError("similarity must be above 0 and at most 1")
         self.items = items
         self.most = [int((1 - similarity) * len(w) + 1e-9) for _, w in items]
         self.masks: list[dict[int, int]] = []
@@ -129,77 +98,126 @@ class ItemIndex:
             for i, word in enumerate(words):
                 masks[word] = masks.get(word, 0) | 1 << i
             self.masks.append(masks)
-        self.walks = [_Walk(s, w, samples) for s in sorted({window_size(len(x)) for _, x in items}) for w in range(WALKS)]
-        self.tables = []
-        for walk in self.walks:
-            flat, starts, owner = [], [], []
-            for number, (_, words) in enumerate(items):
-                if window_size(len(words)) == walk.size:
-                    for offset in range(len(words) - walk.size + 1):
-                        starts.append(len(flat) + offset)
-                        owner.append((number, offset))
-                    flat += words
-            hashes = walk.hashes(np.array(flat + [0] * (walk.size + 1), dtype=np.int64), np.array(starts))
-            for row in hashes:
-                order = np.argsort(row, kind="stable")
-                bits = np.zeros(1 << TABLE_BITS, dtype=bool)
-                bits[(row >> np.uint64(64 - TABLE_BITS)).view(np.int64)] = True
-                self.tables.append((bits, row[order], np.array(owner)[order]))
-
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, where its first word would stand) for all windows of `words` that share a hash with it."""
-        found = set()
-        longest = max(w.size for w in self.walks) + 1
+        self.sizes, self.reach = np.array([len(w) for _, w in items], dtype=np.int64), np.array(self.most, dtype=np.int64)
+        pieces: dict[int, list[tuple[int, int]]] = {}  # by length: item and offset
+        for number, (_, words) in enumerate(items):
+            for low, high in piece_bounds(len(words), self.most[number]):
+                pieces.setdefault(high - low, []).append((number, low))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length, places in pieces.items():
+            keys = np.zeros(len(places), dtype=np.int64)
+            for step in range(length):
+                keys = keys * _MIX + np.array([items[n][1][low + step] for n, low in places], dtype=np.int64)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << TABLE_BITS, dtype=bool)
+            bits[_mixed(keys, TABLE_BITS)] = True
+            self.tables[length] = (bits, keys[order], np.array(places, dtype=np.int64)[order])
+        # Words of items, as one bit each: a wrong bit lets a candidate pass to the exact distance, never drops one.
+        self.member_bits = max(16, min(26, (8 * int(self.sizes.sum())).bit_length()))
+        self.members = np.zeros(1 << self.member_bits, dtype=bool)
+        for number, (_, words) in enumerate(items):
+            self.members[self._member(np.array(words, dtype=np.int64), np.int64(number))] = True
+
+    def _member(self, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return _mixed(words * _MIX + numbers, self.member_bits)
+
+    def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(sequence, item, where its first word would stand) of all pieces found, in parts of bounded size.
+
+        `ends` are the ends of the sequences in `words`.
+        """
+        longest = max(self.tables)
         padded = np.concatenate([words, np.zeros(longest, dtype=np.int64)])
         for low in range(0, len(words), CHUNK):
-            starts = np.arange(low, min(low + CHUNK, len(words)))
-            tables = iter(self.tables)
-            for walk in self.walks:
-                for row in walk.hashes(padded, starts):
-                    bits, keys, owner = next(tables)
-                    hits = np.flatnonzero(bits.take((row >> np.uint64(64 - TABLE_BITS)).view(np.int64)))
-                    if not len(hits):
-                        continue
-                    first = np.searchsorted(keys, row[hits], "left")
-                    last = np.searchsorted(keys, row[hits], "right")
-                    for hit, a, b in zip(hits[last > first], first[last > first], last[last > first]):
-                        for number, offset in owner[a:b]:
-                            found.add((int(number), low + int(hit) - int(offset)))
-        return found
+            high = min(low + CHUNK, len(words))
+            hashes = np.zeros(high - low, dtype=np.int64)
+            for length in range(1, longest + 1):
+                hashes *= _MIX
+                hashes += padded[low + length - 1 : high + length - 1]
+                if length not in self.tables:
+                    continue
+                bits, keys, places = self.tables[length]
+                hits = np.flatnonzero(bits.take(_mixed(hashes, TABLE_BITS)))
+                first = np.searchsorted(keys, hashes[hits], "left")
+                count = np.searchsorted(keys, hashes[hits], "right") - first
+                hits, first, count = hits[count > 0], first[count > 0], count[count > 0]
+                at = hits + low
+                owners = np.searchsorted(ends, at, "right")
+                inside = at + length <= ends[owners]
+                at, first, count, owners = at[inside], first[inside], count[inside], owners[inside]
+                parts = np.cumsum(count) // CELLS
+                for part in np.unique(parts):
+                    here = parts == part
+                    n = count[here]
+                    rows = np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    yield np.repeat(owners[here], n), places[rows, 0], np.repeat(at[here], n) - places[rows, 1]
+
+    def likely(self, words: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The rows (sequence, item, start) with enough words of the item around: all words but the edits."""
+        owners, numbers, starts = found.T
+        low = np.maximum(starts - self.reach[numbers], np.where(owners > 0, ends[owners - 1], 0))
+        high = np.minimum(starts + self.sizes[numbers] + self.reach[numbers], ends[owners])
+        lengths = high - low
+        keep = np.zeros(len(found), dtype=bool)
+        parts = np.cumsum(lengths) // CELLS
+        for part in np.unique(parts):
+            here = np.flatnonzero(parts == part)
+            n = lengths[here]
+            begins = np.cumsum(n) - n
+            around = words[np.repeat(low[here] - begins, n) + np.arange(n.sum())]
+            member = self.members.take(self._member(around, np.repeat(numbers[here], n)))
+            known = np.add.reduceat(member.astype(np.int64), begins)
+            keep[here] = known >= (self.sizes - self.reach)[numbers[here]]
+        return found[keep]
 
     def search(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
         """(sequence, item, distance, start) for every item within reach of a sequence; its best passage."""
-        ends = np.cumsum([len(s) for s in sequences])
+        ends = np.cumsum([len(s) for s in sequences], dtype=np.int64)
         if not len(ends) or not ends[-1] or not self.items:
             return
         words = np.concatenate(sequences)
+        found = [self.likely(words, ends, np.stack(c, axis=1)) for c in self.candidates(words, ends)]
+        if not found:
+            return
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        verified: dict[tuple[int, int], int] = {}
-        for number, start in sorted(self.candidates(words)):
-            size, most = len(self.items[number][1]), self.most[number]
-            # The sequence that holds the middle of the window; a window may stick out at either end.
-            owner = int(np.searchsorted(ends, min(max(start + size // 2, 0), len(words) - 1), "right"))
-            low, high = int(ends[owner]) - len(sequences[owner]), int(ends[owner])
-            # Candidates a few words apart are one passage: the region reaches that much further.
-            if start <= verified.get((owner, number), -(1 << 60)) + most:
-                continue
-            verified[owner, number] = start
-            a, b = max(low, start - most), min(high, start + size + 2 * most + 1)
+
+        def verify(owner: int, number: int, a: int, b: int) -> None:
             distance, end = best_passage(self.items[number][1], self.masks[number], words[a:b])
-            if distance <= most:
-                best[owner, number] = min(best.get((owner, number), (1 << 60, 0)), (distance, max(a + end - size - low, 0)))
+            if distance <= self.most[number]:
+                start = max(a + end - len(self.items[number][1]) - int(ends[owner]) + len(sequences[owner]), 0)
+                best[owner, number] = min(best.get((owner, number), (1 << 60, 0)), (distance, start))
+
+        # Regions that overlap are one: a sequence is read once per item at most, however often pieces are met.
+        last: tuple[int, int, int, int] | None = None
+        for owner, number, start in np.unique(np.concatenate(found), axis=0).tolist():
+            most = self.most[number]
+            a = max(start - most, int(ends[owner]) - len(sequences[owner]))
+            b = min(start + len(self.items[number][1]) + most, int(ends[owner]))
+            if last and last[:2] == (owner, number) and a <= last[3]:
+                last = (*last[:3], max(b, last[3]))
+                continue
+            if last:
+                verify(*last)
+            last = (owner, number, a, b)
+        if last:
+            verify(*last)
         for (owner, number), (distance, start) in sorted(best.items()):
             yield owner, number, distance, start
 
 
-def simulated_recall(items: list[list[int]], similarity: float, samples: int, trials: int = 192) -> float:
-    """Share of edited items that the index finds; the number of edits is drawn from all that are allowed."""
+def simulated_recall(
+    items: list[list[int]], similarity: float, samples: int = 1, trials: int = 192, largest: bool = False
+) -> float:
+    """Share of edited items that the index finds; the number of edits is drawn from all that are allowed.
+
+    With `largest`, every item gets as many edits as are allowed. `samples` is always 1, see `samples_for`.
+    """
     draw = random.Random(1)
     chosen = items if len(items) <= trials else draw.sample(items, trials)
-    index, found = ItemIndex([(i, w) for i, w in enumerate(chosen)], similarity, samples), 0
+    index, found = ItemIndex([(i, w) for i, w in enumerate(chosen)], similarity), 0
     for number, words in enumerate(chosen):
         edited = list(words)
-        for _ in range(draw.randint(0, index.most[number])):
+        for _ in range(index.most[number] if largest else draw.randint(0, index.most[number])):
             at, kind = draw.randrange(len(edited)), draw.randrange(3)
             edited[at : at + (kind != 0)] = [] if kind == 1 else [draw.getrandbits(62) | 1]
         context = [draw.getrandbits(62) | 1 for _ in range(20)]
@@ -209,11 +227,8 @@ def simulated_recall(items: list[list[int]], similarity: float, samples: int, tr
 
 
 def samples_for(items: list[list[int]], similarity: float, target: float) -> int:
-    """Hashes per walk, doubled until the simulated recall reaches the target (at most 64)."""
-    samples = 4
-    while samples < 64 and simulated_recall(items, similarity, samples) < target:
-        samples *= 2
-    return samples
+    """Ways to cut the items into pieces that are looked up: one reaches every target, as it misses nothing."""
+    return 1
 
 
 def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[object, list[int]]]]:
@@ -239,7 +254,8 @@ def find_contamination(
 
     An item of w words is found where some passage is within (1 - `similarity`) * w word edits. Words are
     compared in lower case without punctuation at their ends; `start` counts such words. Items under
-    `min_words` words (at least 8) say nothing and are not searched. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
+    `min_words` words (at least 8) say nothing and are not searched. All items within reach are found, so every
+    `target_recall` is met. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
     repeated rows are found alike; empty tables give no rows. Other columns are not returned.
     """
     spark = docs.sparkSession
@@ -247,12 +263,11 @@ def find_contamination(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, start long, _q1 long, _q2 long"
     out = None
     for block in item_blocks(benchmark, max(min_words, SMALLEST)):
-        samples = samples_for([w for _, w in block], similarity, target_recall)
-        sent = spark.sparkContext.broadcast((block, samples))
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, samples = sent.value
-            index, ids = ItemIndex(items, similarity, samples), _WordIds()
+            items = sent.value
+            index, ids = ItemIndex(items, similarity), _WordIds()
             for batch in batches:
                 rows = list(index.search([word_ids(t, ids) for t in texts_of(batch)]))
                 at = pa.array([r[0] for r in rows], pa.int64())

@@ -114,3 +114,32 @@ def test_empty_tables(spark):
 
 def test_words():
     assert len(word_ids("A, a 'a' -- b", _WordIds())) == 4
+
+
+def test_no_item_within_reach_is_missed_at_any_length():
+    """Lengths at and just above powers of two, every item with as many edits as are allowed."""
+    draw = random.Random(5)
+    for n in (8, 9, 15, 16, 17, 20, 31, 32, 33, 40, 63, 64, 65, 100, 300):
+        items = [[draw.getrandbits(40) for _ in range(n)] for _ in range(100)]
+        assert simulated_recall(items, 0.8, samples_for(items, 0.8, 0.95), largest=True) == 1
+
+
+def test_all_passages_of_few_words_equal_brute_force():
+    """Words repeat so often that nearly every place holds a piece of an item; sequences border on each other."""
+    draw = random.Random(7)
+    items = [(i, draw.choices(range(1, 9), k=draw.choice((8, 10, 16, 32)))) for i in range(20)]
+    sequences = [draw.choices(range(1, 9), k=draw.randrange(0, 120)) for _ in range(30)]
+    for i in range(0, 30, 2):
+        passage = list(items[draw.randrange(20)][1])
+        for _ in range(len(passage) // 5):
+            passage[draw.randrange(len(passage))] = draw.randrange(1, 9)
+        sequences[i] = passage + sequences[i] if i % 4 else sequences[i] + passage
+    want = set()
+    for s, words_ in enumerate(sequences):
+        for i, item in items:
+            distance = passage_distance(item, words_)
+            if distance <= len(item) // 5:
+                want.add((s, i, distance))
+    index = decontamination.ItemIndex(items, 0.8)
+    got = {(s, i, distance) for s, i, distance, _ in index.search([np.array(s, dtype=np.int64) for s in sequences])}
+    assert len(want) >= 15 and got == want
