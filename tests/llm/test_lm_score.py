@@ -118,3 +118,26 @@ def test_many_words_at_once_equal_one_by_one():
     blocks.expect(words, counts, got)
     assert got == pytest.approx(want)
     assert len(blocks.log_probabilities([])) == 0
+
+
+@pytest.mark.parametrize("frequent", [1, 10_000])
+def test_every_round_learns_from_every_training_word(spark, monkeypatch, frequent):
+    """Scores are those of re-estimations on all training words; held-out texts change none of them."""
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    rows = [(i, f"quixotic zephyr{i % 9} gleams{i} while {'common ' * (i % 4)}marmots whistle") for i in range(40)]
+    train = [t for d, t in rows if remainder(d, 10) != 0]
+    counts = Counter(w for t in train for w in tokens(t))
+    numbers, prior = read_pieces(VOCABULARY)
+    probabilities = prior
+    for _ in range(4):
+        sums = lm_score.PRIOR_TOKENS * prior
+        LatticeBlocks(numbers, probabilities).expect(list(counts), np.array(list(counts.values()), dtype=float), sums)
+        sums[numbers[END]] += len(train)
+        probabilities = sums / sums.sum()
+    lattice = Lattice(numbers, probabilities)
+    held = [(d, f"{t} {'marmots gleams1 ' * 50}") for d, t in rows if remainder(d, 10) == 0]
+    for docs in (rows, [x for x in rows if remainder(x[0], 10) != 0] + held):
+        texts = dict(docs)
+        for row in score_texts(documents(spark, docs, awkward=False), crc(10) != 0).collect():
+            logs = sum(lattice.log_probability(w) for w in tokens(texts[row["doc_id"]])) + lattice.end
+            assert row["score"] == pytest.approx(logs / LN10)
