@@ -28,7 +28,7 @@ CACHE_WORDS = 1 << 19
 TABLE_BITS = 20
 PIECE_WORDS = 8  # of longer pieces the first words are looked up
 CELLS = 1 << 20  # words around candidates that are counted at a time
-SMALLEST = 8
+SMALLEST = 5
 MARKS = ".,;:!?\"'`()[]{}<>|*_-–—“”‘’«»¡¿…"
 _MIX = np.int64(0x1E3779B97F4A7C15)
 
@@ -248,13 +248,13 @@ def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[obj
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.95, min_words: int = 8
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.95, min_words: int = SMALLEST
 ) -> DataFrame:
     """doc_id, item_id, distance, item_words, start, _q1, _q2: items found in documents, one row per row and item.
 
     An item of w words is found where some passage is within (1 - `similarity`) * w word edits. Words are
     compared in lower case without punctuation at their ends; `start` counts such words. Items under
-    `min_words` words (at least 8) say nothing and are not searched. All items within reach are found, so every
+    `min_words` words (any number from 1) say nothing and are not searched. All items within reach are found, so every
     `target_recall` is met. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
     repeated rows are found alike; empty tables give no rows. Other columns are not returned.
     """
@@ -262,7 +262,7 @@ def find_contamination(
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, start long, _q1 long, _q2 long"
     out = None
-    for block in item_blocks(benchmark, max(min_words, SMALLEST)):
+    for block in item_blocks(benchmark, max(min_words, 1)):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

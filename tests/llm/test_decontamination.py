@@ -143,3 +143,16 @@ def test_all_passages_of_few_words_equal_brute_force():
     index = decontamination.ItemIndex(items, 0.8)
     got = {(s, i, distance) for s, i, distance, _ in index.search([np.array(s, dtype=np.int64) for s in sequences])}
     assert len(want) >= 15 and got == want
+
+
+def test_short_items_are_found_and_the_least_length_is_the_callers(spark):
+    items = [(1, "who wrote the red book"), (2, "name the seven oldest cities here now"), (3, "what is rain"), (4, "why")]
+    docs = [(1, "q: Who wrote the red book? a"), (2, "name the seven oldest towns here now"), (3, "so what is rain"), (4, "who wrote a book")]
+
+    def found(**options):
+        rows = find_contamination(documents(spark, docs, awkward=False), benchmark(spark, items), **options).collect()
+        return {(r["doc_id"], r["item_id"], r["distance"]) for r in rows}
+
+    assert found() == {(1, 1, 0), (2, 2, 1)}
+    assert found(min_words=8) == set()
+    assert found(min_words=3) == {(1, 1, 0), (2, 2, 1), (3, 3, 0)}
