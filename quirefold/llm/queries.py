@@ -15,9 +15,13 @@ from quirefold.llm.decontamination import find_contamination
 from quirefold.llm.langid import fit_languages, identify_languages
 from quirefold.llm.line_dedup import dedup_lines
 from quirefold.llm.lm_score import score_texts
+from quirefold.llm.manifest import build_manifest, prove
+from quirefold.llm.negatives import hard_negatives
 from quirefold.llm.packing import pack_documents
 from quirefold.llm.quality import score_quality
+from quirefold.llm.sharding import DIMENSIONS, shard_documents
 from quirefold.llm.simhash import simhash_groups
+from quirefold.llm.sql import HARD_NEGATIVES, MANIFEST, SHARDING
 from quirefold.llm.toxicity import score_toxicity
 from quirefold.llm.url_filter import judge_urls
 
@@ -89,6 +93,22 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shard_documents(documents(spark, folder), shards=40, law="rows", columns=["doc_id", *DIMENSIONS])
+    return placed.select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return prove(build_manifest(documents(spark, folder), tampered=remainder(5) == 0))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_sharding": op11_sharding,
+    "op12_manifest": op12_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -169,4 +192,7 @@ ORACLES: dict[str, str] = {
             SELECT 1 FROM hit WHERE node = host || path || query) THEN 'block' ELSE 'allow' END) AS verdict
         FROM judged
     """,
+    "op11_sharding": SHARDING,
+    "op12_manifest": MANIFEST,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
