@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -46,3 +47,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def round_to(value: Column, digits: int) -> Column:
     """Rounded value without negative zero, so that equal results compare and hash as equal."""
     return F.round(value, digits) + F.lit(0.0)
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a zero row stays zero."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)

@@ -8,22 +8,27 @@ a title may hold any share of the store.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirefold.functions.vectors import dot, l2_normalize, round_to
+from quirefold.functions.vectors import dot, l2_normalize, round_to, unit_rows
 from quirefold.operators.identity import title_counts
 from quirefold.operators.ordering import dense_index
+from quirefold.operators.signatures import decode, directions, signature_table
+from quirefold.session import stage
 
 DISTANCE_DIGITS = 6
 QUESTION_BLOCK = 2048  # questions packed into one constant at a time
 QUESTION_BYTES = 64 * 1024 * 1024  # question vectors handed to the tasks at a time
 FRAME_ROWS = 1_000_000  # candidate rows a task holds at a time
+CALIBRATION = 32  # questions answered exactly to find the depth of the approximate search
+TARGET_RECALL = 0.97
+FIRST_DEPTH = 16  # depth up to which ranks are looked at first
 SEPARATOR = "\n" + "-" * 86 + "\n"  # fixed value: stands between the passages of a context
 
 
@@ -73,21 +78,25 @@ def adaptive_k(n: Column, exponent: float = 0.4, factor: float = 2.0, max_k: int
     return F.least((F.pow(n.cast("double"), F.lit(exponent)) * factor).cast("int"), F.lit(max_k))
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+def _vectors(embeddings: pd.Series) -> np.ndarray:
+    return unit_rows(np.stack(embeddings.to_numpy()).astype(float))
 
 
-def _batch_candidates(asked, max_k: int, digits: int | None):
-    """Task function: the best rows of each Arrow batch, per title and question, in frames of bounded size."""
+def _batch_candidates(
+    asked, max_k: int, digits: int | None, column: str = "embedding", read: Callable[[pd.Series], np.ndarray] = _vectors
+):
+    """Task function: the best rows of each Arrow batch, per title and question, in frames of bounded size.
+
+    `read` turns `column` into one row of numbers per chunk, to be multiplied with those of the questions.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_idx, questions = asked.value
         for batch in batches:
-            batch = batch[batch["embedding"].notna()].sort_values(["title", "id"], kind="stable").reset_index(drop=True)
+            batch = batch[batch[column].notna()].sort_values(["title", "id"], kind="stable").reset_index(drop=True)
             if batch.empty:
                 continue
-            vectors = _unit_rows(np.stack(batch["embedding"].to_numpy()).astype(float))
+            vectors = read(batch[column])
             titles, ids = batch["title"].to_numpy(), batch["id"].to_numpy()
             groups = list(batch.groupby("title", sort=False).indices.values())
             step = max(1, FRAME_ROWS // len(batch))
@@ -113,22 +122,32 @@ def _batch_candidates(asked, max_k: int, digits: int | None):
     return run
 
 
-def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
-    """Candidates by matrix products per Arrow batch; the path for large stores and long vectors."""
-    spark = store.sparkSession
+def _compared(
+    rows: DataFrame, vectors: DataFrame, max_k: int, digits: int | None, turned: bool = False, **options
+) -> DataFrame:
+    """(title, q_idx, id, distance) by matrix products per Arrow batch, for as many questions at a time as fit.
+
+    With `turned`, the questions are turned by the directions of the signatures first.
+    """
+    spark = rows.sparkSession
     schema = "title string, q_idx int, id string, distance double"
-    narrow = store.select("title", "id", "embedding")
     width = vectors.select(F.max(F.size("vector"))).first()[0]
     parts = []
     for block in question_blocks(vectors, max(1, QUESTION_BYTES // (8 * max(width or 1, 1)))):
-        rows = block.select("q_idx", "vector").toArrow()  # at most QUESTION_BYTES of vectors
-        if len(rows):
-            matrix = _unit_rows(np.array(rows.column("vector").to_pylist(), dtype=float))
-            asked = spark.sparkContext.broadcast((rows.column("q_idx").to_numpy(), matrix))
-            parts.append(narrow.mapInPandas(_batch_candidates(asked, max_k, digits), schema))
+        asked = block.select("q_idx", "vector").toArrow()  # at most QUESTION_BYTES of vectors
+        if len(asked):
+            matrix = unit_rows(np.array(asked.column("vector").to_pylist(), dtype=float))
+            matrix = matrix @ directions(matrix.shape[1]).T if turned else matrix
+            sent = spark.sparkContext.broadcast((asked.column("q_idx").to_numpy(), matrix))
+            parts.append(rows.mapInPandas(_batch_candidates(sent, max_k, digits, **options), schema))
     return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], schema)])
 
 
+def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
+    """Candidates by matrix products per Arrow batch; the path for large stores and long vectors."""
+    return _compared(store.select("title", "id", "embedding"), vectors, max_k, digits)
+
+
 def _distance(a: Column, b: Column, digits: int | None) -> Column:
     distance = F.lit(1.0) - dot(a, b)
     return distance if digits is None else round_to(distance, digits)
@@ -147,47 +166,76 @@ def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits:
     return pairs.select("title", "q.q_idx", "id", _distance(F.col("v"), F.col("q.vector"), digits).alias("distance"))
 
 
-def projection_sign(table: int, hash_: int, dim: int) -> float:
-    """The declared random projections: +1 or -1 by the first digit of an MD5."""
-    return 1.0 if hashlib.md5(f"{table}-{hash_}-{dim}".encode()).hexdigest()[0] < "8" else -1.0
+def _ranked(candidates: DataFrame, most: int, name: str = "rank") -> DataFrame:
+    """Candidates with their rank per title and question, up to `most`; ties go to the smaller id."""
+    order = Window.partitionBy("title", "q_idx").orderBy("distance", "id")
+    return candidates.withColumn(name, F.row_number().over(order)).where(F.col(name) <= most)
+
+
+def probes(index: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(title, q_idx, id, probe): chunks in the order in which their buckets are visited, the first `most`.
+
+    `index` is a `signature_table`. Buckets are visited by the product of the question with their centre; chunks
+    of one bucket in the order of their ids.
+    """
+    near = _compared(index, vectors, most, DISTANCE_DIGITS, turned=True, column="signature", read=decode)
+    return _ranked(near, most, "probe").drop("distance")
+
+
+def calibrated_depth(
+    store: DataFrame, index: DataFrame, vectors: DataFrame, k: DataFrame, max_k: int, digits: int | None, target: float
+) -> float:
+    """How many times k chunks have to be visited for `target` of the true hits, in quarters.
+
+    Measured on at most `CALIBRATION` questions (a stated bound) against the exact search over the whole store, and
+    widened until it is reached. Only a histogram of the visits needed reaches the driver.
+    """
+    asked = vectors.orderBy(F.md5(F.col("q_idx").cast("string")), "q_idx").limit(CALIBRATION)
+    true = _ranked(matrix_candidates(store, asked, max_k, digits), max_k).join(k, "title").where(F.col("rank") <= F.col("k"))
+    true = stage(true.select("title", "q_idx", "id", "k"), "true-hits")
+    reach = FIRST_DEPTH
+    while True:
+        met = true.join(probes(index, asked, reach * max_k), ["title", "q_idx", "id"], "left")
+        quarters = F.greatest(F.floor(4 * (F.col("probe") - 1) / F.col("k")) + 1, F.lit(4)).alias("quarters")
+        needed = {r["quarters"]: r["count"] for r in met.select(quarters).groupBy("quarters").count().collect()}
+        total, found = sum(needed.values()), 0
+        for depth in sorted(q for q in needed if q is not None and q <= 4 * reach):
+            found += needed[depth]
+            if found >= target * total:
+                return depth / 4
+        if None not in needed:
+            return float(max(needed, default=4)) / 4
+        reach *= 4
 
 
 def lsh_candidates(
     store: DataFrame,
     vectors: DataFrame,
     max_k: int,
-    digits: int | None = None,
-    bucket_length: float = 2.0,
-    tables: int = 10,
-    hashes: int = 3,
+    digits: int | None,
+    k: DataFrame,
+    target_recall: float = TARGET_RECALL,
+    depth: float | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Approximate candidates: random projection buckets on unit vectors, exact distance afterwards.
+    """Approximate candidates: chunks of the most promising buckets, with their exact distance.
 
-    Projections on +1 / -1 directions spread over about one unit. A chunk and a question meet when all `hashes`
-    buckets of one of the `tables` agree. Only signatures and ids are matched; vectors are fetched once per
-    candidate.
+    Inside each title, buckets of signatures are visited in the order of their promise until `depth` times k
+    chunks are met; without `depth`, it is calibrated to `target_recall`. `index` is the `signature_table` of the store, if
+    it is kept; vectors are read only to compare those that were met.
     """
-    stored = store.where(F.col("embedding").isNotNull()).select(
-        "title", "id", l2_normalize(F.col("embedding")).alias("v")
-    )
+    if index is None:
+        index = stage(signature_table(store), "signatures")
+    if depth is None:
+        depth = calibrated_depth(store, index, vectors, k, max_k, digits, target_recall)
+    met = probes(index, vectors, math.ceil(depth * max_k)).join(k, "title").where(F.col("probe") <= F.ceil(F.col("k") * depth))
+    stored = store.where(F.col("embedding").isNotNull()).select("title", "id", l2_normalize(F.col("embedding")).alias("v"))
     asked = vectors.select("q_idx", l2_normalize(F.col("vector")).alias("qv"))
-    dim = stored.select(F.size("v")).first()
-    dim = dim[0] if dim else 0
-
-    def signed(df: DataFrame, vector: str, key: list[str]) -> DataFrame:
-        def bucket(table: int, hash_: int) -> Column:
-            signs = F.array(*[F.lit(projection_sign(table, hash_, d)) for d in range(dim)])
-            return F.floor(F.round(dot(F.col(vector), signs), 6) / bucket_length)
-
-        signatures = [F.array_join(F.array(*[bucket(t, h) for h in range(hashes)]), ",") for t in range(tables)]
-        return df.select(*key, F.posexplode(F.array(*signatures)).alias("table", "signature"))
-
-    met = signed(stored, "v", ["title", "id"]).join(signed(asked, "qv", ["q_idx"]), ["table", "signature"])
-    pairs = met.select("title", "id", "q_idx").distinct().join(stored, ["title", "id"]).join(asked, "q_idx")
+    pairs = met.select("title", "id", "q_idx").join(stored, ["title", "id"]).join(asked, "q_idx")
     return pairs.select("title", "q_idx", "id", _distance(F.col("v"), F.col("qv"), digits).alias("distance"))
 
 
-METHODS = {"matrix": matrix_candidates, "native": native_candidates, "lsh": lsh_candidates}
+METHODS = {"matrix": matrix_candidates, "native": native_candidates}
 
 
 def retrieve(
@@ -199,19 +247,22 @@ def retrieve(
     method: str = "matrix",
     counts: DataFrame | None = None,
     digits: int | None = None,
+    **options,
 ) -> DataFrame:
     """Hits `(title, q_idx, rank, id, chunk, distance)`: the adaptive top-k of each title.
 
     `store` has `title, id, chunk, embedding`; `vectors` has `q_idx, vector`. Ties go to the smaller id;
     `digits` rounds distances before they are ranked. Two filters on purpose: the constant bound is what Spark
-    can push in front of the shuffle. Texts join when the ranks are final.
+    can push in front of the shuffle. Texts join when the ranks are final. `method` is `matrix` or `native` (both
+    exact) or `lsh`, which takes the `options` of `lsh_candidates`.
     """
-    candidates = METHODS[method](store, vectors, max_k, digits)
-    by_distance = Window.partitionBy("title", "q_idx").orderBy("distance", "id")
-    best = candidates.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= max_k)
     k = title_counts(store) if counts is None else counts
     k = k.select("title", adaptive_k(F.col("n_chunks"), exponent, factor, max_k).alias("k"))
-    best = best.join(k, "title").where(F.col("rank") <= F.col("k"))
+    if method == "lsh":
+        candidates = lsh_candidates(store, vectors, max_k, digits, k, **options)
+    else:
+        candidates = METHODS[method](store, vectors, max_k, digits)
+    best = _ranked(candidates, max_k).join(k, "title").where(F.col("rank") <= F.col("k"))
     return best.join(store.select("title", "id", "chunk"), ["title", "id"]).select(
         "title", "q_idx", "rank", "id", "chunk", "distance"
     )

@@ -493,26 +493,56 @@ RANKED = """SELECT r.* FROM
        JOIN (SELECT title, floor(pow(CAST(count(*) AS DOUBLE), 0.4) * 2) AS k FROM label_store GROUP BY title) USING (title)
        WHERE rank <= least(k, 20)"""
 step("hits", ["products", "questions", "label_store"], RANKED.format(candidates="label_store CROSS JOIN questions"))
-# projections on +1 / -1 directions by the first digit of an MD5, ten tables of three buckets of width 2
+# projections on orthonormal directions (signs of a Hadamard matrix, flipped by the first digit of an MD5), cut into
+# buckets of width 1/16; buckets are visited by the product of their centre with the question
 step(
     "signs",
     [],
-    """SELECT t, h, b, CASE WHEN substr(md5(t || '-' || h || '-' || b), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS sign
-       FROM unnest(range(0, 10)) AS x(t), unnest(range(0, 3)) AS y(h), unnest(range(0, 64)) AS z(b)""",
+    """SELECT j, b, (CASE WHEN bit_count(j & b) % 2 = 0 THEN 0.125 ELSE -0.125 END)
+              * (CASE WHEN substr(md5(CAST(b AS VARCHAR)), 1, 1) < '8' THEN 1 ELSE -1 END) AS sign
+       FROM unnest(range(0, 64)) AS x(j), unnest(range(0, 64)) AS y(b)""",
+)
+step(
+    "buckets",
+    ["signs", "store_dims"],
+    """SELECT id, title, j, (floor(round(sum(y * sign), 6) * 16) + 0.5) / 16 AS centre
+       FROM store_dims JOIN signs USING (b) GROUP BY id, title, j""",
+)
+step(
+    "turned_questions",
+    ["signs", "question_dims"],
+    "SELECT q_idx, j, sum(x * sign) AS p FROM question_dims JOIN signs USING (b) GROUP BY q_idx, j",
+)
+step(
+    "probes",
+    ["buckets", "turned_questions"],
+    """SELECT *, row_number() OVER (PARTITION BY title, q_idx ORDER BY far, id) AS probe FROM
+         (SELECT title, q_idx, id, round(1 - sum(centre * p), 6) AS far FROM buckets JOIN turned_questions USING (j)
+          GROUP BY title, q_idx, id)""",
+)
+step(
+    "ks",
+    ["label_store"],
+    """SELECT title, count(*) AS n_chunks, least(floor(pow(CAST(count(*) AS DOUBLE), 0.4) * 2), 20) AS k
+       FROM label_store GROUP BY title""",
+)
+step(
+    "quarters",
+    ["hits", "questions", "probes", "ks"],
+    """SELECT greatest(floor(4 * (probe - 1) / k) + 1, 4) AS q FROM hits JOIN probes USING (title, q_idx, id) JOIN ks USING (title)
+       WHERE q_idx IN (SELECT q_idx FROM questions ORDER BY md5(CAST(q_idx AS VARCHAR)), q_idx LIMIT 32)""",
+)
+step(
+    "depth",
+    ["quarters"],
+    """SELECT min(q) / 4 AS depth FROM (SELECT DISTINCT q FROM quarters) d
+       WHERE (SELECT avg(CASE WHEN o.q <= d.q THEN 1.0 ELSE 0.0 END) FROM quarters o) >= 0.97""",
 )
-for side, key, dims, x in (("store", "id", "store_dims", "y"), ("question", "q_idx", "question_dims", "x")):
-    step(
-        f"{side}_signatures",
-        ["signs", dims],
-        f"""SELECT {key}, t, string_agg(bucket, ',' ORDER BY h) AS signature FROM
-              (SELECT {key}, t, h, CAST(floor(round(sum({x} * sign), 6) / 2.0) AS BIGINT) AS bucket
-               FROM {dims} JOIN signs USING (b) GROUP BY ALL) GROUP BY ALL""",
-    )
 step(
     "met",
-    ["store_signatures", "question_signatures", "label_store"],
-    """SELECT * FROM (SELECT DISTINCT id, q_idx FROM store_signatures JOIN question_signatures USING (t, signature))
-       JOIN label_store USING (id)""",
+    ["probes", "ks", "depth", "label_store"],
+    """SELECT title, q_idx, id, chunk FROM probes JOIN ks USING (title) JOIN depth ON probe <= ceil(k * depth)
+       JOIN label_store USING (title, id)""",
 )
 step("lsh_hits", ["products", "met", "label_store"], RANKED.format(candidates="met"))
 step(
@@ -538,9 +568,10 @@ for name in ("topk_within_title", "topk_within_title_native"):
 oracle("topk_lsh", ["lsh_hits"], "SELECT title, q_idx, CAST(rank AS INTEGER) AS rank, id, distance FROM lsh_hits")
 oracle(
     "topk_lsh_recall",
-    ["hits", "lsh_hits"],
-    """SELECT h.title, count(*) AS n_exact, round(count(l.id) / count(*), 4) AS recall
-       FROM hits h LEFT JOIN lsh_hits l USING (title, q_idx, id) GROUP BY h.title""",
+    ["hits", "lsh_hits", "ks", "depth"],
+    """SELECT title, n_exact, recall, round(least(ceil(k * depth) / n_chunks, 1.0), 4) AS compared FROM
+         (SELECT h.title, count(*) AS n_exact, round(count(l.id) / count(*), 4) AS recall
+          FROM hits h LEFT JOIN lsh_hits l USING (title, q_idx, id) GROUP BY h.title) JOIN ks USING (title), depth""",
 )
 oracle(
     "title_question_pairs",

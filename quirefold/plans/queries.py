@@ -10,9 +10,10 @@ from quirefold.functions import text as tx
 from quirefold.functions.embedders import HashEmbedder
 from quirefold.functions.vectors import l2_normalize, round_to
 from quirefold.operators import answering, chunking, cleaning, identity, longform, ordering, retrieval, splitting
+from quirefold.operators.signatures import signature_table
 from quirefold.plans import tables
 from quirefold.plans.comparison import add_pages, compare_documents, compare_stored
-from quirefold.session import scratch_path
+from quirefold.session import scratch_path, stage
 from quirefold.sources import files, store as stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,12 +474,13 @@ def adaptive_k(spark, folder):
     return docs.select("title", "n", retrieval.adaptive_k(F.col("n")).alias("k"))
 
 
-def _hits(spark, folder, method):
+def _hits(spark, folder, method, **options):
     return retrieval.retrieve(
         tables.label_store(spark, folder),
         tables.question_vectors(spark, folder),
         method=method,
         digits=retrieval.DISTANCE_DIGITS,
+        **options,
     )
 
 
@@ -499,14 +501,21 @@ def topk_lsh(spark, folder):
 
 @query
 def topk_lsh_recall(spark, folder):
-    """Share of the exact hits that the approximate search finds, per title."""
+    """Share of the exact hits that the approximate search finds, and share of the chunks it compares, per title."""
+    store, vectors = tables.label_store(spark, folder), tables.question_vectors(spark, folder)
+    counts = identity.title_counts(store)
+    k = counts.select("title", "n_chunks", retrieval.adaptive_k(F.col("n_chunks")).alias("k"))
+    index = stage(signature_table(store), "signatures")
+    depth = retrieval.calibrated_depth(
+        store, index, vectors, k, 20, retrieval.DISTANCE_DIGITS, retrieval.TARGET_RECALL
+    )
     exact = _hits(spark, folder, "matrix").select("title", "q_idx", "id")
-    found = _hits(spark, folder, "lsh").select("title", "q_idx", "id", F.lit(1).alias("found"))
-    return (
-        exact.join(found, ["title", "q_idx", "id"], "left")
-        .groupBy("title")
-        .agg(F.count("*").alias("n_exact"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+    found = _hits(spark, folder, "lsh", index=index, depth=depth).select("title", "q_idx", "id", F.lit(1).alias("found"))
+    recall = exact.join(found, ["title", "q_idx", "id"], "left").groupBy("title").agg(
+        F.count("*").alias("n_exact"), F.round(F.count("found") / F.count("*"), 4).alias("recall")
     )
+    share = F.least(F.ceil(F.col("k") * depth) / F.col("n_chunks"), F.lit(1.0))
+    return recall.join(k, "title").select("title", "n_exact", "recall", F.round(share, 4).alias("compared"))
 
 
 @query
