@@ -459,6 +459,12 @@ oracle(
     """SELECT 'doc' || doc_id AS title, source AS zip_name FROM documents
        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
+oracle(
+    "replace_changed_texts",
+    ["chunks_percentile"],
+    """SELECT title, substr(sha256(title), 1, 16) || '-' || (row_number() OVER (PARTITION BY title ORDER BY chunk_idx) - 1) AS id,
+              chunk, zip_name FROM chunks_percentile""",
+)
 oracle(
     "embeddings_jsonl_roundtrip",
     ["label_store"],

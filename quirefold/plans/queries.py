@@ -12,7 +12,7 @@ from quirefold.functions.vectors import l2_normalize, round_to
 from quirefold.operators import answering, chunking, cleaning, identity, longform, ordering, retrieval, splitting
 from quirefold.operators.signatures import signature_table
 from quirefold.plans import tables
-from quirefold.plans.comparison import add_pages, compare_documents, compare_stored
+from quirefold.plans.comparison import add_documents, add_pages, compare_documents, compare_stored
 from quirefold.session import scratch_path, stage
 from quirefold.sources import files, store as stores
 
@@ -444,14 +444,31 @@ def store_append_count(spark, folder):
 def filter_title(spark, folder):
     name = _new_store(spark)
     stores.append_new(tables.label_store(spark, folder), name)
-    return stores.of_title(spark.table(name), "label3").select("id", "title", "zip_name")
+    return stores.of_title(spark, name, "label3").select("id", "title", "zip_name")
 
 
 @query
 def skip_existing_titles(spark, folder):
-    """Documents with a label count as stored."""
-    stored = tables.table(spark, folder, "labels").select(F.concat(F.lit("doc"), "doc_id").alias("title"))
-    return stores.skip_existing_titles(tables.documents(spark, folder), stored).select("title", "zip_name")
+    """Documents with a label are stored; the others are left to do."""
+    name, docs = _new_store(spark), tables.document_chunks(spark, folder)
+    labelled = tables.table(spark, folder, "labels").select(F.concat(F.lit("doc"), "doc_id").alias("title"))
+    stores.append_new(docs.join(labelled, "title", "left_semi"), name)
+    return stores.skip_existing_titles(tables.documents(spark, folder), stores.stored_titles(spark, name)).select(
+        "title", "zip_name"
+    )
+
+
+@query
+def replace_changed_texts(spark, folder):
+    """Half the documents are stored with their lines in reverse, then all are stored as they are: the chunks that
+    stay are those of a fresh store."""
+    name, docs = _new_store(spark), tables.documents(spark, folder)
+    turned = F.array_join(F.reverse(F.split("text", "\n", -1)), "\n")
+    first = docs.withColumn("text", F.when(F.crc32(F.col("title").cast("binary")) % 2 == 0, turned).otherwise(F.col("text")))
+    options = {"split_regex": tables.UNIT_REGEX, "max_words": tables.UNIT_WORDS, "cut_digits": chunking.COMPARED_DIGITS}
+    add_documents(first, name, **options)
+    add_documents(docs, name, replace=True, **options)
+    return spark.table(name).select("title", "id", "chunk", "zip_name")
 
 
 # --- retrieval -------------------------------------------------------------------------------------

@@ -97,6 +97,14 @@ def label_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as one stored chunk under its own title."""
+    return documents(spark, folder).select(
+        F.concat("title", F.lit("-0")).alias("id"), F.col("text").alias("chunk"), "title", "zip_name",
+        F.array(F.lit(1.0)).alias("embedding"),
+    )
+
+
 def chunks(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Chunks of `documents`, blank ones dropped."""
     options = {"breakpoint_threshold_amount": PERCENTILE, "digits": COMPARED_DIGITS} | options

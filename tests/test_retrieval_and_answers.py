@@ -206,7 +206,8 @@ def test_store_is_created_once_and_skips_known_ids(spark, tmp_path):
     assert stores.append_new(rows, "s1") == 0
     more = store_of(spark, {"b": 4})
     assert stores.append_new(more, "s1") == 1
-    assert stores.of_title(stores.get_or_create(spark, "s1", location), "b").count() == 4
+    assert stores.get_or_create(spark, "s1", location).count() == 9
+    assert stores.of_title(spark, "s1", "b").count() == 4
     assert spark.sql("SHOW TBLPROPERTIES s1").where("key = 'distance'").first()["value"] == "cosine"
     # another session finds the rows at the same place
     assert stores.get_or_create(spark, "s2", location).count() == 9
@@ -365,18 +366,126 @@ def test_documents_that_share_a_title_are_refused_by_the_store(spark, tmp_path):
     spark.sql("DROP TABLE unique_titles")
 
 
-def test_an_append_reads_only_the_buckets_of_its_titles(spark, tmp_path):
-    stores.get_or_create(spark, "bucketed", str(tmp_path / "store"), buckets=8)
-    assert stores.buckets_of(spark, "bucketed") == 8
-    rows = [(f"t{i}-0", "c", f"t{i}", "z", [1.0]) for i in range(40)]
-    assert stores.append_new(spark.createDataFrame(rows, schemas.STORE), "bucketed") == 40
-    assert stores.append_new(spark.createDataFrame(rows, schemas.STORE), "bucketed") == 0
-    one = spark.createDataFrame(rows[:1], schemas.STORE)
-    part = stores.touched(spark.table("bucketed"), one, 8)
-    assert part.select("bucket").distinct().count() == 1
+def titled(spark, titles, text="c"):
+    rows = [(f"{t}-{i}", f"{text} {i}", t, "z", [1.0]) for t in titles for i in range(2)]
+    return spark.createDataFrame(rows, schemas.STORE)
+
+
+def spoil(folder):
+    """Chunk files that nobody can read any more."""
+    files_ = list(folder.glob("bucket=*/*.parquet"))
+    for file in files_:
+        file.write_bytes(b"not parquet")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    return len(files_)
+
+
+def test_what_is_stored_is_known_without_reading_chunks(spark, tmp_path):
+    stores.get_or_create(spark, "indexed", str(tmp_path / "store"), buckets=8)
+    old, new = [f"t{i}" for i in range(600)], [f"u{i}" for i in range(400)]
+    assert stores.append_new(titled(spark, old), "indexed") == 1200
+    assert spoil(tmp_path / "store")
+    incoming = titled(spark, old + new)
+    assert stores.skip_existing_titles(incoming, stores.stored_titles(spark, "indexed")).count() == 800
+    assert stores.append_new(incoming, "indexed") == 800
+    assert stores.append_new(incoming, "indexed") == 0
+    assert stores.stored_titles(spark, "indexed").count() == 1000
+    with pytest.raises(Exception, match="(?i)parquet"):
+        stores.append_new(spark.createDataFrame([("t0-9", "c", "t0", "z", [1.0])], schemas.STORE), "indexed")
+    spark.sql("DROP TABLE indexed")
+
+
+def test_the_number_of_buckets_is_always_the_stores(spark, tmp_path):
+    """Readers, a second table over the same files and a repeated append all take the kept number."""
+    location, rows = str(tmp_path / "store"), titled(spark, [f"t{i}" for i in range(40)])
+    stores.get_or_create(spark, "few", location, buckets=8)
+    assert stores.append_new(rows, "few") == 80
+    assert stores.buckets_of(spark, "few") == 8
+    assert all(stores.of_title(spark, "few", f"t{i}").count() == 2 for i in (0, 7, 39))
+    part = stores.touched(spark, "few", rows.limit(1))
     assert len({f.rsplit("/", 2)[1] for f in part.inputFiles()}) == 1
-    assert stores.of_title(spark.table("bucketed"), "t7", 8).count() == 1
-    spark.sql("DROP TABLE bucketed")
+    stores.get_or_create(spark, "again", location)
+    assert stores.buckets_of(spark, "again") == 8
+    assert stores.append_new(rows, "again") == 0 and spark.table("again").count() == 80
+    with pytest.raises(ValueError, match="8 buckets"):
+        stores.get_or_create(spark, "wrong", location, buckets=64)
+    for name in ("few", "again"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_files_without_their_number_are_taken_over_if_they_fit(spark, tmp_path):
+    import shutil
+
+    location, rows = tmp_path / "store", titled(spark, [f"t{i}" for i in range(40)])
+    stores.get_or_create(spark, "bare", str(location), buckets=8)
+    stores.append_new(rows, "bare")
+    spark.sql("DROP TABLE bare")
+    shutil.copytree(location, tmp_path / "copy", ignore=shutil.ignore_patterns("_titles", "_buckets"))
+    with pytest.raises(ValueError, match="64 buckets"):
+        stores.get_or_create(spark, "bare", str(tmp_path / "copy"))
+    stores.get_or_create(spark, "bare", str(tmp_path / "copy"), buckets=8)
+    assert stores.stored_titles(spark, "bare").count() == 40
+    assert stores.append_new(rows, "bare") == 0
+    spark.sql("DROP TABLE bare")
+
+
+@pytest.mark.parametrize("step", ["_in_files", "_end"])
+def test_a_run_that_broke_off_is_made_good(spark, tmp_path, monkeypatch, step):
+    """Broken before chunks were written, or after them: the next run leaves every chunk stored once."""
+    stores.get_or_create(spark, "broken", str(tmp_path / "store"), buckets=4)
+    first, second = titled(spark, ["a", "b"]), titled(spark, ["b", "c", "d"])
+    stores.append_new(first, "broken")
+
+    def fail(*_):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stores, step, fail)
+        with pytest.raises(RuntimeError):
+            stores.append_new(second, "broken")
+    stores.append_new(second, "broken")
+    assert sorted(r["id"] for r in spark.table("broken").collect()) == [f"{t}-{i}" for t in "abcd" for i in range(2)]
+    assert {(r["title"], r["n"]) for r in stores.stored_titles(spark, "broken").collect()} == {(t, 2) for t in "abcd"}
+    assert stores.mend(spark, "broken") == 0
+    spark.sql("DROP TABLE broken")
+
+
+def test_changed_texts_take_the_place_of_the_old_ones(spark, tmp_path):
+    options = {"split_regex": "\n", "embedder": HashEmbedder(8)}
+    stores.get_or_create(spark, "changing", str(tmp_path / "store"), buckets=4)
+    stores.get_or_create(spark, "fresh", str(tmp_path / "fresh"), buckets=4)
+    before = [(f"t{i}", "z", f"one {i}\ntwo\n\nthree\nfour five") for i in range(12)] + [("gone", "z", "x\ny"), ("blank", "z", "")]
+    after = [(t, z, text if i % 3 else f"other {i}\n" + text) for i, (t, z, text) in enumerate(before[:12])]
+    after += [("gone", "z", "  "), ("blank", "z", "now\nmore"), ("new", "z", "a\nb")]
+    comparison.add_documents(spark.createDataFrame(before, schemas.DOCS), "changing", **options)
+    assert comparison.add_documents(spark.createDataFrame(after, schemas.DOCS), "changing", **options) > 0
+    changed = comparison.add_documents(spark.createDataFrame(after, schemas.DOCS), "changing", replace=True, **options)
+    assert changed > 0
+    comparison.add_documents(spark.createDataFrame(after, schemas.DOCS), "fresh", **options)
+
+    def content(name):
+        return sorted((r["title"], r["id"], r["chunk"], tuple(r["embedding"])) for r in spark.table(name).collect())
+
+    assert content("changing") == content("fresh")
+    index = [sorted(map(tuple, stores.stored_titles(spark, n).collect())) for n in ("changing", "fresh")]
+    assert index[0] == index[1]
+    assert spoil(tmp_path / "store")  # nothing is left to do, and no chunk is read to find that out
+    assert comparison.add_documents(spark.createDataFrame(after, schemas.DOCS), "changing", replace=True, **options) == 0
+    for name in ("changing", "fresh"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_changed_pages_take_the_place_of_the_old_ones(spark, tmp_path):
+    options = {"split_regex": "\n", "embedder": HashEmbedder(8)}
+    stores.get_or_create(spark, "paged", str(tmp_path / "store"), buckets=4)
+    pages = small_pages(spark)
+    assert comparison.add_pages(pages, "paged", **options) > 0
+    assert comparison.add_pages(pages, "paged", replace=True, **options) == 0
+    other = pages.withColumn("text", F.when(F.col("doc") == "b.pdf", F.replace("text", F.lit("sea"), F.lit("lake"))).otherwise(F.col("text")))
+    assert comparison.add_pages(other, "paged", replace=True, **options) > 0
+    words = {r["title"]: r["chunk"] for r in spark.table("paged").collect()}
+    assert "lake" in words["b"] and "sea" not in words["b"] and "fox" in words["a"]
+    spark.sql("DROP TABLE paged")
 
 
 def test_a_second_run_embeds_and_asks_only_once_per_text(spark, tmp_path):
