@@ -1,10 +1,15 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Distances count words. An item within k edits of a passage is cut into k + 1 pieces of consecutive words: an
-edit touches one piece at most, so one piece at least stands in the passage unchanged, at most k words from its
-place. Every place of a document that holds a piece is a candidate; no item within reach is missed. A candidate
-stays if enough words around it belong to the item, and is verified by the exact edit distance of the whole item
-to the best passage around.
+Distances count words. The CGK embedding walks through a word sequence with random bits: at every step it emits
+the word it stands on, and moves on if a bit drawn from the step and the word says so. Sequences close in edit
+distance thereby emit strings close in Hamming distance. A few steps of a walk, drawn at random, are hashed; windows
+of a document that share a hash with a window of an item are candidates. Windows are a share of the item long, so
+that every item has many of them, and some with few of the edits.
+
+How many walks and how many hashes a walk are needed is calibrated per window size, at the largest distance that is
+allowed, until the target recall is reached; a target out of reach is an error. A candidate stays if enough words
+around it belong to the item, and is verified by the exact edit distance of the whole item to the best passage
+around.
 
 The items of a block (bounded in words) are the stated query set, sent to all tasks; documents never move.
 """
@@ -19,14 +24,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import KEY, content_key, texts_of
+from quirefold.llm.common import KEY, content_key, keeps_columns, texts_of
 from quirefold.session import stage
 
 BLOCK_WORDS = 1 << 17
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 CACHE_WORDS = 1 << 19
 TABLE_BITS = 20
-PIECE_WORDS = 8  # of longer pieces the first words are looked up
+WINDOW_SHARE = 0.6  # of an item's words, at most, are a window
+WINDOWS = (3, 4, 6, 9, 13, 19, 28, 42, 63)
+EFFORTS = ((1, 1), (1, 2), (1, 4), (2, 2), (2, 4), (3, 4), (4, 4), (4, 6), (4, 8), (6, 8), (8, 8), (8, 16), (12, 16), (16, 16), (16, 32))
+TRIALS, LENGTHS = 300, 36  # edited copies per length that a calibration step looks for; lengths per window size
 CELLS = 1 << 20  # words around candidates that are counted at a time
 SMALLEST = 5
 MARKS = ".,;:!?\"'`()[]{}<>|*_-–—“”‘’«»¡¿…"
@@ -51,10 +59,49 @@ def word_ids(text: str, ids: _WordIds) -> np.ndarray:
     return found[found != 0]
 
 
-def piece_bounds(n_words: int, most: int) -> list[tuple[int, int]]:
-    """Where the `most` + 1 pieces of an item of `n_words` words begin and end; their lengths differ by one at most."""
-    ends = [n_words * i // (most + 1) for i in range(most + 2)]
-    return [(low, min(high, low + PIECE_WORDS)) for low, high in zip(ends, ends[1:])]
+def window_size(n_words: int) -> int:
+    """The largest window that is at most `WINDOW_SHARE` of the item, but no less than the smallest."""
+    return max([w for w in WINDOWS if w <= max(WINDOW_SHARE * n_words, WINDOWS[0])])
+
+
+class Walk:
+    """One random walk of `size` steps, and `samples` hashes over a few of its steps each.
+
+    It makes as many steps as its window has words, so it cannot leave it. Words are turned by a multiplier of the
+    walk; the bit of a step and a word is a bit of the turned word.
+    """
+
+    def __init__(self, size: int, number: int, samples: int):
+        draw = random.Random(f"{size}/{number}")
+        self.size, self.samples = size, samples
+        self.turn = np.int64(draw.getrandbits(62) | 1)
+        self.bit = draw.sample(range(63), size)
+        count = 2 if size < 4 else 3 if size < 19 else 4
+        strata = [size * i // count for i in range(count + 1)]
+        self.at: list[list[int]] = [[] for _ in range(size)]
+        for sample in range(samples):
+            for low, high in zip(strata, strata[1:]):
+                self.at[draw.randrange(low, high)].append(sample)
+        self.last = max(step for step, users in enumerate(self.at) if users)
+
+    def hashes(self, words: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(samples, starts from `low` to `high`); the last word stands for those beyond the end of `words`."""
+        turned = words[low : high + self.size] * self.turn
+        # The low bits of a product depend on few bits of the word; mixed in from above, all bits are alike.
+        turned ^= turned >> 32
+        out = np.zeros((self.samples, high - low), dtype=np.int64)
+        at, seen = np.arange(high - low), np.empty(high - low, np.int64)
+        for step in range(self.last + 1):
+            turned.take(at, out=seen, mode="clip")
+            for sample in self.at[step]:
+                row = out[sample]
+                row *= _MIX
+                row += seen
+            if step < self.last:
+                np.right_shift(seen, self.bit[step], out=seen)
+                np.bitwise_and(seen, 1, out=seen)
+                at += seen
+        return out
 
 
 def _mixed(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -85,13 +132,14 @@ def best_passage(item: list[int], masks: dict[int, int], words: np.ndarray) -> t
 
 
 class ItemIndex:
-    """The pieces of all items of a block, and the search of word sequences against them."""
+    """The hashes of all item windows of a block, and the search of word sequences against them."""
 
-    def __init__(self, items: list[tuple[object, list[int]]], similarity: float):
+    def __init__(self, items: list[tuple[object, list[int]]], similarity: float, efforts: dict[int, tuple[int, int]]):
+        """`efforts` says per window size how many walks there are and how many hashes each."""
         if not 0 < similarity <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
         self.items = items
-        self.most = [int((1 - similarity) * len(w) + 1e-9) for _, w in items]
+        self.most = [allowed_edits(len(w), similarity) for _, w in items]
         self.masks: list[dict[int, int]] = []
         for _, words in items:
             masks: dict[int, int] = {}
@@ -99,19 +147,28 @@ class ItemIndex:
                 masks[word] = masks.get(word, 0) | 1 << i
             self.masks.append(masks)
         self.sizes, self.reach = np.array([len(w) for _, w in items], dtype=np.int64), np.array(self.most, dtype=np.int64)
-        pieces: dict[int, list[tuple[int, int]]] = {}  # by length: item and offset
+        by_size: dict[int, list[int]] = {}
         for number, (_, words) in enumerate(items):
-            for low, high in piece_bounds(len(words), self.most[number]):
-                pieces.setdefault(high - low, []).append((number, low))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length, places in pieces.items():
-            keys = np.zeros(len(places), dtype=np.int64)
-            for step in range(length):
-                keys = keys * _MIX + np.array([items[n][1][low + step] for n, low in places], dtype=np.int64)
-            order = np.argsort(keys, kind="stable")
-            bits = np.zeros(1 << TABLE_BITS, dtype=bool)
-            bits[_mixed(keys, TABLE_BITS)] = True
-            self.tables[length] = (bits, keys[order], np.array(places, dtype=np.int64)[order])
+            by_size.setdefault(window_size(len(words)), []).append(number)
+        self.walks: list[tuple[Walk, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
+        for size, numbers in sorted(by_size.items()):
+            flat, starts, places = [], [], []
+            for number in numbers:
+                words = items[number][1]
+                for offset in range(max(len(words) - size, 0) + 1):
+                    starts.append(len(flat) + offset)
+                    places.append((number, offset))
+                flat += words + [0] * size  # a walk past the end of its item meets nothing
+            walks, samples = efforts[size]
+            for walk in (Walk(size, i, samples) for i in range(walks)):
+                tables = []
+                for row in walk.hashes(np.array(flat, dtype=np.int64), 0, len(flat)):
+                    row = row[starts]
+                    order = np.argsort(row, kind="stable")
+                    bits = np.zeros(1 << TABLE_BITS, dtype=bool)
+                    bits[_mixed(row, TABLE_BITS)] = True
+                    tables.append((bits, row[order], np.array(places, dtype=np.int64)[order]))
+                self.walks.append((walk, tables))
         # Words of items, as one bit each: a wrong bit lets a candidate pass to the exact distance, never drops one.
         self.member_bits = max(16, min(26, (8 * int(self.sizes.sum())).bit_length()))
         self.members = np.zeros(1 << self.member_bits, dtype=bool)
@@ -121,36 +178,26 @@ class ItemIndex:
     def _member(self, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         return _mixed(words * _MIX + numbers, self.member_bits)
 
-    def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(sequence, item, where its first word would stand) of all pieces found, in parts of bounded size.
+    def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (sequence, item, where its first word would stand) of windows that share a hash, in bounded parts.
 
         `ends` are the ends of the sequences in `words`.
         """
-        longest = max(self.tables)
-        padded = np.concatenate([words, np.zeros(longest, dtype=np.int64)])
         for low in range(0, len(words), CHUNK):
-            high = min(low + CHUNK, len(words))
-            hashes = np.zeros(high - low, dtype=np.int64)
-            for length in range(1, longest + 1):
-                hashes *= _MIX
-                hashes += padded[low + length - 1 : high + length - 1]
-                if length not in self.tables:
-                    continue
-                bits, keys, places = self.tables[length]
-                hits = np.flatnonzero(bits.take(_mixed(hashes, TABLE_BITS)))
-                first = np.searchsorted(keys, hashes[hits], "left")
-                count = np.searchsorted(keys, hashes[hits], "right") - first
-                hits, first, count = hits[count > 0], first[count > 0], count[count > 0]
-                at = hits + low
-                owners = np.searchsorted(ends, at, "right")
-                inside = at + length <= ends[owners]
-                at, first, count, owners = at[inside], first[inside], count[inside], owners[inside]
-                parts = np.cumsum(count) // CELLS
-                for part in np.unique(parts):
-                    here = parts == part
-                    n = count[here]
-                    rows = np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    yield np.repeat(owners[here], n), places[rows, 0], np.repeat(at[here], n) - places[rows, 1]
+            for walk, tables in self.walks:
+                for hashes, (bits, keys, places) in zip(walk.hashes(words, low, min(low + CHUNK, len(words))), tables):
+                    hits = np.flatnonzero(bits.take(_mixed(hashes, TABLE_BITS)))
+                    first = np.searchsorted(keys, hashes[hits], "left")
+                    count = np.searchsorted(keys, hashes[hits], "right") - first
+                    hits, first, count = hits[count > 0], first[count > 0], count[count > 0]
+                    owners = np.searchsorted(ends, hits + low, "right")
+                    parts = np.cumsum(count) // CELLS
+                    for part in np.unique(parts):
+                        here = parts == part
+                        n = count[here]
+                        rows = np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        begins = np.repeat(hits[here] + low, n) - places[rows, 1]
+                        yield np.unique(np.stack([np.repeat(owners[here], n), places[rows, 0], begins], axis=1), axis=0)
 
     def likely(self, words: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
         """The rows (sequence, item, start) with enough words of the item around: all words but the edits."""
@@ -176,7 +223,7 @@ class ItemIndex:
         if not len(ends) or not ends[-1] or not self.items:
             return
         words = np.concatenate(sequences)
-        found = [self.likely(words, ends, np.stack(c, axis=1)) for c in self.candidates(words, ends)]
+        found = [self.likely(words, ends, c) for c in self.candidates(words, ends)]
         if not found:
             return
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -205,30 +252,54 @@ class ItemIndex:
             yield owner, number, distance, start
 
 
+def allowed_edits(n_words: int, similarity: float) -> int:
+    return int((1 - similarity) * n_words + 1e-9)
+
+
 def simulated_recall(
-    items: list[list[int]], similarity: float, samples: int = 1, trials: int = 192, largest: bool = False
+    items: list[list[int]], similarity: float, efforts: dict[int, tuple[int, int]], trials: int = TRIALS
 ) -> float:
-    """Share of edited items that the index finds; the number of edits is drawn from all that are allowed.
-
-    With `largest`, every item gets as many edits as are allowed. `samples` is always 1, see `samples_for`.
-    """
+    """Share of edited items that the index finds among other words, each with as many edits as are allowed."""
     draw = random.Random(1)
-    chosen = items if len(items) <= trials else draw.sample(items, trials)
-    index, found = ItemIndex([(i, w) for i, w in enumerate(chosen)], similarity), 0
-    for number, words in enumerate(chosen):
-        edited = list(words)
-        for _ in range(index.most[number] if largest else draw.randint(0, index.most[number])):
-            at, kind = draw.randrange(len(edited)), draw.randrange(3)
-            edited[at : at + (kind != 0)] = [] if kind == 1 else [draw.getrandbits(62) | 1]
-        context = [draw.getrandbits(62) | 1 for _ in range(20)]
-        hits = index.search([np.array(context + edited + context, dtype=np.int64)])
-        found += any(n == number for _, n, _, _ in hits)
-    return found / max(len(chosen), 1)
-
-
-def samples_for(items: list[list[int]], similarity: float, target: float) -> int:
-    """Ways to cut the items into pieces that are looked up: one reaches every target, as it misses nothing."""
-    return 1
+    index = ItemIndex(list(enumerate(items)), similarity, efforts)
+    sequences, numbers = [], []
+    for _ in range(-(-trials // len(items))):
+        for number, words in enumerate(items):
+            edited = list(words)
+            for _ in range(index.most[number]):
+                at, kind = draw.randrange(len(edited)), draw.randrange(3)
+                edited[at : at + (kind != 0)] = [] if kind == 1 else [draw.getrandbits(62) | 1]
+            context = [draw.getrandbits(62) | 1 for _ in range(20)]
+            sequences.append(np.array(context + edited + context, dtype=np.int64))
+            numbers.append(number)
+    found = {(s, n) for s, n, _, _ in index.search(sequences)}
+    return sum(pair in found for pair in enumerate(numbers)) / len(numbers)
+
+
+def calibrated_efforts(items: list[list[int]], similarity: float, target: float) -> dict[int, tuple[int, int]]:
+    """Walks and hashes per window size with which the simulated recall reaches `target` at the largest distance.
+
+    It has to be reached by every length by itself, so that easy lengths do not hide hard ones; of the lengths of a
+    window size, the `LENGTHS` shortest are looked at, which have the fewest windows.
+    """
+    by_size: dict[int, dict[int, list[list[int]]]] = {}
+    for words in sorted(items, key=len):
+        own = by_size.setdefault(window_size(len(words)), {}).setdefault(len(words), [])
+        if len(own) < TRIALS:
+            own.append(words)
+    efforts = {}
+    for size, lengths in by_size.items():
+        todo, tries = list(lengths)[:LENGTHS], iter(EFFORTS)
+        effort = next(tries)
+        while todo:  # a length that is reached with little effort is reached with more
+            if simulated_recall(lengths[todo[0]], similarity, {size: effort}) >= target:
+                todo.pop(0)
+                continue
+            effort = next(tries, None)
+            if effort is None:
+                raise ValueError(f"recall {target} is out of reach for items of {todo[0]} words at similarity {similarity}")
+        efforts[size] = effort
+    return efforts
 
 
 def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[object, list[int]]]]:
@@ -248,14 +319,15 @@ def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[obj
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.95, min_words: int = SMALLEST
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.99, min_words: int = SMALLEST
 ) -> DataFrame:
     """doc_id, item_id, distance, item_words, start, _q1, _q2: items found in documents, one row per row and item.
 
     An item of w words is found where some passage is within (1 - `similarity`) * w word edits. Words are
     compared in lower case without punctuation at their ends; `start` counts such words. Items under
-    `min_words` words (any number from 1) say nothing and are not searched. All items within reach are found, so every
-    `target_recall` is met. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
+    `min_words` words (any number from 1) say nothing and are not searched. Walks are calibrated to find
+    `target_recall` of the items at the largest distance, more at smaller ones, and exact copies always; what is
+    found has its exact distance. A very long text is searched whole, in parts. _q1 and _q2 are the content key of the row. Null and empty texts hold no item;
     repeated rows are found alike; empty tables give no rows. Other columns are not returned.
     """
     spark = docs.sparkSession
@@ -263,11 +335,12 @@ def find_contamination(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, start long, _q1 long, _q2 long"
     out = None
     for block in item_blocks(benchmark, max(min_words, 1)):
-        sent = spark.sparkContext.broadcast(block)
+        efforts = calibrated_efforts([w for _, w in block], similarity, target_recall)
+        sent = spark.sparkContext.broadcast((block, efforts))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            index, ids = ItemIndex(items, similarity), _WordIds()
+            items, efforts = sent.value
+            index, ids = ItemIndex(items, similarity, efforts), _WordIds()
             for batch in batches:
                 rows = list(index.search([word_ids(t, ids) for t in texts_of(batch)]))
                 at = pa.array([r[0] for r in rows], pa.int64())
@@ -289,8 +362,12 @@ def find_contamination(
     return spark.createDataFrame([], schema) if out is None else out
 
 
+@keeps_columns
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, with the columns of `docs`."""
+    """The rows of `docs` that hold no benchmark item, with the columns of `docs`; see `find_contamination`.
+
+    Repeated rows stay or go together, rows without a text stay, an empty benchmark takes nothing out.
+    """
     # Written first, so that its size is known and a small list is sent to the documents instead of moving them.
     hit = stage(find_contamination(docs, benchmark, **options).select(*KEY).distinct(), "contaminated")
     rows = docs.withColumns(dict(zip(KEY, content_key("doc_id", "text"))))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quirefold.llm.common import partition_sum, sampled, texts_of, with_results
+from quirefold.llm.common import keeps_columns, partition_sum, sampled, texts_of, with_results
 from quirefold.session import stage
 
 BUCKETS = 1 << 15
@@ -176,6 +176,7 @@ def _examples(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
     return [(b.astype(np.int32), v.astype(np.float32), y) for b, v, y in rows]
 
 
+@keeps_columns
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """`docs` with `lang_pred` and `score`, the calibrated probability of that language.
 

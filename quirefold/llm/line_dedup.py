@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import ASCII_SPACE, KEY, LOWER, UPPER, content_key, with_results
+from quirefold.llm.common import ASCII_SPACE, KEY, LOWER, UPPER, content_key, keeps_columns, with_results
 from quirefold.session import stage
 
 
@@ -23,6 +23,7 @@ def lines_of(text: str = "text") -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
+@keeps_columns
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """`docs` with `text` reduced to the lines that stay, and `n_lines`, `n_dropped`.
 

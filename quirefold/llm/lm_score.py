@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import KEY, content_key, partition_sum
+from quirefold.llm.common import KEY, content_key, keeps_columns, partition_sum
 from quirefold.session import stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -295,6 +295,7 @@ def piece_probabilities(
     return counts / counts.sum()
 
 
+@keeps_columns
 def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, _qmark (the value of `learn`), n_tokens, n_known, train_tokens, base_score, score per row.
 

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import KEY, content_key, partition_sum, texts_of
+from quirefold.llm.common import KEY, content_key, keeps_columns, partition_sum, texts_of
 from quirefold.session import stage
 
 FEATURES, FOLDS, BINS = 256, 4, 2000
@@ -192,6 +192,7 @@ def fit_quality(rows: DataFrame) -> QualityModel | None:
     return QualityModel(mean, scale, weights, steps, isotonic(bins[:BINS], bins[BINS:]))
 
 
+@keeps_columns
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """doc_id, _q1, _q2 (content key) and `score` (0 to 1, higher: label 1 likelier) per row of `docs`.
 

@@ -21,7 +21,7 @@ from quirefold.llm.packing import pack_documents
 from quirefold.llm.quality import score_quality
 from quirefold.llm.sharding import DIMENSIONS, shard_documents
 from quirefold.llm.simhash import simhash_groups
-from quirefold.llm.sql import HARD_NEGATIVES, MANIFEST, SHARDING
+from quirefold.llm.sql import HARD_NEGATIVES, MANIFEST, SHARDING, with_dots
 from quirefold.llm.toxicity import score_toxicity
 from quirefold.llm.url_filter import judge_urls
 
@@ -139,7 +139,7 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f USING (key) GROUP BY doc_id
     """,
-    "op9_url_filter": r"""
+    "op9_url_filter": with_dots(r"""
         WITH RECURSIVE rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
             ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         rests AS (
@@ -152,16 +152,17 @@ ORACLES: dict[str, str] = {
                 coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), '') AS query
             FROM rests),
         tags AS (
-            SELECT host, path, query, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
+            SELECT host, path, query, unnest(regexp_extract_all(
+                regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts),
         targets AS (
             SELECT host, path, query, replace(CASE
-                WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b')
-                    THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                WHEN regexp_matches(tag, '(?is)[\s"''/]rel\s*=\s*("([^">]*\s)?canonical(\s[^">]*)?"|''([^''>]*\s)?canonical(\s[^''>]*)?''|canonical[\s/>])')
+                    THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1)
                 WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')
                     THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS t
             FROM tags),
         full_targets AS (
-            SELECT host || path || query AS a, CASE
+            SELECT host || DOTS(path) || query AS a, CASE
                 WHEN contains(t, '://') THEN substr(t, strpos(t, '://') + 3)
                 WHEN starts_with(t, '//') THEN substr(t, 3)
                 WHEN starts_with(t, '/') THEN host || t
@@ -172,7 +173,7 @@ ORACLES: dict[str, str] = {
         ends AS (
             SELECT a, translate(regexp_extract(b, '^[^/?#]*'),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-                regexp_extract(b, '^[^/?#]*([^?#]*)', 1) || regexp_extract(b, '^[^?#]*(\?[^#]*)?', 1) AS r
+                DOTS(regexp_extract(b, '^[^/?#]*([^?#]*)', 1)) || regexp_extract(b, '^[^?#]*(\?[^#]*)?', 1) AS r
             FROM full_targets),
         links AS (
             SELECT a, h || r AS b FROM ends WHERE h <> '' UNION SELECT h || r, a FROM ends WHERE h <> ''),
@@ -189,9 +190,9 @@ ORACLES: dict[str, str] = {
                 ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, p)
             GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND EXISTS (
-            SELECT 1 FROM hit WHERE node = host || path || query) THEN 'block' ELSE 'allow' END) AS verdict
+            SELECT 1 FROM hit WHERE node = host || DOTS(path) || query) THEN 'block' ELSE 'allow' END) AS verdict
         FROM judged
-    """,
+    """),
     "op11_sharding": SHARDING,
     "op12_manifest": MANIFEST,
     "op13_hard_negatives": HARD_NEGATIVES,

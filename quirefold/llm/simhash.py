@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import KEY, content_key, texts_of
+from quirefold.llm.common import KEY, content_key, keeps_columns, texts_of
 from quirefold.llm.components import components
 from quirefold.session import stage
 
@@ -136,6 +136,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     )
 
 
+@keeps_columns
 def drop_near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """`docs` with one row of each group: the one with the smallest doc_id (ids before null, then by content).
 

@@ -21,6 +21,31 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce({octets}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
 
 
+# --- URL filter ---------------------------------------------------------------------------------------
+
+
+def with_dots(sql: str) -> str:
+    """`DOTS(path)` in the text becomes the path without dot segments, `/` if it is empty."""
+
+    def resolved(path: str) -> str:
+        steps = f"list_transform(string_split({path}, '/')[2:] || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN [''] ELSE [] END, lambda x: [x])"
+        step = "CASE WHEN x = ['.'] THEN k WHEN x = ['..'] THEN k[1:greatest(len(k) - 1, 0)] ELSE list_concat(k, x) END"
+        return (
+            f"CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') "
+            f"THEN '/' || array_to_string(list_reduce({steps}, lambda k, x: {step}, CAST([] AS VARCHAR[])), '/') ELSE {path} END"
+        )
+
+    out, at = "", 0
+    while (start := sql.find("DOTS(", at)) >= 0:
+        end, open_ = start + 5, 1
+        while open_:
+            open_ += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += sql[at:start] + "(" + resolved(sql[start + 5 : end - 1]) + ")"
+        at = end
+    return out + sql[at:]
+
+
 # --- sharding -----------------------------------------------------------------------------------------
 
 

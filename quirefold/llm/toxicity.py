@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import KEY, content_key, sampled, texts_of
+from quirefold.llm.common import KEY, content_key, keeps_columns, sampled, texts_of
 from quirefold.session import stage
 
 MAX_TRAIN = 32768
@@ -175,6 +175,7 @@ def _state(machine: Machine) -> list[np.ndarray]:
     return [machine.z, machine.n, machine.factors, machine.m]
 
 
+@keeps_columns
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_TRAIN) -> DataFrame:
     """`docs` with `score` (0 to 1, higher: label 1 likelier).
 

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quirefold.llm.common import LOWER, UPPER
+from quirefold.llm.common import LOWER, UPPER, keeps_columns
 from quirefold.llm.components import components
 from quirefold.session import stage
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
+_COMMENTS = r"(?s)<!--.*?(?:-->|$)"
 _TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
+# Any of the words of `rel` may be the one, quoted or not.
+_CANONICAL = (
+    r"(?is)[\s\"'/]rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical[\s/>])"
+)
 _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
 _TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -37,10 +41,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path as it is requested: `.` and `..` resolved, the empty path is `/`."""
+    steps = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    # A last step `.` or `..` names a folder: a slash is left at the end.
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    kept = F.aggregate(ended, F.array().cast("array<string>"), step)
+    return F.when(path == "", "/").when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
-    """What names the resource: host, path and query, without scheme and fragment; null without a host."""
+    """What names the resource: host, path and query, without scheme, fragment and dot segments; null without a host."""
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), without_dots(path_of(url)), query))
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -64,11 +82,14 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(a, b): the address of a page and of its canonical link or refresh target (null if it has no host)."""
+    """(a, b): the address of a page and of its canonical link or refresh target (null if it has no host).
+
+    Links in comments do not count; any word of `rel` may say `canonical`; targets are resolved against the page.
+    """
     url = F.col("url")
     found = pages.where(host_of(url) != "").select(
         address_of(url).alias("a"), host_of(url).alias("host"), path_of(url).alias("path"),
-        F.explode(F.regexp_extract_all("html", F.lit(_TAGS), 0)).alias("tag"),
+        F.explode(F.regexp_extract_all(F.regexp_replace("html", _COMMENTS, ""), F.lit(_TAGS), 0)).alias("tag"),
     )
     target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(
         F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _TARGET, 1)
@@ -88,6 +109,7 @@ def alias_links(pages: DataFrame) -> DataFrame:
     return found.select("a", address_of(F.col("full")).alias("b"))
 
 
+@keeps_columns
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """`pages` with host, path, rule and verdict (`allow` or `block`).
 

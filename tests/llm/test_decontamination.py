@@ -3,12 +3,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from quirefold.llm import decontamination
 from quirefold.llm.decontamination import (
-    _WordIds, best_passage, drop_contaminated, find_contamination, samples_for, simulated_recall, word_ids,
+    EFFORTS, Walk, _WordIds, best_passage, calibrated_efforts, drop_contaminated, find_contamination, simulated_recall, window_size,
+    word_ids,
 )
-from tests.llm.helpers import documents, edit_distance, passage_distance
+from tests.llm.helpers import documents, edit_distance, own_columns_stay, passage_distance
 
 ITEMS = "item_id long, text string, distance int"
 
@@ -74,7 +76,24 @@ def test_finds_planted_passages_with_exact_distances_and_nothing_else(spark):
 def test_recall_is_reached_at_all_allowed_distances():
     draw = random.Random(9)
     items = [[draw.getrandbits(40) for _ in range(n)] for n in (8, 14, 20, 40, 59, 120) for _ in range(20)]
-    assert simulated_recall(items, 0.8, samples_for(items, 0.8, 0.95)) >= 0.95
+    assert simulated_recall(items, 0.8, calibrated_efforts(items, 0.8, 0.95)) >= 0.95
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    items = [[i * 100 + j for j in range(30)] for i in range(20)]
+    monkeypatch.setattr(decontamination, "EFFORTS", ((1, 1),))
+    with pytest.raises(ValueError, match="out of reach"):
+        calibrated_efforts(items, 0.5, 0.999)
+
+
+def test_walks_stay_in_their_windows_and_do_not_depend_on_what_is_around():
+    draw = np.random.default_rng(1)
+    words = draw.integers(1, 1 << 40, 500)
+    walk = Walk(13, 0, 4)
+    whole = walk.hashes(words, 0, 400)
+    for at in (0, 17, 399):
+        window = np.concatenate([words[at : at + 13], draw.integers(1, 1 << 40, 40)])
+        assert (walk.hashes(window, 0, 1)[:, 0] == whole[:, at]).all()
 
 
 def test_case_punctuation_and_blocks(spark, monkeypatch):
@@ -98,7 +117,7 @@ def test_clean_rows_stay_with_their_columns(spark):
     docs, items = corpus(2)
     table = documents(spark, docs)
     got = drop_contaminated(table, benchmark(spark, items))
-    assert got.columns == table.columns
+    assert got.columns == table.columns and own_columns_stay(got)
     hit = {d for d, _, _ in brute(docs, items)}
     ids = [r["doc_id"] for r in got.collect()]
     assert {d for d, _ in docs} - hit <= set(ids) and None in ids and ids.count(905) == 2
@@ -116,16 +135,16 @@ def test_words():
     assert len(word_ids("A, a 'a' -- b", _WordIds())) == 4
 
 
-def test_no_item_within_reach_is_missed_at_any_length():
-    """Lengths at and just above powers of two, every item with as many edits as are allowed."""
-    draw = random.Random(5)
-    for n in (8, 9, 15, 16, 17, 20, 31, 32, 33, 40, 63, 64, 65, 100, 300):
-        items = [[draw.getrandbits(40) for _ in range(n)] for _ in range(100)]
-        assert simulated_recall(items, 0.8, samples_for(items, 0.8, 0.95), largest=True) == 1
+@pytest.mark.parametrize("n", [8, 9, 10, 15, 16, 17, 20, 25, 31, 32, 33, 40, 50, 63, 64, 65, 100, 300])
+def test_recall_at_the_largest_distance_of_every_length(n):
+    """Calibrated on some items, measured on others, each with as many edits as are allowed."""
+    draw = random.Random(n)
+    items, others = [[[draw.getrandbits(40) for _ in range(n)] for _ in range(100)] for _ in range(2)]
+    assert simulated_recall(others, 0.8, calibrated_efforts(items, 0.8, 0.99), 400) >= 0.95
 
 
 def test_all_passages_of_few_words_equal_brute_force():
-    """Words repeat so often that nearly every place holds a piece of an item; sequences border on each other."""
+    """Words repeat so often that nearly every place shares a hash with an item; sequences border on each other."""
     draw = random.Random(7)
     items = [(i, draw.choices(range(1, 9), k=draw.choice((8, 10, 16, 32)))) for i in range(20)]
     sequences = [draw.choices(range(1, 9), k=draw.randrange(0, 120)) for _ in range(30)]
@@ -140,7 +159,7 @@ def test_all_passages_of_few_words_equal_brute_force():
             distance = passage_distance(item, words_)
             if distance <= len(item) // 5:
                 want.add((s, i, distance))
-    index = decontamination.ItemIndex(items, 0.8)
+    index = decontamination.ItemIndex(items, 0.8, {window_size(len(w)): EFFORTS[-1] for _, w in items})
     got = {(s, i, distance) for s, i, distance, _ in index.search([np.array(s, dtype=np.int64) for s in sequences])}
     assert len(want) >= 15 and got == want
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from quirefold.llm.line_dedup import dedup_lines
-from tests.llm.helpers import AWKWARD, documents
+from tests.llm.helpers import AWKWARD, documents, own_columns_stay
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -29,7 +29,7 @@ def test_equals_brute_force(spark):
     lines = ["Header", " HEADER\t", "É", "é", "", "  ", "footer\r", "Footer", *[f"line {i}" for i in range(40)]]
     rows = [(i, "\n".join(draw.choices(lines, k=draw.randrange(1, 12)))) for i in range(60)]
     got = dedup_lines(documents(spark, rows), min_docs=4)
-    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and own_columns_stay(got)
     found = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()]
     assert sorted(found, key=repr) == brute(rows + AWKWARD, 4)
 

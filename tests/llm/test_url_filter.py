@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from quirefold.llm.queries import URL_RULES
 from quirefold.llm.url_filter import alias_links, judge_urls
+from tests.llm.helpers import own_columns_stay
 
 PAGES = "page_id long, url string, html string, host string, node int, component int"
 
@@ -50,6 +51,40 @@ def test_host_path_and_longest_rule(spark):
     ]
 
 
+def test_aliases_written_differently_are_met(spark):
+    bad = "http://bad.net/es/q"
+    got = judged(spark, [
+        ("http://a.org/1", f'<link rel="nofollow canonical" href="{bad}">'),
+        ("http://a.org/2", f"<link href='{bad}' rel='canonical me'/>"),
+        ("http://a.org/3", f"<link rel=canonical href={bad}>"),
+        ("http://a.org/4", f'<link rel="not-canonical" href="{bad}"><link rel="canonicals" href="{bad}">'),
+        ("http://a.org/5", f'<!-- <link rel="canonical" href="{bad}"> --><p>'),
+        ("http://a.org/6", f'<!-- open <link rel="canonical" href="{bad}">'),
+        ("http://a.org/7", f'<!-- x --><link rel="canonical" href="{bad}"><!-- y -->'),
+        ("http://b.org/r", canonical(bad)),
+        ("http://b.org/x/y", canonical("../r")),
+        ("http://b.org/x/z", canonical("./../q/../r")),
+        ("http://b.org/x/../r", None),
+        ("http://b.org/../../r", None),
+        ("http://b.org/x/w", canonical("../../../r/.")),
+        ("http://root.org", None),
+        ("http://root.org/", canonical(bad)),
+        ("http://root.org?q=1", canonical("http://root.org/")),
+        ("http://root.org/.", None),
+        ("http://root.org/a/..", None),
+        ("http://root.org/...", None),
+    ])
+    want = "block block block allow allow allow block block block block block block allow block block block block block allow"
+    assert [v for _, _, _, v in got] == want.split()
+    assert got[10][1] == "/x/../r"
+
+
+def test_input_columns_named_like_internal_ones_stay(spark):
+    rows = pages(spark, [("http://a.net/es/", None)]).selectExpr("*", "'own' AS _q1", "2 AS _Q2", "3L AS _qfp", "9 AS _q9", "7 AS _qnode")
+    got = judge_urls(rows, URL_RULES)
+    assert own_columns_stay(got) and got.first()["_qnode"] == 7
+
+
 def test_blocks_reach_aliases_over_chains_but_not_allowed_pages(spark):
     refresh = '<META content="0; URL=/b" HTTP-EQUIV=refresh>'
     got = judged(spark, [
