@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirefold.functions.vectors import dot, l2_normalize, round_to, unit_rows
+from quirefold.operators.cells import CellIndex, cell_candidates, cell_index
 from quirefold.operators.identity import title_counts
 from quirefold.operators.ordering import dense_index
 from quirefold.operators.signatures import decode, directions, signature_table
@@ -131,16 +132,20 @@ def _compared(
     """
     spark = rows.sparkSession
     schema = "title string, q_idx int, id string, distance double"
-    width = vectors.select(F.max(F.size("vector"))).first()[0]
     parts = []
+    for q_idx, matrix in _question_matrices(vectors):
+        sent = spark.sparkContext.broadcast((q_idx, matrix @ directions(matrix.shape[1]).T if turned else matrix))
+        parts.append(rows.mapInPandas(_batch_candidates(sent, max_k, digits, **options), schema))
+    return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], schema)])
+
+
+def _question_matrices(vectors: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors of the questions, at most `QUESTION_BYTES` of vectors at a time."""
+    width = vectors.select(F.max(F.size("vector"))).first()[0]
     for block in question_blocks(vectors, max(1, QUESTION_BYTES // (8 * max(width or 1, 1)))):
-        asked = block.select("q_idx", "vector").toArrow()  # at most QUESTION_BYTES of vectors
+        asked = block.select("q_idx", "vector").toArrow()
         if len(asked):
-            matrix = unit_rows(np.array(asked.column("vector").to_pylist(), dtype=float))
-            matrix = matrix @ directions(matrix.shape[1]).T if turned else matrix
-            sent = spark.sparkContext.broadcast((asked.column("q_idx").to_numpy(), matrix))
-            parts.append(rows.mapInPandas(_batch_candidates(sent, max_k, digits, **options), schema))
-    return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], schema)])
+            yield asked.column("q_idx").to_numpy(), unit_rows(np.array(asked.column("vector").to_pylist(), dtype=float))
 
 
 def matrix_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
@@ -235,6 +240,14 @@ def lsh_candidates(
     return pairs.select("title", "q_idx", "id", _distance(F.col("v"), F.col("qv"), digits).alias("distance"))
 
 
+def cells_in_reach(
+    store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None, k: DataFrame, index: CellIndex | None = None
+) -> DataFrame:
+    """Exact candidates from those cells of each title that can hold a hit; `index` is its `cell_index`, if it is kept."""
+    index = cell_index(store) if index is None else index
+    return cell_candidates(index, list(_question_matrices(vectors)), k, max_k, digits)[0]
+
+
 METHODS = {"matrix": matrix_candidates, "native": native_candidates}
 
 
@@ -253,13 +266,15 @@ def retrieve(
 
     `store` has `title, id, chunk, embedding`; `vectors` has `q_idx, vector`. Ties go to the smaller id;
     `digits` rounds distances before they are ranked. Two filters on purpose: the constant bound is what Spark
-    can push in front of the shuffle. Texts join when the ranks are final. `method` is `matrix` or `native` (both
-    exact) or `lsh`, which takes the `options` of `lsh_candidates`.
+    can push in front of the shuffle. Texts join when the ranks are final. `method` is `matrix` or `native`, which compare
+    all chunks, `cells`, which skips those that cannot be hits (all three exact), or `lsh`; the last two take the
+    `options` of `cells_in_reach` and `lsh_candidates`.
     """
     k = title_counts(store) if counts is None else counts
     k = k.select("title", adaptive_k(F.col("n_chunks"), exponent, factor, max_k).alias("k"))
-    if method == "lsh":
-        candidates = lsh_candidates(store, vectors, max_k, digits, k, **options)
+    if method in ("lsh", "cells"):
+        search = lsh_candidates if method == "lsh" else cells_in_reach
+        candidates = search(store, vectors, max_k, digits, k, **options)
     else:
         candidates = METHODS[method](store, vectors, max_k, digits)
     best = _ranked(candidates, max_k).join(k, "title").where(F.col("rank") <= F.col("k"))

@@ -569,7 +569,7 @@ oracle(
     """SELECT title, n, CAST(least(floor(pow(CAST(n AS DOUBLE), 0.4) * 2), 20) AS INTEGER) AS k
        FROM (SELECT title, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n FROM docs)""",
 )
-for name in ("topk_within_title", "topk_within_title_native"):
+for name in ("topk_within_title", "topk_within_title_native", "topk_cells"):
     oracle(name, ["hits"], "SELECT title, q_idx, CAST(rank AS INTEGER) AS rank, id, distance FROM hits")
 oracle("topk_lsh", ["lsh_hits"], "SELECT title, q_idx, CAST(rank AS INTEGER) AS rank, id, distance FROM lsh_hits")
 oracle(

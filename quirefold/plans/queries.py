@@ -511,6 +511,11 @@ def topk_within_title_native(spark, folder):
     return _hits(spark, folder, "native").select("title", "q_idx", "rank", "id", "distance")
 
 
+@query
+def topk_cells(spark, folder):
+    return _hits(spark, folder, "cells").select("title", "q_idx", "rank", "id", "distance")
+
+
 @query
 def topk_lsh(spark, folder):
     return _hits(spark, folder, "lsh").select("title", "q_idx", "rank", "id", "distance")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirefold import schemas
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
-from quirefold.operators import answering, identity, retrieval
+from quirefold.operators import answering, cells, identity, retrieval
 from quirefold.operators.signatures import directions, signature_table
 from quirefold.plans import comparison
 from quirefold.sources import files, store as stores
@@ -98,6 +98,37 @@ def test_approximate_hits_are_exact_in_distance_and_found(spark, dim, spread):
     assert all(found[k] == exact[k] for k in both)
 
 
+@pytest.mark.parametrize(("dim", "spread"), [(3, 0.0), (16, 0.0), (32, 6.0)])
+def test_cells_give_the_exact_hits(spark, dim, spread):
+    """Copies, a zero vector, a title below k, a zero question and questions that are chunks themselves."""
+    rng = np.random.default_rng(4)
+    rows = clustered(rng, ["t", "u"], 700, dim, spread)
+    rows += [(f"x{i}", "c", "t", "z", rows[5][4]) for i in range(60)] + [("zero", "c", "t", "z", [0.0] * dim)]
+    rows += [("only", "c", "one", "z", rows[0][4]), ("null", "c", "t", "z", None)]
+    store = spark.createDataFrame(rows, schemas.STORE).repartition(3)
+    asked = [(i, [float(v) for v in rng.normal(size=dim)]) for i in range(20)]
+    asked += [(30, rows[3][4]), (31, rows[5][4]), (32, [0.0] * dim)]
+    vectors = spark.createDataFrame(asked, "q_idx int, vector array<double>")
+    want = sorted(retrieval.retrieve(store, vectors, digits=6).collect())
+    assert sorted(retrieval.retrieve(store, vectors, method="cells", digits=6).collect()) == want
+
+
+def test_cells_of_clustered_vectors_are_mostly_skipped(spark):
+    rng = np.random.default_rng(5)
+    rows = clustered(rng, ["t", "u"], 1500, 32, 6.0)
+    store = spark.createDataFrame(rows, schemas.STORE).repartition(3)
+    index = cells.cell_index(store)
+    near = [(i, [float(v + n) for v, n in zip(rows[i * 97][4], rng.normal(size=32))]) for i in range(15)]
+    vectors = spark.createDataFrame(near, "q_idx int, vector array<double>")
+    k = identity.title_counts(store).select("title", retrieval.adaptive_k(F.col("n_chunks")).alias("k"))
+    blocks = list(retrieval._question_matrices(vectors))
+    _, visits = cells.cell_candidates(index, blocks, k, 20, 6)
+    compared = visits.agg(F.sum("n")).first()[0] / (3000 * 15)
+    assert compared < 0.5
+    hits = retrieval.retrieve(store, vectors, method="cells", digits=6, index=index)
+    assert sorted(hits.collect()) == sorted(retrieval.retrieve(store, vectors, digits=6).collect())
+
+
 def test_a_kept_index_and_depth_replace_the_calibration(spark):
     store, vectors = store_of(spark, {"hot": 300, "few": 9}), vectors_of(spark, 6)
     index = signature_table(store)
