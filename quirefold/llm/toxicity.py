@@ -4,15 +4,17 @@ The score of a text is the logistic of a bias, a weight per distinct term and a
 terms, so that two terms can mean something together (an insult and the mention of a group) that neither
 weight says alone. Terms are words in lower case without punctuation at their ends, named by 64-bit hashes.
 
-The machine is fitted on a sample of at most about `max_train` labelled documents (a stated bound), with at
-most `MAX_TERMS` terms, those most associated with the label; other terms are ignored in scoring, so that rare
-words add no noise. Shards of the sample take their examples one by one with adaptive steps, an L1 penalty on
-weights and an L2 penalty on factors, and the states of the shards are averaged after each round. Every text
-is scored whole.
+Terms are counted over all labelled learning documents; the `MAX_TERMS` most associated with the label are used,
+others are ignored in scoring. Only the weights are fitted on a sample of at most about `max_train` documents (a
+stated bound): label 1 first, up to half of it, the rest from label 0; the odds of the sample are turned back into those of all rows by an offset. Shards
+of the sample take their examples one by one with adaptive steps, an L1 penalty on weights (so that rare words
+add no noise) and an L2 penalty on factors, and the states of the shards are averaged after each round. Every
+text is scored whole.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +29,7 @@ from quirefold.llm.common import KEY, content_key, keeps_columns, sampled, texts
 from quirefold.session import stage
 
 MAX_TRAIN = 32768
-MAX_TERMS, MIN_DOCS = 1 << 16, 8
+MAX_TERMS = 1 << 16
 FACTORS, SHARDS, ROUNDS = 4, 4, 8
 RATE, FACTOR_RATE, L1, L2 = 2.0, 0.02, 4.0, 0.01
 CACHE_WORDS = 1 << 19
@@ -57,6 +59,7 @@ class Machine:
     n: np.ndarray
     factors: np.ndarray
     m: np.ndarray
+    offset: float = 0.0  # from the odds of the sample to those of all rows
 
     @classmethod
     def start(cls, terms: np.ndarray) -> Machine:
@@ -101,18 +104,24 @@ class Scorer:
         v = self.machine.factors[slots]
         total = v.sum(0)
         pairs = 0.5 * float(total @ total - (v * v).sum())
-        return _logistic(float(self.weights[slots].sum() + self.weights[-1]) + pairs)
+        return _logistic(float(self.weights[slots].sum() + self.weights[-1]) + pairs + self.machine.offset)
 
 
 def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-min(max(x, -35.0), 35.0))))
 
 
+def least_documents(rows: int) -> int:
+    """Documents a term has to stand in: a few, more by one whenever the rows double, as chance finds more then."""
+    return max(2, round(math.log2(max(rows, 1))) - 4)
+
+
 def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
     """A machine from rows (text, _qlabel 0 or 1, and _q1, _q2); None without rows."""
     spark = rows.sparkSession
-    total = rows.count()
-    if not total:
+    sizes = {r["_qlabel"]: r["count"] for r in rows.groupBy("_qlabel").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n0 + n1:
         return None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +131,36 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
             columns = [batch.column("shard"), batch.column("_qlabel"), terms]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "label", "terms"])
 
-    shard = F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(SHARDS)).cast("int").alias("shard")
-    sample = rows.where(sampled(max_train, total, *KEY)).select(shard, "_qlabel", "text")
-    sample = stage(sample.mapInArrow(encode, "shard int, label int, terms array<long>"), "toxicity-sample")
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    terms = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("label").alias("c1"), F.sum(1 - F.col("label")).alias("c0")
-    )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _TermHashes()
+        for batch in batches:
+            found = [terms_of(t, hashes) for t in texts_of(batch)]
+            labels = np.repeat(batch.column("_qlabel").to_numpy(zero_copy_only=False), [len(f) for f in found])
+            terms, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
+            both, toxic = np.bincount(at, minlength=len(terms)), np.bincount(at, weights=labels, minlength=len(terms))
+            columns = [pa.array(terms), pa.array(toxic.astype(np.int64)), pa.array((both - toxic).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "c1", "c0"])
+
+    counts = rows.select("_qlabel", "text").mapInArrow(count, "term long, c1 long, c0 long")
+    terms = counts.groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     share = (F.col("c1") + F.col("c0")) / (n0 + n1)
     gap = (F.col("c1") + 0.5) / (n1 + 1) - (F.col("c0") + 0.5) / (n0 + 1)
-    terms = terms.where(F.col("c1") + F.col("c0") >= MIN_DOCS).select(
+    terms = terms.where(F.col("c1") + F.col("c0") >= least_documents(n0 + n1)).select(
         "term", (F.pow(gap, 2) / (share * (1.0 + 1e-9 - share))).alias("gain")
     )
-    # The terms of a bounded sample are few: few partitions, so that few lists of candidates reach the driver.
-    best = terms.coalesce(SHARDS).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).toArrow().column("term").to_numpy()
+    terms = stage(terms, "toxicity-terms")  # written first: the sort and its sampling read two numbers a term
+    best = terms.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).toArrow().column("term").to_numpy()
     machine = Machine.start(np.sort(best))
     sent = spark.sparkContext.broadcast(machine)
 
+    m1 = max(min(n1, max_train // 2), max_train - n0)
+    drawn = [min(1.0, (max_train - min(m1, n1)) / max(n0, 1)), min(1.0, m1 / max(n1, 1))]
+    chance = F.when(F.col("_qlabel") == 1, sampled(drawn[1] * n1, n1, *KEY)).otherwise(sampled(drawn[0] * n0, n0, *KEY))
+    offset = math.log(drawn[0] / drawn[1]) if n0 and n1 else 0.0
+    shard = F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(SHARDS)).cast("int").alias("shard")
+    sample = rows.where(chance).select(shard, "_qlabel", "text")
+    sample = sample.mapInArrow(encode, "shard int, label int, terms array<long>")
+
     def pack(group: pa.Table) -> pa.Table:
         rows = [(sent.value.slots(np.array(t.as_py(), dtype=np.int64)), y.as_py()) for t, y in zip(group["terms"], group["label"])]
         rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r[0].tobytes()), r[1]))
@@ -165,7 +186,7 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
             np.mean([np.frombuffer(s[i], dtype=np.float32) for s in states], axis=0, dtype=float).reshape(x.shape)
             for i, x in enumerate(_state(machine))
         ]
-        machine = Machine(machine.terms, *parts)
+        machine = Machine(machine.terms, *parts, offset)
         del states
         sent.destroy()
     return machine
@@ -180,8 +201,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, max_train:
     """`docs` with `score` (0 to 1, higher: label 1 likelier).
 
     `labels` holds doc_id and `toxic`; rows of `docs` where `learn` holds and a label of 0 or 1 exists may be
-    learnt from. Only the text is an input of the score; null and empty texts get the score of the bias. Equal
-    texts get equal scores. Without labels every score is 0. A column named `score` is replaced.
+    learnt from. Only the text is an input of the score; null and empty texts get the score of the bias, very long
+    ones are read whole. Equal texts, also of repeated rows, get equal scores; of terms that tie for the last places the
+    smaller hashes are used. Without labels every score is 0, an empty table gives no rows. A column named `score` is replaced.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("_qlabel")).where("_qlabel IN (0, 1)")
     rows = docs.where(learn).select("doc_id", "text", *content_key("doc_id", "text"))

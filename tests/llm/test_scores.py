@@ -11,7 +11,7 @@ from quirefold.llm.langid import fit_languages, identify_languages
 from quirefold.llm.quality import isotonic, score_quality
 from quirefold.llm.queries import QUERIES
 from quirefold.llm.toxicity import score_toxicity
-from tests.llm.helpers import documents, remainder
+from tests.llm.helpers import documents, own_columns_stay, remainder
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,3 +113,22 @@ def test_toxicity_learns_what_only_pairs_tell(spark):
     held = [(score[i] >= 0.3, y) for i, y in labels if remainder(i, 4) == 2]
     assert np.mean([a == bool(b) for a, b in held]) > 0.95
     assert score[901] == score[902] and score[905] == score[906]
+
+
+def test_toxicity_counts_terms_over_all_labels(spark):
+    """A rare insult is learnt though the fitting sample holds a small share of the documents."""
+    draw = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000, 6400):
+        insult = "zorg" if i % 100 == 0 else "grob" if i % 100 < 4 else None
+        words = [f"w{draw.randrange(60)}" for _ in range(8)] + [insult] * (insult is not None)
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult is not None)))
+    docs = documents(spark, rows + [(9000, "w1 " * 60_000 + "zorg")])
+    got = score_toxicity(docs, labelled(spark, labels, "toxic"), crc(4) != 2, max_train=300)
+    assert own_columns_stay(got)
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    rare = [score[i] for i, _ in labels if i % 100 == 0]
+    assert min(rare) >= 0.3 and score[9000] >= 0.3
+    assert np.mean([score[i] >= 0.3 for i, y in labels if y == 0]) < 0.01
