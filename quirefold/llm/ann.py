@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is then sent down to its leaf. A query keeps a priority
+The tree is fitted on a sample that grows with the square root of the table (a parameter; leaves and their sizes
+then both do); every vector is sent down to its leaf. A query keeps a priority
 queue of unopened branches by distance and opens the nearest one next, which ranks the leaves for it. How many
 leaves it visits is calibrated: a bounded set of queries is answered exactly against all vectors, and visits
 are widened until the leaves visited hold the wanted share of the true neighbours.
 
 Equal vectors are one row of the index, with their `k + 1` smallest ids: no more of a group of copies can be
 among the `k` nearest, so this is exact and keeps copies out of the search. A leaf is searched in slots of
-bounded size, so a large leaf is many tasks.
+bounded size, and so are the queries that visit it: a large or much visited leaf is many tasks.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirefold.session import stage
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_GROWTH = 20_000, 20  # sampled vectors: at least, and per square root of the rows
 LEAF_ROWS, LEAF_SAMPLE = 256, 8  # wanted rows of the whole index, and least sampled vectors, in a leaf
 BRANCHES, STEPS = 8, 8
 SLOT_ROWS = 1024
+QUERY_ROWS = 4096
 CALIBRATION = 128
 
 
@@ -82,6 +84,24 @@ def leaf_order(root: Node, vector: np.ndarray, most: int | None = None) -> list[
     return order
 
 
+def leaves_of(root: Node, vectors: np.ndarray) -> np.ndarray:
+    """The first leaf of every vector: a batch goes down together, one matrix product per node."""
+    out = np.zeros(len(vectors), dtype=np.int32)
+    waiting = [(root, np.arange(len(vectors)))]
+    while waiting:
+        node, rows = waiting.pop()
+        if not node.children:
+            out[rows] = node.leaf
+            continue
+        owner = np.argmax(vectors[rows] @ np.stack([c.centre for c in node.children]).T, axis=1)
+        waiting += [(child, rows[owner == i]) for i, child in enumerate(node.children) if (owner == i).any()]
+    return out
+
+
+def sample_size(total: int) -> int:
+    return max(SAMPLE, SAMPLE_GROWTH * math.isqrt(total))
+
+
 def usable(vector: str) -> Column:
     """Vectors with components that are all finite, and not all zero."""
     x = F.col(vector)
@@ -100,14 +120,17 @@ def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(np.stack([np.einsum("ij,j->i", b, q) for q in a]) if len(a) else np.zeros((0, len(b))), -1, 1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: float = 0.97) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, target_recall: float = 0.97, sample: int | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest other rows found, nearest first.
 
     `vectors` holds vec_id and embedding; rows where `is_query` holds are the queries, all other rows are
     candidates, and so are the other queries. Nearness is the cosine on the original vectors in double
     precision; ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without vec_id and vectors of another length than most. Repeated rows of
-    a vec_id count once. Fewer candidates than k give fewer rows; an empty table gives none.
+    a vec_id count once. Fewer candidates than k give fewer rows; an empty table gives none. `sample` is about how
+    many distinct vectors the tree is fitted on (default `sample_size`). Other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -131,8 +154,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: flo
         return spark.createDataFrame([], result)
 
     part = F.pmod("h2", F.lit(1 << 30))
-    sample = index.where(part < int((1 << 30) * min(1.0, SAMPLE / total))).orderBy("h1", "h2").limit(2 * SAMPLE)
-    sampled = _unit(_matrix(sample.select("v").toArrow().column("v")))
+    size = sample or sample_size(total)
+    drawn = index.where(part < int((1 << 30) * min(1.0, size / total))).orderBy("h1", "h2").limit(2 * size)
+    sampled = _unit(_matrix(drawn.select("v").toArrow().column("v")))
     leaves: list[Node] = []
     least = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS * len(sampled) / total))
     root = grow(sampled, least, np.random.default_rng(3), leaves)
@@ -140,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: flo
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = [leaf_order(tree.value, v, 1)[0] for v in _unit(_matrix(batch.column("v")))]
+            leaf = leaves_of(tree.value, _unit(_matrix(batch.column("v"))))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(leaf, pa.int32())], names=[*batch.schema.names, "leaf"]
             )
@@ -149,31 +173,39 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: flo
     placed = stage(index.mapInArrow(assign, f"{fields}, leaf int"), "placed-vectors")
     visits = _calibrated_visits(placed, root, len(leaves), k, target_recall)
 
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))  # one row per leaf, at most SAMPLE / LEAF_SAMPLE
-    slots = sizes.select("leaf", (1 + F.call_function("div", "n", F.lit(SLOT_ROWS))).cast("int").alias("slots"))
-    counts = {r["leaf"]: r["slots"] for r in slots.collect()}
-    plan = spark.sparkContext.broadcast((visits, counts))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        visits, counts = plan.value
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cell = [], []
             for i, v in enumerate(_unit(_matrix(batch.column("v")))):
-                for leaf in leaf_order(tree.value, v, visits):
-                    for slot in range(counts.get(leaf, 0)):
-                        at.append(i)
-                        cell.append((leaf, slot))
+                leaves_ = leaf_order(tree.value, v, visits)
+                cell += leaves_
+                at += [i] * len(leaves_)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(take) for c in ("h1", "h2", "v")]
-                + [pa.array([c[0] for c in cell], pa.int32()), pa.array([c[1] for c in cell], pa.int32())],
-                names=["h1", "h2", "v", "leaf", "slot"],
+                [*[batch.column(c).take(take) for c in ("h1", "h2")], pa.array(cell, pa.int32())], names=["h1", "h2", "leaf"]
             )
 
     asked = placed.where("q").select("h1", "h2", "v")
-    asked = asked.mapInArrow(visit, "h1 long, h2 long, v array<double>, leaf int, slot int")
+    visited = stage(asked.mapInArrow(orders, "h1 long, h2 long, leaf int"), "visits")
+    # One row per leaf: into how many slots its vectors, and the queries that visit it, are cut.
+    held_rows = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    query_rows = visited.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
+    slots = stage(
+        held_rows.join(query_rows, "leaf").select(
+            "leaf",
+            (1 + F.call_function("div", "n", F.lit(SLOT_ROWS))).cast("int").alias("slots"),
+            (1 + F.call_function("div", "m", F.lit(QUERY_ROWS))).cast("int").alias("parts"),
+        ),
+        "leaf-slots",
+    )
+    part = F.pmod("h2", F.col("parts")).cast("int").alias("part")
+    routes = visited.join(F.broadcast(slots), "leaf").select(
+        "h1", "h2", "leaf", part, F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
+    )
+    asked = routes.join(asked, ["h1", "h2"]).select("h1", "h2", F.col("v").alias("asked"), "leaf", "slot", "part")
     held = placed.join(F.broadcast(slots), "leaf").select(
-        "leaf", F.pmod("h1", F.col("slots")).cast("int").alias("slot"), "v", "ids"
+        "leaf", F.pmod("h1", F.col("slots")).cast("int").alias("slot"), "v", "ids",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
 
     def search(queries: pa.Table, stored: pa.Table) -> pa.Table:
@@ -182,7 +214,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: flo
         vectors = _matrix(stored.column("v")) if len(stored) else None
         h1, h2 = queries.column("h1").to_pylist(), queries.column("h2").to_pylist()
         for low in range(0, len(h1) if ids else 0, 256):
-            near = cosines(_matrix(queries.column("v").slice(low, 256)), vectors)
+            near = cosines(_matrix(queries.column("asked").slice(low, 256)), vectors)
             for i, row in enumerate(near):
                 # k + 1 distinct vectors and all that tie with the last hold the k nearest ids besides the query's.
                 cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1] if len(row) > k + 1 else -2.0
@@ -193,7 +225,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, target_recall: flo
         return pa.table(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("vec_id", id_type), ("score", pa.float64())]))
 
     id_type = _arrow_type(vectors)
-    pairs = asked.groupBy("leaf", "slot").cogroup(held.groupBy("leaf", "slot"))
+    pairs = asked.groupBy("leaf", "slot", "part").cogroup(held.groupBy("leaf", "slot", "part"))
     found = pairs.applyInArrow(search, f"h1 long, h2 long, vec_id {kind}, score double")
     # Of a distinct vector the best k + 1 are kept; each of its queries then leaves itself out.
     order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")

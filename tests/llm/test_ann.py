@@ -40,6 +40,7 @@ def answers(got):
 def test_recall_and_order_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_ROWS", 32)
     monkeypatch.setattr(ann, "SLOT_ROWS", 20)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
     draw = np.random.default_rng(1)
     centres = draw.normal(size=(12, 16))
     rows = [(i, [float(x) for x in centres[i % 12] + draw.normal(size=16) * 0.7]) for i in range(2000)]
@@ -64,3 +65,12 @@ def test_fewer_candidates_than_asked(spark):
     assert answers(nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])]), F.col("vec_id") % 50 == 0)) == {0: [(0.0, 1)]}
     assert nearest(vectors(spark, [(0, [1.0, 0.0])]), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_a_batch_goes_down_as_single_vectors_do():
+    draw = np.random.default_rng(2)
+    rows = ann._unit(draw.normal(size=(3000, 8)))
+    leaves = []
+    root = ann.grow(rows[:1500], 8, draw, leaves)
+    assert ann.leaves_of(root, rows).tolist() == [ann.leaf_order(root, v, 1)[0] for v in rows]
+    assert ann.sample_size(1000) == 20_000 and ann.sample_size(10**10) == 2_000_000
