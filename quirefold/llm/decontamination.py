@@ -3,7 +3,7 @@
 Distances count words. The CGK embedding walks through a word sequence with random bits: at every step it emits
 the word it stands on, and moves on if a bit drawn from the step and the word says so. Sequences close in edit
 distance thereby emit strings close in Hamming distance. A few steps of a walk, drawn at random, are hashed; windows
-of a document that share a hash with a window of an item are candidates. Windows are a share of the item long, so
+of a document that share a hash with a window of an item are candidates. Windows are up to half the item long, so
 that every item has many of them, and some with few of the edits.
 
 How many walks and how many hashes a walk are needed is calibrated per window size, at the largest distance that is
@@ -31,9 +31,9 @@ BLOCK_WORDS = 1 << 17
 CHUNK = 1 << 14
 CACHE_WORDS = 1 << 19
 TABLE_BITS = 20
-WINDOW_SHARE = 0.6  # of an item's words, at most, are a window
+WINDOW_SHARE = 0.5  # of an item's words, at most, are a window
 WINDOWS = (3, 4, 6, 9, 13, 19, 28, 42, 63)
-EFFORTS = ((1, 1), (1, 2), (1, 4), (2, 2), (2, 4), (3, 4), (4, 4), (4, 6), (4, 8), (6, 8), (8, 8), (8, 16), (12, 16), (16, 16), (16, 32))
+EFFORTS = ((1, 1), (1, 2), (1, 4), (1, 6), (1, 8), (1, 12), (2, 6), (2, 8), (3, 8), (4, 8), (6, 8), (8, 8), (8, 16), (16, 16), (16, 32))
 TRIALS, LENGTHS = 300, 36  # edited copies per length that a calibration step looks for; lengths per window size
 CELLS = 1 << 20  # words around candidates that are counted at a time
 SMALLEST = 5
@@ -319,7 +319,7 @@ def item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[obj
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.99, min_words: int = SMALLEST
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target_recall: float = 0.98, min_words: int = SMALLEST
 ) -> DataFrame:
     """doc_id, item_id, distance, item_words, start, _q1, _q2: items found in documents, one row per row and item.
 
