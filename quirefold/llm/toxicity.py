@@ -116,32 +116,43 @@ def least_documents(rows: int) -> int:
     return max(2, round(math.log2(max(rows, 1))) - 4)
 
 
-def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
-    """A machine from rows (text, _qlabel 0 or 1, and _q1, _q2); None without rows."""
-    spark = rows.sparkSession
-    sizes = {r["_qlabel"]: r["count"] for r in rows.groupBy("_qlabel").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n0 + n1:
-        return None
+def labelled_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, terms, _q1, _q2) of the documents with a label of 0 or 1, written.
+
+    Texts meet their labels by a sort on both sides, whatever their sizes, and once: all later passes read terms.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _TermHashes()
         for batch in batches:
             terms = pa.array([terms_of(t, hashes) for t in texts_of(batch)], pa.list_(pa.int64()))
-            columns = [batch.column("shard"), batch.column("_qlabel"), terms]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", *KEY)] + [terms], names=["label", *KEY, "terms"])
+
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label IN (0, 1)")
+    rows = docs.select("doc_id", "text", *content_key("doc_id", "text")).join(known.hint("merge"), "doc_id")
+    rows = rows.select("label", *KEY, "text").mapInArrow(encode, "label int, _q1 long, _q2 long, terms array<long>")
+    return stage(rows, "labelled-terms")
+
+
+def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
+    """A machine from `labelled_terms`; None without rows."""
+    spark = rows.sparkSession
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n0 + n1:
+        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _TermHashes()
         for batch in batches:
-            found = [terms_of(t, hashes) for t in texts_of(batch)]
-            labels = np.repeat(batch.column("_qlabel").to_numpy(zero_copy_only=False), [len(f) for f in found])
-            terms, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
+            lists = batch.column("terms")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            labels = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), sizes)
+            terms, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
             both, toxic = np.bincount(at, minlength=len(terms)), np.bincount(at, weights=labels, minlength=len(terms))
-            columns = [pa.array(terms), pa.array(toxic.astype(np.int64)), pa.array((both - toxic).astype(np.int64))]
+            columns = [pa.array(terms, pa.int64()), pa.array(toxic.astype(np.int64)), pa.array((both - toxic).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "c1", "c0"])
 
-    counts = rows.select("_qlabel", "text").mapInArrow(count, "term long, c1 long, c0 long")
+    counts = rows.select("label", "terms").mapInArrow(count, "term long, c1 long, c0 long")
     terms = counts.groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     share = (F.col("c1") + F.col("c0")) / (n0 + n1)
     gap = (F.col("c1") + 0.5) / (n1 + 1) - (F.col("c0") + 0.5) / (n0 + 1)
@@ -155,11 +166,10 @@ def fit_toxicity(rows: DataFrame, max_train: int = MAX_TRAIN) -> Machine | None:
 
     m1 = max(min(n1, max_train // 2), max_train - n0)
     drawn = [min(1.0, (max_train - min(m1, n1)) / max(n0, 1)), min(1.0, m1 / max(n1, 1))]
-    chance = F.when(F.col("_qlabel") == 1, sampled(drawn[1] * n1, n1, *KEY)).otherwise(sampled(drawn[0] * n0, n0, *KEY))
+    chance = F.when(F.col("label") == 1, sampled(drawn[1] * n1, n1, *KEY)).otherwise(sampled(drawn[0] * n0, n0, *KEY))
     offset = math.log(drawn[0] / drawn[1]) if n0 and n1 else 0.0
     shard = F.pmod(F.xxhash64(F.lit(3), *KEY), F.lit(SHARDS)).cast("int").alias("shard")
-    sample = rows.where(chance).select(shard, "_qlabel", "text")
-    sample = sample.mapInArrow(encode, "shard int, label int, terms array<long>")
+    sample = rows.where(chance).select(shard, "label", "terms")
 
     def pack(group: pa.Table) -> pa.Table:
         rows = [(sent.value.slots(np.array(t.as_py(), dtype=np.int64)), y.as_py()) for t, y in zip(group["terms"], group["label"])]
@@ -205,9 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, max_train:
     ones are read whole. Equal texts, also of repeated rows, get equal scores; of terms that tie for the last places the
     smaller hashes are used. Without labels every score is 0, an empty table gives no rows. A column named `score` is replaced.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("_qlabel")).where("_qlabel IN (0, 1)")
-    rows = docs.where(learn).select("doc_id", "text", *content_key("doc_id", "text"))
-    machine = fit_toxicity(rows.join(known, "doc_id").select("text", "_qlabel", *KEY), max_train)
+    machine = fit_toxicity(labelled_terms(docs.where(learn), labels), max_train)
     if machine is None:
         return docs.withColumn("score", F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(machine)
