@@ -12,12 +12,13 @@ the columns it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
 from quirefold.functions.text import PARAGRAPH, ascii_fold, packed_parts
 from quirefold.operators.chunking import Breakpoints, gradient, join_units, neighbour_distances, window_vectors
 from quirefold.operators.ordering import BLOCK, attach_facts, block_of, running_total
+from quirefold.operators.selection import order_statistics, percentiles
 from quirefold.operators.splitting import MAX_WORDS
 from quirefold.session import stage
 
@@ -90,24 +91,45 @@ def block_distances(
     )
 
 
-def document_thresholds(measured: DataFrame, breakpoints: Breakpoints) -> DataFrame:
-    """`(title, last_idx, threshold)`. Aggregates with a small state.
+def document_thresholds(measured: DataFrame, breakpoints: Breakpoints, block: int = BLOCK) -> DataFrame:
+    """`(title, last_idx, threshold)`. No task holds more than one block of a document's metrics.
 
-    For a number of chunks, equal metrics are counted first; what is ranked per document are its distinct
-    metrics, whose number does not grow with the document when they are rounded (`digits`).
+    Documents of one block are aggregated as they are; of longer ones, the ranks that decide are found by rounds of
+    counts (`operators.selection`).
     """
-    ends = measured.groupBy("title").agg(F.max("idx").alias("last_idx"))
+    metric = F.col("metric")
+    # Only the first block enters the state of an aggregate: all of a short document, and nothing that counts of a long one.
+    short = F.when(F.col("idx") < block, metric)
     if breakpoints.number_of_chunks is None:
-        return measured.groupBy("title").agg(
-            F.max("idx").alias("last_idx"), breakpoints.threshold(F.col("metric")).alias("threshold")
-        )
-    counted = measured.where(F.col("metric").isNotNull()).groupBy("title", "metric").agg(F.count(F.lit(1)).alias("n"))
-    downwards = Window.partitionBy("title").orderBy(F.desc("metric"))
-    counted = counted.withColumns(
-        {"upto": F.sum("n").over(downwards), "total": F.sum("n").over(Window.partitionBy("title"))}
+        threshold = breakpoints.threshold(short)
+    else:
+        largest = F.sort_array(F.collect_list(short), asc=False)
+        threshold = F.get(largest, (breakpoints.nth(F.size(largest)) - 1).cast("int"))
+    facts = measured.groupBy("title").agg(
+        F.max("idx").alias("last_idx"), F.count("metric").alias("n"), F.avg("metric").alias("mean"), threshold.alias("threshold")
+    )
+    facts = stage(facts, "thresholds")
+    long = facts.where(F.col("last_idx") >= block)
+    only_ranks = breakpoints.number_of_chunks is not None or breakpoints.kind != "standard_deviation"
+    if not only_ranks:  # plain sums, whatever the length
+        return measured.groupBy("title").agg(F.max("idx").alias("last_idx"), breakpoints.threshold(metric).alias("threshold"))
+    if long.isEmpty():
+        return facts.select("title", "last_idx", "threshold")
+    if breakpoints.number_of_chunks is not None:
+        rank = (F.col("n") - breakpoints.nth(F.col("n"))).cast("long")
+        found = order_statistics(measured, long.select("title", "last_idx", rank.alias("rank")), block)
+        found = found.select("title", F.col("value").alias("exact"))
+    else:
+        shares = [0.25, 0.75] if breakpoints.kind == "interquartile" else [breakpoints.amount / 100.0]
+        found = percentiles(measured, long.select("title", "last_idx", "n"), shares, block).join(long.select("title", "mean"), "title")
+        value = F.get("values", F.lit(0))
+        if breakpoints.kind == "interquartile":
+            value = F.col("mean") + F.lit(float(breakpoints.amount)) * (F.get("values", F.lit(1)) - value)
+        found = found.select("title", (value if breakpoints.digits is None else F.round(value, breakpoints.digits + 4)).alias("exact"))
+    facts = facts.join(found, "title", "left")
+    return facts.select(
+        "title", "last_idx", F.when(F.col("last_idx") >= block, F.col("exact")).otherwise(F.col("threshold")).alias("threshold")
     )
-    reached = F.when(F.col("upto") >= breakpoints.nth(F.col("total")), F.col("metric"))
-    return ends.join(counted.groupBy("title").agg(F.max(reached).alias("threshold")), "title", "left")
 
 
 def semantic_chunk_pages(
@@ -129,7 +151,7 @@ def semantic_chunk_pages(
     paragraphs = stage(page_paragraphs(stage(pages, "pages"), sentence_split_regex, block=block), "paragraphs")
     units = paragraph_units(paragraphs, max_words, block)
     measured = stage(block_distances(units, breakpoints, buffer_size, embedder, block), "measured")
-    rows = attach_facts(measured, document_thresholds(measured, breakpoints), "title", "idx", "last_idx", block).drop(
+    rows = attach_facts(measured, document_thresholds(measured, breakpoints, block), "title", "idx", "last_idx", block).drop(
         "_block"
     )
     bypassed = (F.col("last_idx") < breakpoints.bypass_units) & (F.col("idx") < F.col("last_idx"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window, functions as F
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
 from quirefold.functions.text import ascii_fold, is_not_blank, packed_parts, split_sentences, word_count
 from quirefold.functions.vectors import l2_normalize
-from quirefold.operators import chunking, longform, ordering, splitting
+from quirefold.operators import chunking, longform, ordering, selection, splitting
 from quirefold.plans import tables
 
 SF = "/root/testdata/sf0.001"
@@ -222,6 +222,45 @@ def test_page_form_equals_whole_text(spark, options, block):
     assert sorted(whole.select("title", "chunk_idx", "chunk").collect()) == sorted(paged.collect())
 
 
+@pytest.mark.parametrize("kind", ["percentile", "gradient", "interquartile", "standard_deviation", "chunks"])
+def test_thresholds_of_documents_over_many_blocks(spark, kind):
+    """Against numpy: ties, one value everywhere, a document of one block, values next to each other."""
+    rng = np.random.default_rng(6)
+    docs = {
+        "long": rng.random(3000), "ties": rng.integers(0, 4, 2500) / 4, "same": np.full(700, 0.25), "short": rng.random(40),
+        "close": 0.5 + rng.integers(0, 900, 1500) * 2.0**-52, "steep": 10.0 ** -rng.integers(0, 300, 900).astype(float), "none": np.zeros(0),
+    }
+    rows = [(t, i, float(x)) for t, xs in docs.items() for i, x in enumerate(xs)] + [(t, len(xs), None) for t, xs in docs.items()]
+    measured = spark.createDataFrame(rows, "title string, idx long, metric double").repartition(4)
+    amount = {"percentile": 85.0, "gradient": 95.0, "interquartile": 1.5, "standard_deviation": 3.0}.get(kind)
+    breakpoints = chunking.Breakpoints(*((kind, amount) if amount else ("percentile", None, 7)))
+    got = {r["title"]: (r["last_idx"], r["threshold"]) for r in longform.document_thresholds(measured, breakpoints, 64).collect()}
+    for title, xs in docs.items():
+        assert got[title][0] == len(xs)
+        if not len(xs):
+            continue
+        if kind in ("percentile", "gradient"):
+            want = np.percentile(xs, amount)
+        elif kind == "interquartile":
+            want = xs.mean() + amount * (np.percentile(xs, 75) - np.percentile(xs, 25))
+        elif kind == "standard_deviation":
+            want = xs.mean() + amount * xs.std()
+        else:
+            want = np.sort(xs)[-7]
+        assert got[title][1] == pytest.approx(want, rel=1e-12, abs=1e-15) and (kind != "chunks" or got[title][1] == want)
+
+
+def test_ranks_of_a_million_units(spark):
+    """One title of 10**6 different values: the rank found is the one numpy finds, over blocks of 4096."""
+    n = 1_000_000
+    values = spark.range(n, numPartitions=8).select(
+        F.lit("t").alias("title"), F.col("id").alias("idx"), (F.pmod(F.col("id") * 7919, F.lit(n)) / n).alias("metric")
+    )
+    wanted = spark.createDataFrame([("t", n - 1, r) for r in (0, 1, 499_999, 950_000, n - 1, n)], "title string, last_idx long, rank long")
+    got = {r["rank"]: r["value"] for r in selection.order_statistics(values, wanted).collect()}
+    assert got == {r: r / n for r in (0, 1, 499_999, 950_000, n - 1)}
+
+
 def test_page_form_with_paragraphs_over_pages(spark):
     text = "a\nb  \nc\nd\ne  \n\nf"
     pages = spark.createDataFrame(
