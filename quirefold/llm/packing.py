@@ -1,6 +1,7 @@
 """Packing: optimal length buckets, token-budget batches inside each bucket.
 
-Tokens are white-space words, or those of a public tokenizer given by its file. Documents longer than `max_tokens` continue in further pieces. The histogram of
+Tokens are white-space words, long ones in parts of `WORD_CHARS`, or those of a public tokenizer given by its file.
+Documents longer than `max_tokens` continue in further pieces. The histogram of
 piece lengths has at most `max_tokens` bins whatever the corpus; dynamic programming over it finds the bucket
 boundaries with the least padding. Batches are numbered without gathering a bucket: pieces are numbered inside
 slots of bounded size, and slot counts give the offsets.
@@ -18,6 +19,7 @@ from quirefold.llm.common import KEY, content_key, texts_of
 from quirefold.session import stage
 
 SLOT_ROWS = 1 << 15
+WORD_CHARS = 16  # code points of a word that are a token of their own, so that a text without spaces is not one token
 CACHE_WORDS = 1 << 19
 
 
@@ -42,12 +44,12 @@ class _WordLengths(dict):
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, _q1, _q2, n) per row: tokens of the whole text and one end token. Null counts as empty: 1.
 
-    Tokens are white-space words (`[^\\x20\\x09-\\x0D]+`), or those of the tokenizer in a file; it must not look
+    Tokens are white-space words (`[^\\x20\\x09-\\x0D]+`), one for every `WORD_CHARS` begun, or those of the tokenizer in a file; it must not look
     across white space, as `word_bpe_49k.json` of the public tokenizers does not.
     """
     rows = docs.select("doc_id", "text", *content_key("doc_id", "text"))
     if tokenizer is None:
-        words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+        words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{WORD_CHARS}}}")).cast("long")
         return rows.select("doc_id", *KEY, (words + 1).alias("n"))
     with open(tokenizer, encoding="utf-8") as file:  # one public vocabulary file: its size is its own bound
         definition = docs.sparkSession.sparkContext.broadcast(file.read())

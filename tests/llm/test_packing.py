@@ -72,3 +72,12 @@ def test_tokenizer_counts_equal_those_of_whole_texts(spark):
 
 def test_empty_table(spark):
     assert pack_documents(documents(spark, [], awkward=False)).count() == 0
+
+
+def test_a_text_without_spaces_is_as_long_as_it_is(spark):
+    docs = documents(spark, [(1, "x" * 1_000_000), (2, "é" * 16), (3, "é" * 17 + " a")], awkward=False)
+    assert {r["doc_id"]: r["n"] for r in token_counts(docs).collect()} == {1: 62_501, 2: 2, 3: 4}
+    sizes = {}
+    for r in pack_documents(docs, max_tokens=512, budget=2048).collect():
+        sizes.setdefault((r["boundary"], r["batch"]), []).append(r["n_tokens"])
+    assert all(len(v) * boundary <= 2048 for (boundary, _), v in sizes.items())

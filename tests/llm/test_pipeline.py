@@ -48,7 +48,7 @@ def test_every_stage_equals_brute_force_on_its_own_input(spark, stages):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - hit
 
     before, after = stages["packing"]
-    tokens = {r["doc_id"]: len((r["text"] or "").split()) + 1 for r in before.collect()}
+    tokens = {r["doc_id"]: sum(-(-len(w) // 16) for w in (r["text"] or "").split()) + 1 for r in before.collect()}
     packed = {}
     for r in after.collect():
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["n_tokens"]
