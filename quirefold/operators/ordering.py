@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quirefold.session import stage
+
 BLOCK = 4096
 
 
@@ -55,6 +57,21 @@ def dense_index(
     return running_total(df, keys, position, F.lit(1), name, block)
 
 
+def place_in_order(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` with `name`, the position from 0 of every row in the order of `column` over the whole table, written.
+
+    Rows are sorted by range, and only a count per part travels. The values should differ.
+    """
+    parts = df.repartitionByRange(column).sortWithinPartitions(column)
+    parts = stage(parts.withColumn("_row", F.monotonically_increasing_id()), "ordered")
+    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # one row per part
+    rows = parts.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return rows.withColumn(name, row + F.col("_offset")).drop("_row", "_part", "_offset")
+
+
 def attach_facts(
     rows: DataFrame, facts: DataFrame, key: str, position: str, last: str, block: int = BLOCK
 ) -> DataFrame:

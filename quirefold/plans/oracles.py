@@ -644,6 +644,13 @@ WIDE = ", ".join(
 for name in ("comparison_table", "sink_comparison"):
     oracle(name, ["resolved"], f"SELECT q_idx, question, {WIDE} FROM resolved GROUP BY q_idx, question")
 
+oracle(
+    "comparison_sheets",
+    ["resolved"],
+    """SELECT (dense_rank() OVER (ORDER BY title) - 1) // 3 AS sheet, title, q_idx, question, coalesce(response, '') AS response,
+              coalesce(source_chunks, '') AS source_chunks FROM resolved""",
+)
+
 # --- the whole run: the same steps over cleaned pages and their own chunks --------------------------
 
 CLEANED_DOCS = {

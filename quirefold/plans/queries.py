@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -118,6 +119,21 @@ def sink_comparison(spark, folder):
     return files.read_comparison(spark, path)
 
 
+@query
+def comparison_sheets(spark, folder):
+    """All answers in sheets of three titles, read back as one row per title and question."""
+    path, parts = scratch_path(spark, "sheets"), []
+    for row in files.write_sheets(_answers(spark, folder), path, 3).collect():
+        sheet = files.read_sheet(spark, path, row["sheet"])
+        titles = [c.removesuffix("-response") for c in sheet.columns if c.endswith("-response")]
+        cells = F.array(*[
+            F.struct(F.lit(t).alias("title"), F.col(f"`{t}-response`").alias("response"), F.col(f"`{t}-source_chunks`").alias("source_chunks"))
+            for t in titles
+        ])
+        parts.append(sheet.select(F.lit(row["sheet"]).cast("long").alias("sheet"), "q_idx", "question", F.inline(cells)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def filter_extension(spark, folder):
     return files.pdf_names(tables.document_files(spark, folder))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirefold import schemas
 from quirefold.operators.cleaning import title_of
-from quirefold.operators.ordering import dense_index
+from quirefold.operators.ordering import dense_index, place_in_order
+from quirefold.session import stage
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -101,6 +102,48 @@ def write_comparison(table: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
+def _cell(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def write_sheets(answers: DataFrame, path: str, titles_per_sheet: int = 1000) -> DataFrame:
+    """Answers of any number of titles as comparison sheets of `titles_per_sheet` titles each; returns the manifest.
+
+    Titles are numbered in order and cut into groups; a sheet, in `path/sheets/sheet=<number>`, has the columns of
+    `comparison_table` for its titles and a row per question, and is written by one task as lines of CSV,
+    so no table gets as wide as there are titles. The manifest in `path/manifest` says which titles
+    (from `first_title` to `last_title`) a sheet holds. A title without an answer to a question has empty cells.
+    """
+    titles = place_in_order(answers.select("title").distinct(), "title", "place")
+    titles = titles.withColumn("sheet", F.call_function("div", F.col("place"), F.lit(titles_per_sheet)))
+    titles = stage(titles, "sheet-titles")
+    manifest = titles.groupBy("sheet").agg(
+        F.min("title").alias("first_title"), F.max("title").alias("last_title"), F.count(F.lit(1)).alias("n_titles")
+    )
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    names = F.transform(F.sort_array(F.collect_list("title")), lambda t: F.concat_ws(
+        ",", _cell(F.concat(t, F.lit("-response"))), _cell(F.concat(t, F.lit("-source_chunks")))
+    ))
+    heads = titles.groupBy("sheet").agg(F.sort_array(F.collect_list("title")).alias("titles"), names.alias("names"))
+    named = F.array(F.lit('"q_idx"'), F.lit('"question"'))
+    head = heads.select("sheet", F.lit(None).cast("int").alias("q_idx"), F.concat_ws(",", named, "names").alias("value"))
+    cells = F.concat_ws(",", _cell(F.col("response")), _cell(F.col("source_chunks")))
+    rows = answers.join(titles.select("title", "sheet"), "title").groupBy("sheet", "q_idx", "question").agg(
+        F.map_from_entries(F.collect_list(F.struct("title", cells.alias("cells")))).alias("by_title")
+    )  # at most `titles_per_sheet` answers
+    line = F.transform("titles", lambda t: F.coalesce(F.element_at("by_title", t), F.lit('"",""')))
+    first = F.array(_cell(F.col("q_idx").cast("string")), _cell(F.col("question")))
+    rows = rows.join(heads.select("sheet", "titles"), "sheet").select("sheet", "q_idx", F.concat_ws(",", first, line).alias("value"))
+    lines = head.unionByName(rows).repartition("sheet").sortWithinPartitions("sheet", F.asc_nulls_first("q_idx"))
+    lines.select("sheet", "value").write.mode("overwrite").partitionBy("sheet").text(f"{path}/sheets")
+    return answers.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: int) -> DataFrame:
+    """One sheet of `write_sheets`, as `read_comparison` reads a single one."""
+    return read_comparison(spark, f"{path}/sheets/sheet={sheet}")
+
+
 def read_comparison(spark: SparkSession, path: str) -> DataFrame:
     """A written CSV sheet; empty answers stay empty texts."""
     sheet = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\0")

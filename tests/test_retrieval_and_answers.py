@@ -304,6 +304,27 @@ def test_whole_run_and_its_page_form_agree(spark):
     assert all((r["source_chunks"] == "Source Chunks: None") == (r["title"] == "empty") for r in merged)
 
 
+def test_sheets_hold_every_title(spark, tmp_path):
+    """More titles than one table may have columns for, awkward names and texts, gaps, one empty table."""
+    path = str(tmp_path / "sheets")
+    odd = ['a "b", c', "x.y", "-", "é\nz"]
+    rows = [(t, q, f'why "{q}",\n?', f'r "{t}"\n{q},', f"s {q}") for t in [*odd, *[f"t{i}" for i in range(6000)]] for q in (0, 2) if (t, q) != ("x.y", 2)]
+    answers = spark.createDataFrame(rows, "title string, q_idx int, question string, response string, source_chunks string")
+    manifest = files.write_sheets(answers, path, 700).orderBy("sheet").collect()
+    assert [r["n_titles"] for r in manifest] == [700] * 8 + [404]
+    assert all(a["last_title"] < b["first_title"] for a, b in zip(manifest, manifest[1:]))
+    sheet = files.read_sheet(spark, path, 0)
+    want = sorted(r[0] for r in rows if r[1] == 0)[:700]
+    assert sheet.columns == ["q_idx", "question", *[f"{t}-{p}" for t in want for p in ("response", "source_chunks")]]
+    by_key = {(r[0], r[1]): r for r in rows}
+    for got in sheet.collect():
+        assert got["question"] == f'why "{got["q_idx"]}",\n?'
+        for t in want[:50]:
+            row = by_key.get((t, got["q_idx"]))
+            assert got[f"{t}-response"] == (row[3] if row else "")
+    assert files.write_sheets(answers.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_shared_titles_are_refused(spark):
     pages = spark.createDataFrame([("a.v1.pdf", 0, "c"), ("a.v2.pdf", 0, "c")], schemas.PAGES)
     with pytest.raises(ValueError, match="'a'"):
