@@ -29,7 +29,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     A key of at least `min_chars` code points found in at least `min_docs` documents loses all its lines.
     Null text is one empty line and becomes the empty text. A document is a distinct (doc_id, text): repeated
-    rows count once and all lose the same lines. An empty table stays empty. Other columns pass through;
+    rows count once and all lose the same lines, two texts under one id count as two. A very long text is one row; its
+    lines are counted one by one like all others. An empty table stays empty. Other columns pass through;
     columns named `n_lines` or `n_dropped` are replaced.
     """
     lines = docs.select(*content_key("doc_id", "text"), F.posexplode(lines_of()).alias("_qpos", "_qline"))

@@ -198,7 +198,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
 
     `labels` holds doc_id and `quality`; rows of `docs` where `learn` holds and a label of 0 or 1 exists are
     learnt from (several labels of one id count one by one). Only the text is an input of the score; equal
-    texts get equal scores, null and empty texts one like any other. Without labels every score is 0.5.
+    texts (also of repeated rows) get equal scores, null and empty texts one like any other, very long texts are read
+    whole. Scores in one bin of the calibration tie. Without labels every score is 0.5, an empty table gives no
+    rows. Other columns are not returned, whatever their names.
     """
     stats = stage(document_statistics(docs), "statistics")
     known = labels.select("doc_id", F.col("quality").cast("int").alias("_qlabel")).where("_qlabel IN (0, 1)")

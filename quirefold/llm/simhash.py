@@ -114,7 +114,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     sequence is the one shingle, without words (or null) the fingerprint is 0, linked like any other. Rows
     are linked when their fingerprints differ in at most `max_bits` bits; `component_id` is the smallest doc_id
     that can be reached over links (null only if no member has an id). `n_links` counts the other distinct
-    fingerprints linked directly. Repeated rows get the same values; an empty table gives no rows.
+    fingerprints linked directly. Repeated rows get the same values; a very long text is read whole; bits set in exactly
+    half of the hashes are 0; an empty table gives no rows. Other columns are not returned.
     """
     marks = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(marks.groupBy("_qfp").agg(F.min("doc_id").alias("_qmin")), "distinct-fingerprints")

@@ -116,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> D
     The page's own rule decides. Without one, the page is blocked if an address in its component of alias
     links falls under a block rule (the address need not be a page of the table), else it gets `default`.
     Null or malformed urls have an empty host and path, no rule and the default verdict; null html has no
-    links. Repeated rows are judged alike. Columns named like a result are replaced.
+    links. Repeated rows are judged alike, very long urls and pages are read whole, an empty table gives no rows. Columns named like a result are replaced.
     """
     links = stage(alias_links(pages).distinct(), "alias-links")
     member = components(links, "a", "b", "_qcomp")
