@@ -15,6 +15,7 @@ count) rows and are joined; their counts per word are bounded by the same rule,
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ FREQUENT = 200_000
 FLUSH_WORDS = 300_000
 PRIOR_TOKENS = 1_000.0
 ROUNDS = 4
+SLICE = 4096  # characters of a very long word whose arcs are held at a time
 END = "</s>"
 LN10 = math.log(10)
 
@@ -67,13 +69,13 @@ class Lattice:
         self.end = float(logs[numbers[END]])
         self.longest = max(map(len, self.edges))
 
-    def arcs(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For every end position, (start, piece numbers, log probability) of what may come last.
+    def arcs(self, text: str, after: int = 0, last: int | None = None) -> list[list[tuple[int, tuple[int, ...], float]]]:
+        """For every end position behind `after` up to `last`, (start, piece numbers, log probability) of what may come last.
 
         A character that is no piece by itself is spelt in bytes.
         """
         out, get, longest = [], self.edges.get, self.longest
-        for j in range(1, len(text) + 1):
+        for j in range(after + 1, (len(text) if last is None else last) + 1):
             here = []
             for i in range(max(0, j - longest), j):
                 edge = get(text[i:j])
@@ -86,33 +88,42 @@ class Lattice:
         return out
 
     @staticmethod
-    def forward(arcs: list) -> list[float]:
-        """Log probability of every prefix, summed over its segmentations."""
-        alpha = [0.0]
+    def forward(arcs: list, alpha: array | None = None) -> array:
+        """Log probability of every prefix, summed over its segmentations; goes on behind the prefixes of `alpha`."""
+        alpha = array("d", [0.0]) if alpha is None else alpha
         for here in arcs:
             terms = [alpha[i] + x for i, _, x in here]
             top = max(terms)
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
         return alpha
 
+    def prefixes(self, text: str) -> array:
+        """`forward` over the whole text. Arcs are held for one slice at a time, so a character costs eight bytes."""
+        alpha = array("d", [0.0])
+        for after in range(0, len(text), SLICE):
+            self.forward(self.arcs(text, after, min(after + SLICE, len(text))), alpha)
+        return alpha
+
     def log_probability(self, word: str) -> float:
-        return self.forward(self.arcs("▁" + word))[-1]
+        return self.prefixes("▁" + word)[-1]
 
     def expect(self, word: str, count: float, into: np.ndarray) -> None:
         """Add the expected numbers of the pieces in `count` occurrences of the word."""
-        arcs = self.arcs("▁" + word)
-        alpha = self.forward(arcs)
-        beta = [-math.inf] * len(alpha)
+        text = "▁" + word
+        alpha = self.prefixes(text)
+        beta = array("d", [-math.inf]) * len(alpha)
         beta[-1], total = 0.0, alpha[-1]
-        for j in range(len(arcs), 0, -1):
-            if beta[j] == -math.inf:
-                continue
-            for i, pieces, x in arcs[j - 1]:
-                weight = count * math.exp(alpha[i] + x + beta[j] - total)
-                for p in pieces:
-                    into[p] += weight
-                high, low = max(beta[i], x + beta[j]), min(beta[i], x + beta[j])
-                beta[i] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+        for after in reversed(range(0, len(text), SLICE)):  # the slices of `prefixes` once more, from the end
+            arcs = self.arcs(text, after, min(after + SLICE, len(text)))
+            for j in range(after + len(arcs), after, -1):
+                if beta[j] == -math.inf:
+                    continue
+                for i, pieces, x in arcs[j - after - 1]:
+                    weight = count * math.exp(alpha[i] + x + beta[j] - total)
+                    for p in pieces:
+                        into[p] += weight
+                    high, low = max(beta[i], x + beta[j]), min(beta[i], x + beta[j])
+                    beta[i] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 class LatticeBlocks:
@@ -160,12 +171,22 @@ class LatticeBlocks:
         return ((mixed ^ (mixed >> np.uint64(29))) * factor >> np.uint64(64 - self.SLOT_BITS)).view(np.int64)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of the piece with each hash, or -1, which stands for a log probability of minus infinity."""
-        found = np.full(hashes.shape, -1, dtype=np.int32)
-        for factor, slots in self.tables:
-            here = slots.take(self._slot(hashes, factor))
-            np.copyto(found, here, where=(here >= 0) & (self.keys.take(here) == hashes))
-        return found
+        """Index of the piece with each hash, or -1, which stands for a log probability of minus infinity.
+
+        A later table holds only pieces whose slot in all earlier ones is taken, so an empty slot ends the search.
+        """
+        flat = hashes.ravel()
+        factor, slots = self.tables[0]
+        found = slots.take(self._slot(flat, factor))
+        open_ = np.flatnonzero(found >= 0)
+        open_ = open_[self.keys.take(found[open_]) != flat[open_]]
+        found[open_] = -1
+        for factor, slots in self.tables[1:]:
+            here = slots.take(self._slot(flat[open_], factor))
+            same = (here >= 0) & (self.keys.take(here) == flat[open_])
+            found[open_[same]] = here[same]
+            open_ = open_[(here >= 0) & ~same]
+        return found.reshape(hashes.shape)
 
     def _spelt(self, code: int) -> tuple[list[int], float]:
         octets = [self.single.octets[b] for b in chr(code).encode("utf-8", "surrogatepass")]
@@ -274,9 +295,14 @@ def _rows(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
 
 
 def piece_probabilities(
-    words: DataFrame, numbers: dict[str, int], prior: np.ndarray, weights: np.ndarray, end_count: int
+    words: DataFrame,
+    numbers: dict[str, int],
+    prior: np.ndarray,
+    weights: np.ndarray,
+    end_count: int,
+    prior_tokens: float = PRIOR_TOKENS,
 ) -> np.ndarray:
-    """One re-estimation: the prior as `PRIOR_TOKENS` pieces, and the pieces expected in the training words.
+    """One re-estimation: the prior as `prior_tokens` pieces, and the pieces expected in the training words.
 
     `weights` are the probabilities of the round before.
     """
@@ -290,20 +316,22 @@ def piece_probabilities(
         words = [w.decode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
         blocks.expect(words, np.asarray(batch.column("c"), dtype=float), sums)
 
-    counts = partition_sum(words.where("c > 0").select("word", "c"), add, len(prior)) + PRIOR_TOKENS * prior
+    counts = partition_sum(words.where("c > 0").select("word", "c"), add, len(prior)) + prior_tokens * prior
     counts[numbers[END]] += end_count
     return counts / counts.sum()
 
 
 @keeps_columns
-def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+def score_texts(
+    docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY, prior_tokens: float = PRIOR_TOKENS
+) -> DataFrame:
     """doc_id, _qmark (the value of `learn`), n_tokens, n_known, train_tokens, base_score, score per row.
 
     Texts are lower-cased in A-Z; tokens are the words between ASCII white space and one end per text; null is
     the empty text, which is its end alone. Learning rows are those where `learn` holds (null: not learnt).
     `base_score` sums log10((c + 0.1) / (N + 0.1 * (V + 1))) over tokens, with c the training count, N all and V
     the distinct training tokens; `n_known` counts tokens with c > 0. `score` is the log10 probability of the
-    text under the subword model. Repeated rows get equal values and stay separate; an empty table gives none.
+    text under the subword model, in which the vocabulary's own weights count as `prior_tokens` pieces. Repeated rows get equal values and stay separate; an empty table gives none.
     """
     spark = docs.sparkSession
     numbers, prior = read_pieces(vocabulary)
@@ -315,7 +343,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str = VOCABULARY) ->
     often = max(tokens // FREQUENT, 1)  # at most FREQUENT words reach `often` occurrences among `tokens`
     probabilities = prior
     for _ in range(ROUNDS):
-        probabilities = piece_probabilities(words, numbers, prior, probabilities, ends)
+        probabilities = piece_probabilities(words, numbers, prior, probabilities, ends, prior_tokens)
     model = spark.sparkContext.broadcast((numbers, probabilities))
     spread = train + 0.1 * (distinct + 1)
 

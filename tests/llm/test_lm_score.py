@@ -61,6 +61,18 @@ def test_very_long_words_do_not_underflow():
     assert -math.inf < lattice.log_probability("ab" * 20_000) < -20_000
 
 
+@pytest.mark.parametrize("length", [1, 7, 64, 4096])
+def test_slices_of_a_long_word_change_nothing(monkeypatch, length):
+    lattice = Lattice(*small_lattice())
+    word = "abbaéab" * 40
+    whole, want = lattice.log_probability(word), np.zeros(len(lattice.octets) + 99)
+    lattice.expect(word, 2.0, want)
+    monkeypatch.setattr(lm_score, "SLICE", length)
+    got = np.zeros(len(want))
+    lattice.expect(word, 2.0, got)
+    assert lattice.log_probability(word) == whole and got == pytest.approx(want)
+
+
 def test_vocabulary():
     numbers, prior = read_pieces(VOCABULARY)
     assert len(numbers) > 25_000 and prior.sum() == pytest.approx(1) and (prior > 0).all()
@@ -141,3 +153,13 @@ def test_every_round_learns_from_every_training_word(spark, monkeypatch, frequen
         for row in score_texts(documents(spark, docs, awkward=False), crc(10) != 0).collect():
             logs = sum(lattice.log_probability(w) for w in tokens(texts[row["doc_id"]])) + lattice.end
             assert row["score"] == pytest.approx(logs / LN10)
+
+
+def test_weight_of_the_vocabulary(spark):
+    """A weight beyond all training words leaves the vocabulary's own scores; a small one follows the words."""
+    docs = documents(spark, [(i, "quixotic marmots gleam") for i in range(30)], awkward=False)
+    numbers, prior = read_pieces(VOCABULARY)
+    lattice = Lattice(numbers, prior)
+    plain = (sum(lattice.log_probability(w) for w in ("quixotic", "marmots", "gleam")) + lattice.end) / LN10
+    heavy, light = (score_texts(docs, crc(10) != 0, prior_tokens=t).first()["score"] for t in (1e12, 10.0))
+    assert heavy == pytest.approx(plain, rel=1e-4) and light > plain + 1
