@@ -1,9 +1,9 @@
 """Chunking of documents that are spread over many page rows and may be of any size.
 
 Units are cut from pages directly, windows work on blocks of consecutive units that overlap by the width of
-the window, and what is known per document (threshold, counts) comes back to the rows block by block. What
-still has to be one value are a paragraph and a chunk: a document without any paragraph end is one paragraph,
-and one whose distances are all equal is one chunk. The result equals merging the pages and calling
+the window, and what is known per document (threshold, counts) comes back to the rows block by block. A paragraph
+over many pages is packed by its sentences' word counts and never joined. What has to be one value are a unit and
+a chunk: a document whose distances are all equal is one chunk. The result equals merging the pages and calling
 `semantic_chunk`, for patterns that end at a line end; others are refused.
 
 Steps that are read more than once are written to the shared folder (`stage`), each pass then reads
@@ -15,13 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.functions.text import PARAGRAPH, ascii_fold, packed_parts
+from quirefold.functions.text import PARAGRAPH, ascii_fold, packed_parts, single_spaced, word_count
 from quirefold.operators.chunking import Breakpoints, gradient, join_units, neighbour_distances, window_vectors
 from quirefold.operators.ordering import BLOCK, attach_facts, block_of, running_total
+from quirefold.operators.packing import greedy_cuts
 from quirefold.operators.selection import order_statistics, percentiles
 from quirefold.operators.splitting import MAX_WORDS
 from quirefold.session import stage
 
+WHOLE_CHARS = 1 << 20  # a paragraph up to here may be one value
+
 
 def kept_pages(marked: DataFrame, fold: bool = True) -> DataFrame:
     """Marked pages to `(title, position, last, text)`, the pages that stay."""
@@ -38,31 +41,100 @@ def ends_lines(split_regex: str) -> bool:
     return plain.count("\n") == 1 and plain.endswith("\n") and not set(plain) & set(".^$*+?{}[]\\|()")
 
 
-def page_paragraphs(
-    pages: DataFrame, split_regex: str = PARAGRAPH, separator: str = "\n", block: int = BLOCK
-) -> DataFrame:
-    """`(title, par, paragraph)`: the paragraphs of the document that the pages form.
+def page_pieces(pages: DataFrame, split_regex: str = PARAGRAPH, separator: str = "\n", block: int = BLOCK) -> DataFrame:
+    """`(title, par, position, piece, border)`: the pages cut into pieces, numbered by the paragraph they belong to.
 
     Every page but the last is followed by `separator`. A separator match must lie inside one page and
     its `separator`, which holds for patterns that end where `separator` ends. The last piece of a
-    page and the first piece of the next one belong to the same paragraph.
+    page and the first piece of the next one belong to the same paragraph; all others (not `border`) are one.
     """
     ended = F.when(F.col("position") < F.col("last"), F.concat("text", F.lit(separator))).otherwise(F.col("text"))
     cut = pages.select("title", "position", F.split(ended, split_regex, -1).alias("pieces"))
     numbered = running_total(cut, ["title"], "position", F.size("pieces") - 1, "before", block)
-    pieces = numbered.select("title", "position", "before", F.posexplode("pieces").alias("nth", "piece")).select(
-        "title", "position", (F.col("before") + F.col("nth")).alias("par"), "piece"
-    )
+    last = F.size("pieces") - 1
+    pieces = numbered.select("title", "position", "before", last.alias("last"), F.posexplode("pieces").alias("nth", "piece"))
+    border = (F.col("nth") == 0) | (F.col("nth") == F.col("last"))
+    return pieces.select("title", (F.col("before") + F.col("nth")).alias("par"), "position", "piece", border.alias("border"))
+
+
+def joined_paragraphs(pieces: DataFrame) -> DataFrame:
+    """`(title, par, paragraph)` of pieces. Only those at page borders are grouped."""
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda p: p["piece"])
-    return pieces.groupBy("title", "par").agg(F.array_join(in_order, "").alias("paragraph"))
+    met = pieces.where("border").groupBy("title", "par").agg(F.array_join(in_order, "").alias("paragraph"))
+    return pieces.where("NOT border").select("title", "par", F.col("piece").alias("paragraph")).unionByName(met)
 
 
-def paragraph_units(paragraphs: DataFrame, max_words: int = MAX_WORDS, block: int = BLOCK) -> DataFrame:
-    """`(title, idx, sentence)`: paragraphs, oversized ones packed, numbered through the document."""
-    parts = packed_parts(F.col("paragraph"), max_words)
-    numbered = running_total(
-        paragraphs.select("title", "par", parts.alias("parts")), ["title"], "par", F.size("parts"), "before", block
+def page_paragraphs(
+    pages: DataFrame, split_regex: str = PARAGRAPH, separator: str = "\n", block: int = BLOCK
+) -> DataFrame:
+    """`(title, par, paragraph)`: the paragraphs of the document that the pages form, each as one value."""
+    return joined_paragraphs(page_pieces(pages, split_regex, separator, block))
+
+
+def long_paragraphs(pieces: DataFrame, max_words: int, whole_chars: int) -> DataFrame:
+    """`(title, par)`: paragraphs of more than `whole_chars` characters and `max_words` words over several pages."""
+    words = F.when(F.col("border"), word_count(F.col("piece"))).cast("long")
+    sums = pieces.where("border").groupBy("title", "par").agg(F.sum(F.length("piece")).alias("chars"), F.sum(words).alias("words"))
+    return sums.where((F.col("chars") > whole_chars) & (F.col("words") > max_words)).select("title", "par")
+
+
+def packed_over_rows(pieces: DataFrame, max_words: int = MAX_WORDS, block: int = BLOCK) -> DataFrame:
+    """`(title, par, nth, part)`: `packed_parts` of paragraphs with more than `max_words` words, without joining them.
+
+    Pieces must begin and end at white space, as pages followed by a line end do. A piece is cut into parts of
+    sentences; one without a sentence end behind it goes on in the next piece. The greedy cuts follow from the
+    sentences' word counts (`greedy_cuts`). What has to be one value is a part: `max_words` words, or one sentence.
+    """
+    spaced = single_spaced(F.col("piece"))
+    cut = pieces.select("title", "par", "position", F.split(spaced, "(?<=[.?!]) ", -1).alias("shreds")).where("shreds[0] <> ''")
+    numbered = running_total(cut, ["title", "par"], "position", F.size("shreds"), "before", block)
+    shreds = numbered.select("title", "par", "before", F.posexplode("shreds").alias("nth", "shred")).select(
+        "title", "par", (F.col("before") + F.col("nth")).alias("at"), "shred"
     )
+    shreds = stage(shreds, "shreds")
+    ends = F.right("shred", F.lit(1)).isin(*".?!").cast("int")
+    narrow = shreds.select("title", "par", "at", word_count(F.col("shred")).alias("words"), ends.alias("ends"))
+    narrow = stage(running_total(narrow, ["title", "par"], "at", F.col("ends"), "idx", block), "sentence-of-shred")
+    sentences = narrow.groupBy("title", "par", "idx").agg(F.sum("words").alias("words"))
+    starts = greedy_cuts(sentences, ["title", "par"], max_words, block)
+    rows = narrow.select("title", "par", "at", "idx").join(starts, ["title", "par", "idx"])
+    rows = shreds.join(rows, ["title", "par", "at"])
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "shred"))), lambda x: x["shred"])
+    parts = rows.groupBy("title", "par", "nth").agg(F.array_join(in_order, " ").alias("part"))
+    # a first sentence that is too long by itself leaves an empty part before it: `greedy_cuts` leaves number 0 free
+    over = sentences.where((F.col("idx") == 0) & (F.col("words") > max_words))
+    return parts.unionByName(over.select("title", "par", F.lit(0).cast("long").alias("nth"), F.lit("").alias("part")))
+
+
+def paragraph_units(
+    pieces: DataFrame, max_words: int = MAX_WORDS, block: int = BLOCK, whole_chars: int = WHOLE_CHARS
+) -> DataFrame:
+    """`(title, idx, sentence)`: paragraphs of `page_pieces`, oversized ones packed, numbered through the document.
+
+    Paragraphs of more than `whole_chars` characters are packed without being joined first; the units are the same.
+    """
+    parts = packed_parts(F.col("paragraph"), max_words)
+    sizes = pieces.where("border").groupBy("title", "par").agg(F.sum(F.length("piece")).alias("chars"))
+    if sizes.where(F.col("chars") > whole_chars).isEmpty():
+        rows = joined_paragraphs(pieces).select("title", "par", parts.alias("parts"))
+    else:
+        long = stage(long_paragraphs(pieces, max_words, whole_chars), "long-paragraphs")
+        marked = pieces.join(long.withColumn("_long", F.lit(True)), ["title", "par"], "left")
+        spread = stage(packed_over_rows(marked.where("_long AND border"), max_words, block), "spread-parts")
+        whole = joined_paragraphs(marked.where("_long IS NULL").drop("_long")).select("title", "par", parts.alias("parts"))
+        # one row per paragraph or part; a paragraph's parts keep their order inside the paragraph
+        one = F.array("part").alias("parts")
+        rows = whole.withColumn("nth", F.lit(0).cast("long")).unionByName(spread.select("title", "par", "nth", one))
+        rows = stage(rows, "parts")
+        counts = rows.groupBy("title", "par").agg(F.sum(F.size("parts")).alias("n"), F.max("nth").alias("last"))
+        begin = running_total(counts, ["title"], "par", F.col("n"), "before", block)
+        begin = begin.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), block_of("last", block))))
+        rows = rows.withColumn("_block", block_of("nth", block))
+        rows = rows.join(begin.select("title", "par", "_block", "before"), ["title", "par", "_block"])
+        return rows.select(
+            "title", (F.col("before") + F.col("nth")).alias("first"), F.posexplode("parts").alias("_at", "sentence")
+        ).select("title", (F.col("first") + F.col("_at")).alias("idx"), "sentence")
+    numbered = running_total(rows, ["title"], "par", F.size("parts"), "before", block)
     return numbered.select("title", "before", F.posexplode("parts").alias("nth", "sentence")).select(
         "title", (F.col("before") + F.col("nth")).alias("idx"), "sentence"
     )
@@ -143,13 +215,14 @@ def semantic_chunk_pages(
     max_words: int = MAX_WORDS,
     block: int = BLOCK,
     digits: int | None = None,
+    whole_chars: int = WHOLE_CHARS,
 ) -> DataFrame:
     """Pages `(title, position, last, text)` to chunks `(title, chunk_idx, chunk)`."""
     if not ends_lines(sentence_split_regex):
         raise ValueError("cutting from pages needs a pattern of plain characters with one line end, at its end")
     breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks, digits)
-    paragraphs = stage(page_paragraphs(stage(pages, "pages"), sentence_split_regex, block=block), "paragraphs")
-    units = paragraph_units(paragraphs, max_words, block)
+    pieces = stage(page_pieces(stage(pages, "pages"), sentence_split_regex, block=block), "pieces")
+    units = paragraph_units(pieces, max_words, block, whole_chars)
     measured = stage(block_distances(units, breakpoints, buffer_size, embedder, block), "measured")
     rows = attach_facts(measured, document_thresholds(measured, breakpoints, block), "title", "idx", "last_idx", block).drop(
         "_block"

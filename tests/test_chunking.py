@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -10,9 +11,9 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
-from quirefold.functions.text import ascii_fold, is_not_blank, packed_parts, split_sentences, word_count
+from quirefold.functions.text import ascii_fold, is_not_blank, packed_parts, split_sentences, unit_array, word_count
 from quirefold.functions.vectors import l2_normalize
-from quirefold.operators import chunking, longform, ordering, selection, splitting
+from quirefold.operators import chunking, longform, ordering, packing, selection, splitting
 from quirefold.plans import tables
 
 SF = "/root/testdata/sf0.001"
@@ -270,6 +271,47 @@ def test_page_form_with_paragraphs_over_pages(spark):
     assert [r["paragraph"] for r in rows] == text.split("  \n")
 
 
+def text_over_pages(draw, n_pages):
+    """Lines of random sentences: blank lines, sentences over many lines, some too long, a few paragraph ends."""
+    lines = []
+    for _ in range(n_pages):
+        words = [draw.choice(["a", "b.", "c?", "d", "e", "f!", ".", "é", "g ", "  h"]) for _ in range(draw.randrange(0, 9))]
+        lines.append(" ".join(words) + draw.choice(["", "", "", " ", ".", "  "]))
+    return lines
+
+
+@pytest.mark.parametrize("max_words", [1, 3, 20])
+@pytest.mark.parametrize("whole_chars", [0, 30])
+def test_packing_over_rows_equals_packing_of_one_value(spark, max_words, whole_chars):
+    """Units of paragraphs that are never joined are those of joined ones, over many small blocks."""
+    draw = random.Random(max_words)
+    titles = {f"t{i}": text_over_pages(draw, n) for i, n in enumerate([1, 4, 60, 250])} | {"dots": ["."] * 90, "none": ["x y"] * 70}
+    rows = [(t, i, len(x) - 1, line) for t, x in titles.items() for i, line in enumerate(x)]
+    pages = spark.createDataFrame(rows, "title string, position int, last int, text string").repartition(3)
+    pieces = longform.page_pieces(pages, block=8)
+    units = longform.paragraph_units(pieces, max_words, block=8, whole_chars=whole_chars).collect()
+    got = {t: {r["idx"]: r["sentence"] for r in units if r["title"] == t} for t in titles}
+    assert len(units) == sum(map(len, got.values()))
+    texts = spark.createDataFrame([(t, "\n".join(x)) for t, x in titles.items()], "title string, text string")
+    want = {r["title"]: dict(enumerate(r["u"])) for r in texts.select("title", unit_array(F.col("text"), "  \n", max_words).alias("u")).collect()}
+    assert got == want
+
+
+def test_cuts_of_one_long_sequence(spark):
+    """A single key over many blocks, against a plain loop."""
+    n, budget = 20_000, 37
+    words = [1 + (i * i * 31 + i // 7 + 45) % 50 for i in range(n)]
+    rows = spark.createDataFrame([("k", i, w) for i, w in enumerate(words)], "k string, idx long, words long")
+    got = {r["idx"]: r["nth"] for r in packing.greedy_cuts(rows, ["k"], budget, 64).collect()}
+    want, part, used = {}, int(words[0] > budget), 0
+    for i, w in enumerate(words):
+        if i and used + w > budget:
+            part, used = part + 1, 0
+        used += w
+        want[i] = part
+    assert got == want
+
+
 @pytest.mark.parametrize("regex", [r"\n\s*\n", r"\s+", "\n\n", "."])
 def test_patterns_that_reach_over_page_ends_are_refused_when_cutting_from_pages(spark, regex):
     pages = spark.createDataFrame([("a", 0, 0, "x")], "title string, position int, last int, text string")
