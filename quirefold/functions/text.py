@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 from operator import or_
@@ -167,18 +168,67 @@ def _compatibility_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(plain), spelled
 
 
+# Letters whose usual spelling does not follow from their name.
+NAMED_LETTERS = {
+    "GREEK RHO": "R", "GREEK CHI": "KH", "CYRILLIC GHE": "G", "CYRILLIC HA": "KH", "CYRILLIC IE": "E", "CYRILLIC YERU": "Y",
+    "CYRILLIC HARD SIGN": '"', "CYRILLIC SOFT SIGN": "'", "CYRILLIC BYELORUSSIAN-UKRAINIAN I": "I", "CYRILLIC UKRAINIAN IE": "IE",
+}
+# Greek with its accented forms, Cyrillic of the living Slavic languages
+NAMED_RANGES = [(0x0386, 0x03CF), (0x0400, 0x0460), (0x1F00, 0x2000)]
+
+
+def _spelling(script: str, name: str) -> str:
+    """A letter's spelling from its name: what a Greek name begins with, the consonants of a Cyrillic one."""
+    if f"{script} {name}" in NAMED_LETTERS:
+        return NAMED_LETTERS[f"{script} {name}"]
+    if script == "GREEK":
+        name = name.split()[-1]  # the final sigma is a sigma
+        return re.match("[AEIOU]|[^AEIOU]+", name)[0]
+    return name if name[0] == "Y" else re.sub("[AEIOU]", "", name) or name
+
+
+def _named_letters() -> tuple[str, str, dict[str, str]]:
+    """Greek and Cyrillic letters, spelt by their Unicode names: those of one letter, and the spellings of the others."""
+    single, plain, spelled = [], [], {}
+    for low, high in NAMED_RANGES:
+        for code in range(low, high):
+            base = unicodedata.normalize("NFD", chr(code))[0]
+            found = re.fullmatch(r"(GREEK|CYRILLIC) (SMALL|CAPITAL) LETTER (.+)", unicodedata.name(base, ""))
+            if not found:
+                continue
+            spelt = _spelling(found[1], found[3])
+            spelt = spelt.lower() if found[2] == "SMALL" else spelt.capitalize()
+            if len(spelt) == 1:
+                single.append(chr(code))
+                plain.append(spelt)
+            else:
+                spelled[chr(code)] = spelt
+    return "".join(single), "".join(plain), spelled
+
+
 _ACCENTED, _PLAIN = _letter_table()
 _FORMS, _FORMS_PLAIN, _SPELLED = _compatibility_forms()
 _OTHERS = f"[{''.join(_SPELLED)}]"
+_NAMED, _NAMED_PLAIN, _NAMED_SPELLED = _named_letters()
+_NAMED_SCRIPTS = "[\u0386-\u045f\u1f00-\u1fff]"
+
+
+def _spelt_out(text: Column) -> Column:
+    """Greek and Cyrillic letters in Latin ones."""
+    out = F.translate(text, _NAMED, _NAMED_PLAIN)
+    for letter, spelling in _NAMED_SPELLED.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelling))
+    return out
 
 
 def ascii_fold(text: Column) -> Column:
     """Latin letters without accents; ligatures, compatibility forms and typographic marks spelled out.
 
-    Combining marks go. Scripts other than Latin stay as they are. Pure ASCII texts skip all passes, and texts
-    without compatibility forms the passes for these.
+    Greek and Cyrillic letters are spelt by the names of the letters. Combining marks go. Other scripts stay as they
+    are. Pure ASCII texts skip all passes, and texts without these letters or compatibility forms the passes for them.
     """
-    folded = F.translate(text, _ACCENTED + _FORMS, _PLAIN + _FORMS_PLAIN)
+    named = F.when(text.rlike(_NAMED_SCRIPTS), _spelt_out(text)).otherwise(text)
+    folded = F.translate(named, _ACCENTED + _FORMS, _PLAIN + _FORMS_PLAIN)
     for mark, spelling in ASCII_SPELLING.items():
         folded = F.replace(folded, F.lit(mark), F.lit(spelling))
     forms = F.regexp_replace(folded, COMBINING, "")

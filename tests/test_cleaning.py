@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold import schemas
-from quirefold.functions.text import ascii_fold, line_lengths, lines
+from quirefold.functions.text import NAMED_RANGES, ascii_fold, line_lengths, lines
 from quirefold.operators import cleaning
 
 PHONE = "call + 1 212 555 0100"
@@ -152,3 +154,16 @@ def test_fold(spark):
     text = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü Łódź “œuvre” – naïve… plain"
     row = spark.createDataFrame([(text,)], "t string").select(ascii_fold(F.col("t"))).first()
     assert row[0] == 'ACEEEINOOUssaceeeinoou Lodz "oeuvre" - naive... plain'
+
+
+def test_fold_of_greek_and_cyrillic(spark):
+    """Every letter of the named ranges is spelt in ASCII; words come out in their usual spelling."""
+    words = {
+        "Щука ждёт юг": "Shchuka zhdet yug", "объём и день": "ob\"em i den'", "Київ": "Kiiv", "Љубљана Џеп": "Ljubljana Dzhep",
+        "Ψυχή φως ρόδος": "Psukhe phos rodos", "ΘΕΟΣ Ἀθῆναι": "ThEOS Athenai", "東京 naïve": "東京 naive",
+    }
+    df = spark.createDataFrame(list(words.items()), "t string, want string").select(ascii_fold(F.col("t")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect()), df.collect()
+    letters = "".join(chr(c) for low, high in NAMED_RANGES for c in range(low, high) if unicodedata.category(chr(c))[0] == "L")
+    got = spark.createDataFrame([(letters,)], "t string").select(ascii_fold(F.col("t"))).first()[0]
+    assert got.isascii() and len(got) > len(letters)
