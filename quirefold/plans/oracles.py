@@ -93,6 +93,13 @@ step(
 for name in ("scan_pages", "pages_roundtrip"):
     oracle(name, ["page_rows"], "SELECT doc, page_num, text FROM page_rows")
 oracle("scan_text", [], "SELECT 'doc' || doc_id AS title, text FROM documents")
+oracle(
+    "scan_archives",
+    [],
+    r"""SELECT 'doc' || doc_id AS title, coalesce(source, 'none') AS zip_name,
+               regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text
+        FROM documents""",
+)
 oracle(
     "scan_text_folders",
     [],

@@ -16,6 +16,7 @@ from quirefold.plans import tables
 from quirefold.plans.comparison import add_documents, add_pages, compare_documents, compare_stored
 from quirefold.session import scratch_path, stage
 from quirefold.sources import files, store as stores
+from quirefold.sources.archives import TextArchives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,16 @@ def scan_text_folders(spark, folder):
     )
 
 
+@query
+def scan_archives(spark, folder):
+    """Every document as a member of a zip archive, in a folder of its source; the archives are read in slices."""
+    path = scratch_path(spark, "archives")
+    spark.dataSource.register(TextArchives)
+    docs = tables.documents(spark, folder).withColumn("zip_name", F.coalesce("zip_name", F.lit("none")))
+    docs.repartition("title").write.format("text_archives").mode("append").save(path)
+    return spark.read.format("text_archives").option("sliceBytes", 1 << 20).load(path)
+
+
 @query
 def title_from_path(spark, folder):
     pages = tables.table(spark, folder, "pages")

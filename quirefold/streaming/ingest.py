@@ -14,10 +14,17 @@ from quirefold.plans.comparison import add_documents
 
 
 def ingest_documents(
-    spark: SparkSession, source: str, store: str, checkpoint: str, **options
+    spark: SparkSession,
+    source: str,
+    store: str,
+    checkpoint: str,
+    fmt: str = "parquet",
+    read_options: dict[str, str] | None = None,
+    **options,
 ) -> StreamingQuery:
     """Run through all new files `(title, zip_name, text)` in `source` and append their chunks to `store`.
 
+    `fmt` and `read_options` are those of the source, such as the `text_archives` of `sources.archives`;
     `options` are those of `add_documents`. Titles must be unique within the source. The query ends
     when the files present at the start are done.
     """
@@ -25,7 +32,7 @@ def ingest_documents(
     def add(batch: DataFrame, _: int) -> None:
         add_documents(batch, store, **options)
 
-    documents = spark.readStream.schema(schemas.DOCS).parquet(source)
+    documents = spark.readStream.format(fmt).options(**(read_options or {})).schema(schemas.DOCS).load(source)
     return (
         documents.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
