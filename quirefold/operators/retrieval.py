@@ -159,16 +159,24 @@ def _distance(a: Column, b: Column, digits: int | None) -> Column:
 
 
 def native_candidates(store: DataFrame, vectors: DataFrame, max_k: int, digits: int | None = None) -> DataFrame:
-    """Candidates by array expressions, one row per chunk and question, without Python workers.
+    """Candidates by array expressions, without Python workers.
 
-    The rank filter that follows becomes a group limit before the shuffle, so only the best rows of
-    each task travel. For short question lists and short vectors.
+    A chunk meets the questions of a block inside one expression, so no vector is repeated: what leaves it are
+    narrow rows of keys and distances. The rank filter that follows becomes a group limit before the shuffle, so
+    only the best rows of each task travel. For short question lists and short vectors.
     """
     stored = store.where(F.col("embedding").isNotNull()).select(
         "title", "id", l2_normalize(F.col("embedding")).alias("v")
     )
-    pairs = beside_each(stored, vectors.select("q_idx", l2_normalize(F.col("vector")).alias("vector")))
-    return pairs.select("title", "q.q_idx", "id", _distance(F.col("v"), F.col("q.vector"), digits).alias("distance"))
+    parts = []
+    for block in question_blocks(vectors.select("q_idx", l2_normalize(F.col("vector")).alias("vector"))):
+        asked = block.agg(F.collect_list(F.struct("q_idx", "vector"))).scalar()
+        compared = F.transform(
+            F.col("asked"), lambda q: F.struct(q["q_idx"].alias("q_idx"), _distance(F.col("v"), q["vector"], digits).alias("distance"))
+        )
+        beside = stored.withColumn("asked", asked)
+        parts.append(beside.select("title", "id", F.inline(compared)).select("title", "q_idx", "id", "distance"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _ranked(candidates: DataFrame, most: int, name: str = "rank") -> DataFrame:
