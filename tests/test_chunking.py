@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
-from quirefold.functions.text import ascii_fold, is_not_blank, packed_parts, split_sentences, unit_array, word_count
+from quirefold.functions.text import ascii_fold, fold_text, is_not_blank, packed_parts, split_sentences, unit_array, word_count
 from quirefold.functions.vectors import l2_normalize
 from quirefold.operators import chunking, longform, ordering, packing, selection, splitting
 from quirefold.plans import tables
@@ -349,3 +350,28 @@ def test_fold_of_ligatures_marks_and_combining_accents(spark):
     text = "\ufb01 \ufb02 \u1e9e \u2122 \u2022 \u20ac \u00bd \u2011 e\u0301 \u00e9 \u00df \uff21 \u2163 \u6771"
     got = spark.createDataFrame([(text,)], "t string").select(ascii_fold(F.col("t"))).first()[0]
     assert got == "fi fl SS TM * EUR 1/2 - e e ss A IV \u6771"
+
+
+def test_hash_embedder_counts_words_of_folded_texts_in_tasks(spark):
+    """Folding, splitting and hashing of a text are one pass over Arrow batches, with the counts of the expressions."""
+    texts = ["Straße — ÉTÉ œuvre x1 x1", "", "... ", None, "Ж ﬁn ½ İstanbul \u212a9", "e\u0301a " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    tokens = F.filter(F.split(F.lower(ascii_fold(F.col("text"))), "[^a-z0-9]+", -1), lambda w: w != "")
+    wanted = rows.select("i", tokens.alias("words"))
+    got = rows.select("i", HashEmbedder(64).counts(F.col("text")).alias("n"), HashEmbedder(64).embed(F.col("text")).alias("v"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().toString()
+    for row in got.join(wanted, "i").collect():
+        if row["words"] is None:
+            assert row["n"] == [None] * 64
+            continue
+        counts = np.zeros(64)
+        for word in row["words"]:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        assert row["n"] == counts.tolist()
+        assert row["v"] == [x / max(np.sqrt((counts**2).sum()), 1e-12) for x in counts]
+
+
+def test_fold_text_is_ascii_fold(spark):
+    texts = ["a" + chr(c) + "B" for c in [*range(1, 0x0600), *range(0x1D00, 0x2300), *range(0xFB00, 0xFB10), *range(0xFF00, 0xFFF0)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_fold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in rows] == [fold_text(r["t"]) for r in rows]
