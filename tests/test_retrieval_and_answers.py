@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
 from quirefold.operators import answering, cells, identity, retrieval
 from quirefold.operators.signatures import directions, signature_table
 from quirefold.plans import comparison
+from quirefold.session import shared_folder
 from quirefold.sources import files, store as stores
 from quirefold.streaming.ingest import ingest_documents
 
@@ -567,3 +569,39 @@ def test_a_second_run_embeds_and_asks_only_once_per_text(spark, tmp_path):
         names = spark.createDataFrame([("f", f"{i}.pdf") for i in range(20)], schemas.FILES)
         comparison.compare_stored(pages, questions, "twice", names, generator=generator)
     spark.sql("DROP TABLE twice")
+
+
+def test_titles_meet_questions_as_one_row(spark, monkeypatch):
+    """The passages of `retrieve`, for repeated and missing ids, missing vectors and texts, long titles and empty ones."""
+    rng = np.random.default_rng(3)
+    rows = [(f"a-{i}", "a", f"text {i}", rng.random(4).tolist()) for i in range(9)]
+    rows += [(f"b-{i}", "b", f"b {i}", [1.0, 0.0, 0.0, float(i % 2)]) for i in range(3)]
+    rows += [("b-1", "b", "again", [1.0, 0.0, 0.0, 1.0]), (None, "b", "no id", [1.0, 1.0, 1.0, 1.0])]
+    rows += [("c-0", "c", "no vector", None), ("c-1", "c", None, [0.0] * 4), ("d-0", "d", "only", None), ("z", None, "z", [1.0] * 4)]
+    store = spark.createDataFrame(rows, "id string, title string, chunk string, embedding array<double>")
+    titles = spark.createDataFrame([(t,) for t in ["a", "b", "c", "d", "e", None]], "title string")
+    questions = spark.createDataFrame([(i * 3 - 9, f"word{i % 5} w{i}") for i in range(70)], "q_idx int, question string")
+    embedder = HashEmbedder(4)
+    hits = retrieval.retrieve(store, retrieval.embed_questions(questions, embedder), digits=6)
+    pairs = retrieval.title_question_pairs(titles, questions)
+    wanted = answering.build_prompts(pairs, retrieval.context_blocks(hits)).collect()
+    key = lambda r: (r["title"] or "", r["q_idx"])
+    for longest in (256, 5):
+        monkeypatch.setattr(comparison, "WHOLE_TITLE", longest)
+        found = comparison._contexts(store, titles, questions, embedder, "matrix", 6)
+        assert sorted(answering.render_prompts(found).collect(), key=key) == sorted(wanted, key=key)
+
+
+def test_pairs_are_not_shuffled_and_passages_not_written(spark):
+    docs = spark.createDataFrame([(f"t{i}", f"red fox {i}") for i in range(4)], "title string, chunk string")
+    store = docs.select(F.concat("title", F.lit("-0")).alias("id"), "title", "chunk", HashEmbedder(8).embed(F.col("chunk")).alias("embedding"))
+    questions = spark.createDataFrame([(0, "fox"), (1, "red")], "q_idx int, question string")
+    found = retrieval.title_contexts(store, docs.select("title"), questions, HashEmbedder(8))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(title" in plan
+    assert not [line for line in plan.split("\n") if "hashpartitioning" in line and "q_idx" in line]
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    answers = comparison.ask(store, docs.select("title"), questions, HashEmbedder(8), generator=answering.stub_generator)
+    assert answers.count() == 8
+    for name in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before:
+        assert not {"docs", "prompt"} & set(spark.read.parquet(f"{shared_folder(spark)}/{name}").columns)
