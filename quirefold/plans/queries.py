@@ -49,9 +49,8 @@ def scan_text(spark, folder):
     """Writes every document as a text file of its own, title first, then reads the folder back."""
     path = scratch_path(spark, "texts")
     docs = tables.documents(spark, folder)
-    docs.select(F.concat_ws("\r\n", "title", F.replace("text", F.lit("\n"), F.lit("\r\n")))).write.option(
-        "maxRecordsPerFile", 1
-    ).text(path)
+    value = F.concat_ws("\r\n", "title", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    files.write_texts(docs.select(value.alias("value")), path)
     back = files.read_texts(spark, path).select(F.split("text", "\n", 2).alias("parts"))
     return back.select(
         F.get("parts", F.lit(0)).alias("title"), F.regexp_replace(F.get("parts", F.lit(1)), "\n$", "").alias("text")
@@ -63,7 +62,7 @@ def scan_text_folders(spark, folder):
     """One folder of text files per source; the reader names the folder of every file, and its title by its name."""
     path = scratch_path(spark, "folders")
     docs = tables.table(spark, folder, "documents").select("source", F.coalesce("text", F.lit("")).alias("value"))
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    files.write_texts(docs, path, by="source")
     back = files.read_texts(spark, f"{path}/*")
     return back.groupBy("zip_name").agg(
         F.count("*").alias("n_files"), F.bool_and(F.col("title").startswith("part-")).alias("named")

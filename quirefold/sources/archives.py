@@ -52,7 +52,7 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     if "://" not in path:
@@ -63,7 +63,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def _archives(path: str) -> list[fs.FileInfo]:
     """Archives of a folder and its subfolders, or the one archive; names that begin with `_` or `.` are hidden."""
-    system, inside = _opened(path)
+    system, inside = opened(path)
     info = system.get_file_info(inside)
     found = [info] if info.is_file else system.get_file_info(fs.FileSelector(inside, recursive=True))
     visible = [f for f in found if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] not in "_."]
@@ -84,7 +84,7 @@ def _names(member: str, archive: str) -> tuple[str, str]:
 
 
 def _read(path: str, part: Slice) -> Iterator[pa.RecordBatch]:
-    system, _ = _opened(path)
+    system, _ = opened(path)
     names = [c.split()[0] for c in schemas.DOCS.split(", ")]
     rows, held = [], 0
     with system.open_input_file(part.path) as raw:
@@ -147,7 +147,7 @@ class ArchiveWriter(DataSourceWriter):
         self.path = path
 
     def write(self, rows: Iterator) -> Written:
-        system, folder = _opened(self.path)
+        system, folder = opened(self.path)
         system.create_dir(folder)
         name, archive, raw = f"part-{uuid.uuid4().hex}.zip", None, None
         try:
@@ -169,12 +169,12 @@ class ArchiveWriter(DataSourceWriter):
         return Written([name] if archive is not None else [])
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, folder = _opened(self.path)
+        system, folder = opened(self.path)
         for name in [n for m in messages if m for n in m.names]:
             system.move(f"{folder}/_{name}", f"{folder}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, folder = _opened(self.path)
+        system, folder = opened(self.path)
         for name in [n for m in messages if m for n in m.names]:
             system.delete_file(f"{folder}/_{name}")
 

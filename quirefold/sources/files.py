@@ -5,12 +5,18 @@ Every read has an explicit schema, so a title that looks like a number stays a s
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quirefold import schemas
 from quirefold.operators.cleaning import title_of
 from quirefold.operators.ordering import dense_index, place_in_order
 from quirefold.session import stage
+from quirefold.sources.archives import opened
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -196,3 +202,39 @@ def folder_up_to_date(source: DataFrame, processed: DataFrame) -> DataFrame:
         .where(F.col("is_source") == 1)
         .drop("is_source")
     )
+
+
+# What Spark puts in place of a folder's value that is null or empty, and the characters it escapes.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]"
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    return f"{column}=" + (re.sub(ESCAPED, lambda m: f"%{ord(m[0]):02X}", value) if value else NO_VALUE)
+
+
+def write_texts(docs: DataFrame, path: str, by: str | None = None) -> int:
+    """Write `value` of every row as a text file of its own, `part-*.txt`, ended by a line end; returns their number.
+
+    With `by`, files lie in a folder per value of that column, named as `partitionBy` names them. Tasks write through
+    `pyarrow.fs`; a task that is run again writes the same names. `path` must be new and shared by the cluster.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = opened(path)
+        task, written, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            folders = [_folder_name(by, v) for v in batch.column("folder").to_pylist()] if by else [""] * len(values)
+            for folder, value in zip(folders, values, strict=True):
+                place = f"{root}/{folder}".rstrip("/")
+                if place not in made:
+                    target.create_dir(place, recursive=True)
+                    made.add(place)
+                with target.open_output_stream(f"{place}/part-{task:05d}-{written:09d}.txt", compression=None) as out:
+                    out.write((value or "").encode() + b"\n")
+                written += 1
+        yield pa.RecordBatch.from_pydict({"n": [written]})
+
+    columns = [F.col("value"), *([F.col(by).cast("string").alias("folder")] if by else [])]
+    return docs.select(*columns).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pathlib
 
 import numpy as np
 import pandas as pd
@@ -605,3 +606,16 @@ def test_pairs_are_not_shuffled_and_passages_not_written(spark):
     assert answers.count() == 8
     for name in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before:
         assert not {"docs", "prompt"} & set(spark.read.parquet(f"{shared_folder(spark)}/{name}").columns)
+
+
+def test_write_texts_makes_one_file_per_row(spark, tmp_path):
+    values = [("a/b=c", "one\r\ntwo"), (None, "Straße"), ("x y", None), ("", "")]
+    rows = spark.createDataFrame(values, "source string, value string").repartition(2)
+    assert files.write_texts(rows, f"{tmp_path}/mine", by="source") == 4
+    rows.select("source", F.coalesce("value", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("source").text(f"{tmp_path}/spark")
+    def read(path):
+        return sorted((p.parent.name, p.read_bytes()) for p in pathlib.Path(path).rglob("part-*.txt"))
+    assert read(f"{tmp_path}/mine") == read(f"{tmp_path}/spark")
+    assert files.write_texts(rows.limit(0), f"file://{tmp_path}/none") == 0
+    assert files.write_texts(rows, f"file://{tmp_path}/flat") == 4
+    assert len(list((tmp_path / "flat").glob("part-*.txt"))) == 4
