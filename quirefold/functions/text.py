@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -37,6 +38,11 @@ COMBINING = "[\u0300-\u036f]"
 COMPATIBILITY_RANGES = [(0x00A0, 0x00C0), (0x2000, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row, however often `body` names it: a one-element transform."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines of a page: every kind of line end splits, and a final line end adds no empty line."""
     # All line ends become "\n" first, and only where a byte search finds others: most texts need no regex.
@@ -77,21 +83,19 @@ def split_sentences(text: Column) -> Column:
 
 def _packed(spaced: Column, max_words: int) -> Column:
     """Greedy packing of a single-spaced unit: its sentences are cut at blanks, and words count blanks."""
-    sentences = F.transform(
-        F.split(spaced, "(?<=[.?!]) ", -1), lambda s: F.struct(s.alias("text"), _words_in(s).alias("n"))
-    )
+    # only the blank is left of all white space: a line end can mark where sentences end, and no regex has to look back
+    marked = reduce(lambda t, end: F.replace(t, F.lit(f"{end} "), F.lit(f"{end}\n")), ".?!", spaced)
+    sentences = F.transform(F.split(marked, "\n", -1), lambda s: F.struct(s.alias("text"), _words_in(s).alias("n")))
 
     def start(text: Column, n: Column) -> Column:
         return F.struct(F.array().cast("array<string>").alias("done"), text.alias("text"), n.alias("n"))
 
     def add(acc: Column, s: Column) -> Column:
-        flush = acc["n"] + s["n"] > max_words
         glue = F.when((acc["n"] > 0) & (s["n"] > 0), " ").otherwise("")
-        return F.struct(
-            F.when(flush, F.concat(acc["done"], F.array(acc["text"]))).otherwise(acc["done"]).alias("done"),
-            F.when(flush, s["text"]).otherwise(F.concat(acc["text"], glue, s["text"])).alias("text"),
-            F.when(flush, s["n"]).otherwise(acc["n"] + s["n"]).alias("n"),
-        )
+        fits = acc["n"] + s["n"] <= max_words
+        more = F.struct(acc["done"].alias("done"), F.concat(acc["text"], glue, s["text"]).alias("text"), (acc["n"] + s["n"]).alias("n"))
+        done = F.concat(acc["done"], F.array(acc["text"]))
+        return F.when(fits, more).otherwise(F.struct(done.alias("done"), s["text"].alias("text"), s["n"].alias("n")))
 
     # Sentences are taken in slices, so that an accumulated array that is copied at each step stays short: the
     # slices carry the open part over, and finished parts are kept slice by slice.

@@ -28,12 +28,6 @@ def l2_normalize(vector: Column) -> Column:
     return F.element_at(scaled, 1)
 
 
-def vector_sum(vectors: Column, dim: int) -> Column:
-    """Element-wise sum of an array of vectors."""
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-
-
 def cosine_distance_of(product: Column, norm_a: Column, norm_b: Column) -> Column:
     """1 - cosine similarity from a dot product and two norms; a zero vector has similarity 0."""
     scale = norm_a * norm_b

@@ -1,10 +1,10 @@
 """Semantic chunking of documents that are one row each.
 
-Plan: one hash exchange of the documents on `title`, before they are cut into units, so that cutting and
-embedding are spread, and one of the units after the embedder's Python tasks, behind which Spark does not know
-the partitioning any more; with an additive embedder the units' counts travel in it. Every window and the final
-grouping work on that partitioning. A
-window group is the units of one input row, so the size of a row bounds it. Documents that are spread
+Plan, with an additive embedder: one hash exchange of the documents on `title`, in which rows of one title meet.
+Cutting, distances, threshold and chunks then work on arrays of that one row, so nothing as long as the units is
+sorted or exchanged, and vectors never leave the Arrow batch they are counted in. Other embedders get texts of
+windows, one row per unit, and their units are exchanged on `title` once more behind the Python tasks. Either way a
+title's units are the text of its input row, so the size of a row bounds them. Documents that are spread
 over many rows, and may be larger than a row, go through `operators.longform`.
 """
 
@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.functions.text import PARAGRAPH, is_not_blank
-from quirefold.functions.vectors import cosine_distance_of, dot, norm, round_to, vector_sum
+from quirefold.functions.text import PARAGRAPH, bound, is_not_blank, unit_array
+from quirefold.functions.vectors import cosine_distance_of, dot, norm, round_to
 from quirefold.operators.ordering import running_total_in_row_groups
 from quirefold.operators.splitting import MAX_WORDS, WINDOW_SEPARATOR, split_units
 
@@ -72,22 +72,60 @@ class Breakpoints:
             value = over(F.avg(metric)) + F.lit(float(self.amount)) * (quarters[1] - quarters[0])
         return value if self.digits is None else F.round(value, self.digits + 4)
 
+    def metrics(self, distances: Column) -> Column:
+        """The metric of every unit of a document, from the array of its distances."""
+        return gradients(distances, self.digits) if self.uses_gradient else distances
+
+    def threshold_of(self, metrics: Column) -> Column:
+        """`threshold`, or the rank that stands for it, over an array of metrics; nulls do not count."""
+        found = F.filter(metrics, lambda m: m.isNotNull())
+        if self.number_of_chunks is not None:
+            largest = F.sort_array(found, asc=False)
+            return bound(largest, lambda a: F.get(a, self.nth(F.size(a)) - 1))
+        if self.kind in ("percentile", "gradient"):
+            value = bound(F.sort_array(found), lambda a: percentile_of(a, self.amount / 100.0))
+        elif self.kind == "standard_deviation":
+            value = bound(found, lambda a: mean_of(a) + F.lit(float(self.amount)) * deviation_of(a))
+        else:
+            spread = bound(F.sort_array(found), lambda a: percentile_of(a, 0.75) - percentile_of(a, 0.25))
+            value = bound(found, mean_of) + F.lit(float(self.amount)) * spread
+        return value if self.digits is None else F.round(value, self.digits + 4)
+
+
+def percentile_of(ascending: Column, share: float) -> Column:
+    """The aggregate `percentile` of a sorted array."""
+    at = (F.size(ascending) - 1) * F.lit(share)
+    low, high = F.floor(at), F.ceil(at)
+    below, above = F.get(ascending, low.cast("int")), F.get(ascending, high.cast("int"))
+    return F.when(below == above, below).otherwise((high - at) * below + (at - low) * above)
+
+
+def mean_of(values: Column) -> Column:
+    """The aggregate `avg` of an array."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.size(values))
+
+
+def deviation_of(values: Column) -> Column:
+    """The aggregate `stddev_pop` of an array, by the same running moments."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n, delta = acc["n"] + 1.0, x - acc["mean"]
+        step = delta / n
+        return F.struct(n.alias("n"), (acc["mean"] + step).alias("mean"), (acc["m2"] + delta * (delta - step)).alias("m2"))
+
+    return F.aggregate(values, start, add, lambda acc: F.when(acc["n"] > 0, F.sqrt(acc["m2"] / acc["n"])))
+
 
 def window_vectors(
     units: DataFrame, embedder, buffer_size: int, by: list[str], measured: Column | None = None
 ) -> DataFrame:
     """Add `vec`, the vector of the text window around each unit, where `measured` holds.
 
-    With an additive embedder the window's vector is the sum of its units' vectors, so each unit is
-    hashed once. Other embedders get the window's text; they never see texts that are not measured.
+    The embedder never sees texts that are not measured. Additive embedders need no window texts: see `distances`.
     """
     around = Window.partitionBy(*by).orderBy("idx").rowsBetween(-buffer_size, buffer_size)
     measured = F.lit(True) if measured is None else measured
-    if embedder.additive:
-        units = units.withColumn("_counts", F.when(measured, embedder.counts(F.col("sentence"))))
-        return units.withColumn(
-            "vec", F.when(measured, vector_sum(F.collect_list("_counts").over(around), embedder.dim))
-        ).drop("_counts")
     combined = F.array_join(F.collect_list("sentence").over(around), WINDOW_SEPARATOR)
     return units.withColumn("_combined", F.when(measured, combined)).withColumn(
         "vec", embedder.embed(F.col("_combined"))
@@ -126,6 +164,85 @@ def gradient(by: list[str], digits: int | None = None) -> Column:
     return F.when(here.isNotNull(), _rounded(slope, None if digits is None else digits + 1))
 
 
+def rounded_distances(distances: Column, digits: int | None) -> Column:
+    return distances if digits is None else F.transform(distances, lambda x: round_to(x, digits))
+
+
+def gradients(distances: Column, digits: int | None = None) -> Column:
+    """`gradient` over an array of distances."""
+
+    def slope(x: Column, i: Column) -> Column:
+        prev, nxt = F.get(distances, i - 1), F.get(distances, i + 1)
+        found = F.when(prev.isNull(), nxt - x).when(nxt.isNull(), x - prev).otherwise((nxt - prev) / 2)
+        return F.when(x.isNotNull(), _rounded(found, None if digits is None else digits + 1))
+
+    return F.transform(distances, slope)
+
+
+def place(i: Column) -> tuple[Column, Column]:
+    """`idx` and input row of the unit at position `i` of `measured_documents`."""
+    at = F.get("_at", i)
+    return F.coalesce(at["idx"], i), F.get("_rows", F.coalesce(at["row"], F.lit(0)))
+
+
+def measured_documents(
+    docs: DataFrame, breakpoints: Breakpoints, buffer_size: int, split_regex: str, max_words: int, embedder
+) -> DataFrame:
+    """One row per title: `_rows` (what its input rows carry, and their `n_units`), `_sentences`, `_at` (`idx` and input row
+    of every unit, null for a title of one row), and `_measured` with the arrays `distance`, `metric`, `is_break` and the `threshold`.
+
+    The exchange has as many parts as `spark.sql.shuffle.partitions`: narrowed by bytes there would be few more than
+    cores, and the work on a part is many times that of reading it.
+    """
+    carried = [c for c in docs.columns if c not in ("title", "text")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    titles = docs.repartition(parts, "title").groupBy("title").agg(F.collect_list(F.struct(*carried, "text")).alias("_rows"))
+    none = F.array().cast("array<string>")
+    cut = F.transform(
+        "_rows",
+        lambda r: F.struct(
+            *[r[c].alias(c) for c in carried], F.coalesce(unit_array(r["text"], split_regex, max_words), none).alias("_units")
+        ),
+    )
+    titles = titles.select("title", cut.alias("_cut"))
+    rows = F.transform("_cut", lambda r: F.struct(*[r[c].alias(c) for c in carried], F.size(r["_units"]).alias("n_units")))
+    units = F.flatten(
+        F.transform(
+            "_cut",
+            lambda r, i: F.transform(r["_units"], lambda u, k: F.struct(k.alias("idx"), u.alias("sentence"), i.alias("row"))),
+        )
+    )
+    met = F.when(F.size("_cut") > 1, F.array_sort(units))  # null for a title of one row, whose units are in order
+    titles = titles.select("title", rows.alias("_rows"), F.get("_cut", F.lit(0))["_units"].alias("_own"), met.alias("_met"))
+    titles = titles.select(
+        "title",
+        "_rows",
+        F.transform("_met", lambda u: F.struct(u["idx"].alias("idx"), u["row"].alias("row"))).alias("_at"),
+        F.coalesce(F.transform("_met", lambda u: u["sentence"]), "_own").alias("_sentences"),
+    )
+    heard = F.transform("_sentences", lambda s, i: F.when(place(i)[1]["n_units"] > breakpoints.bypass_units, s))
+    all_heard = F.col("_at").isNull() & (F.size("_sentences") > breakpoints.bypass_units)
+    heard = F.when(all_heard, F.col("_sentences")).otherwise(heard)
+    titles = titles.withColumn("_distances", embedder.distances(heard, buffer_size))
+
+    def facts(distances: Column, metrics: Column, threshold: Column) -> Column:
+        def breaks(metric: Column, i: Column) -> Column:
+            idx, row = place(i)
+            apart = (row["n_units"] <= breakpoints.bypass_units) & (idx < row["n_units"] - 1)
+            return F.coalesce(metric > threshold, apart)
+
+        return F.struct(
+            distances.alias("distance"), metrics.alias("metric"), threshold.alias("threshold"),
+            F.transform(metrics, breaks).alias("is_break"),
+        )
+
+    measured = bound(
+        rounded_distances(F.col("_distances"), breakpoints.digits),
+        lambda d: bound(breakpoints.metrics(d), lambda m: bound(breakpoints.threshold_of(m), lambda t: facts(d, m, t))),
+    )
+    return titles.withColumn("_measured", measured).drop("_distances")
+
+
 def measure_units(
     docs: DataFrame,
     breakpoints: Breakpoints,
@@ -135,9 +252,29 @@ def measure_units(
     embedder=None,
 ) -> DataFrame:
     """Units with `distance`, `metric`, `threshold` and `is_break`."""
+    embedder = embedder or HashEmbedder()
+    if embedder.additive:
+        titles = measured_documents(docs, breakpoints, buffer_size, split_regex, max_words, embedder)
+        kept = [c for c in docs.columns if c not in ("title", "text")]
+
+        def unit(sentence: Column, i: Column) -> Column:
+            facts = [F.get(F.col("_measured")[c], i).alias(c) for c in ("distance", "metric", "is_break")]
+            idx, row = place(i)
+            return F.struct(row.alias("_row"), idx.alias("idx"), sentence.alias("sentence"), *facts)
+
+        # the outer form keeps the optimizer from adding a filter that computes the whole array once more
+        units = titles.select(
+            "title", F.col("_measured")["threshold"].alias("threshold"), F.transform("_sentences", unit).alias("_units")
+        ).select("title", "threshold", F.explode_outer("_units").alias("_unit"))
+        return units.where(F.col("_unit").isNotNull()).select(
+            *["title" if c == "title" else F.col(f"_unit._row.`{c}`") for c in docs.columns if c == "title" or c in kept],
+            *[F.col(f"_unit.{c}") for c in ("_row.n_units", "idx", "sentence", "distance", "metric")],
+            "threshold",
+            F.col("_unit.is_break"),
+        )
     units = split_units(docs.repartition("title"), split_regex, max_words)
     measured = F.col("n_units") > breakpoints.bypass_units
-    units = window_vectors(units, embedder or HashEmbedder(), buffer_size, ["title"], measured)
+    units = window_vectors(units, embedder, buffer_size, ["title"], measured)
     units = neighbour_distances(units, ["title"], breakpoints.digits)
     metric = gradient(["title"], breakpoints.digits) if breakpoints.uses_gradient else F.col("distance")
     whole = Window.partitionBy("title")
@@ -162,6 +299,43 @@ def join_units(numbered: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
+def joined_chunks(titles: DataFrame, carried: list[str], by_metric: bool = False) -> DataFrame:
+    """Chunks of `measured_documents`: the units up to each break, joined with one space.
+
+    `by_metric` says that units of one `idx`, which only titles of several rows have, follow each other by falling metric.
+    """
+    if by_metric:
+        met = F.transform(
+            F.arrays_zip("_at", "_sentences", F.col("_measured")["metric"].alias("m"), F.col("_measured")["is_break"].alias("b")),
+            lambda u: F.struct(u["_at"]["idx"].alias("idx"), u["m"].isNull().alias("none"), (-u["m"]).alias("m"), u.alias("u")),
+        )
+        met = F.when(F.col("_at").isNotNull(), F.transform(F.array_sort(met), lambda x: x["u"]))
+        titles = titles.withColumn("_met", met).select(
+            "title",
+            "_rows",
+            F.transform("_met", lambda u: u["_at"]).alias("_at"),
+            F.coalesce(F.transform("_met", lambda u: u["_sentences"]), "_sentences").alias("_sentences"),
+            F.struct(F.coalesce(F.transform("_met", lambda u: u["b"]), F.col("_measured")["is_break"]).alias("is_break")).alias("_measured"),
+        )
+    breaks = F.filter(F.transform(F.col("_measured")["is_break"], lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+
+    def chunk(first: Column, last: Column, k: Column) -> Column:
+        return F.struct(
+            k.alias("chunk_idx"),
+            place(first)[1].alias("_row"),
+            F.array_join(F.slice("_sentences", first + 1, last - first + 1), " ").alias("chunk"),
+        )
+
+    def chunks(ends: Column) -> Column:
+        return F.transform(ends, lambda e, k: bound(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)), lambda s: chunk(s, e, k)))
+
+    ends = F.when(F.size("_sentences") > 0, F.concat(breaks, F.array(F.size("_sentences") - 1)))
+    cut = titles.select("title", bound(ends, chunks).alias("_chunks")).select("title", F.explode_outer("_chunks").alias("_chunk"))
+    return cut.where(F.col("_chunk").isNotNull()).select(
+        "title", F.col("_chunk.chunk_idx"), *[F.col(f"_chunk._row.`{c}`") for c in carried], F.col("_chunk.chunk")
+    )
+
+
 def semantic_chunk(
     docs: DataFrame,
     buffer_size: int = 1,
@@ -181,6 +355,11 @@ def semantic_chunk(
     """
     breakpoints = Breakpoints(breakpoint_threshold_type, breakpoint_threshold_amount, number_of_chunks, digits)
     carried = [c for c in docs.columns if c not in ("title", "text")]
+    embedder = embedder or HashEmbedder()
+    if embedder.additive:
+        titles = measured_documents(docs, breakpoints, buffer_size, sentence_split_regex, max_words, embedder)
+        chunks = joined_chunks(titles, carried, number_of_chunks is not None)
+        return with_start_index(chunks) if add_start_index else chunks
     units = measure_units(docs, breakpoints, buffer_size, sentence_split_regex, max_words, embedder)
     numbered = running_total_in_row_groups(units, ["title"], "idx", F.col("is_break"), "chunk_idx")
     chunks = join_units(numbered.withColumn("chunk_idx", F.col("chunk_idx").cast("int")), carried)

@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quirefold.functions.embedders import HashEmbedder
-from quirefold.functions.text import PARAGRAPH, ascii_fold, packed_parts, single_spaced, word_count
-from quirefold.operators.chunking import Breakpoints, gradient, join_units, neighbour_distances, window_vectors
+from quirefold.functions.text import PARAGRAPH, ascii_fold, bound, packed_parts, single_spaced, word_count
+from quirefold.operators.chunking import (
+    Breakpoints, gradient, join_units, neighbour_distances, rounded_distances, window_vectors,
+)
 from quirefold.operators.ordering import BLOCK, attach_facts, block_of, running_total
 from quirefold.operators.packing import greedy_cuts
 from quirefold.operators.selection import order_statistics, percentiles
@@ -140,6 +142,20 @@ def paragraph_units(
     )
 
 
+def _array_distances(
+    rows: DataFrame, by: list[str], breakpoints: Breakpoints, buffer_size: int, embedder, block: int
+) -> DataFrame:
+    """`block_distances` with each block and its neighbours as one array, whose vectors stay in the embedder's batch."""
+    blocks = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("_units"))
+    blocks = blocks.withColumn("_distances", embedder.distances(F.transform("_units", lambda u: u["sentence"]), buffer_size))
+    measured = bound(rounded_distances(F.col("_distances"), breakpoints.digits), breakpoints.metrics)
+    blocks = blocks.select("title", "_block", "_units", measured.alias("_metrics"))
+    units = F.transform("_units", lambda u, i: F.struct(u["idx"].alias("idx"), u["sentence"].alias("sentence"), F.get("_metrics", i).alias("metric")))
+    own = F.filter(units, lambda u: block_of(u["idx"], block) == F.col("_block"))
+    found = blocks.select("title", F.explode_outer(own).alias("_unit"))
+    return found.where(F.col("_unit").isNotNull()).select("title", "_unit.idx", "_unit.sentence", "_unit.metric")
+
+
 def block_distances(
     units: DataFrame, breakpoints: Breakpoints, buffer_size: int = 1, embedder=None, block: int = BLOCK
 ) -> DataFrame:
@@ -153,7 +169,10 @@ def block_distances(
     last = block_of(F.col("idx") + before, block)
     rows = units.withColumn("_block", F.explode(F.sequence(first, last)))
     by = ["title", "_block"]
-    rows = window_vectors(rows, embedder or HashEmbedder(), buffer_size, by)
+    embedder = embedder or HashEmbedder()
+    if embedder.additive:
+        return _array_distances(rows, by, breakpoints, buffer_size, embedder, block)
+    rows = window_vectors(rows, embedder, buffer_size, by)
     rows = neighbour_distances(rows, by, breakpoints.digits)
     metric = gradient(by, breakpoints.digits) if breakpoints.uses_gradient else F.col("distance")
     return (

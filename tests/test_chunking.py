@@ -8,9 +8,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
+from quirefold.functions import embedders
 from quirefold.functions.embedders import HashEmbedder, ModelEmbedder
 from quirefold.functions.text import ascii_fold, fold_text, is_not_blank, packed_parts, split_sentences, unit_array, word_count
 from quirefold.functions.vectors import l2_normalize
@@ -375,3 +377,56 @@ def test_fold_text_is_ascii_fold(spark):
     texts = ["a" + chr(c) + "B" for c in [*range(1, 0x0600), *range(0x1D00, 0x2300), *range(0xFB00, 0xFB10), *range(0xFF00, 0xFFF0)]]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_fold(F.col("t")).alias("f")).collect()
     assert [r["f"] for r in rows] == [fold_text(r["t"]) for r in rows]
+
+
+def test_units_of_a_document_are_neither_sorted_nor_exchanged(spark):
+    """Distances, thresholds and chunks work on arrays of the one row of a title; vectors stay in the Arrow batch."""
+    table = docs(spark, "\n".join(LINES), "x y\nz")
+    for cut in (
+        chunking.semantic_chunk(table, sentence_split_regex="\n"),
+        chunking.measure_units(table, chunking.Breakpoints(), split_regex="\n"),
+    ):
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
+        assert "Window" not in plan
+
+
+def test_blocks_of_pages_are_arrays(spark):
+    units = spark.createDataFrame([("t", i, line) for i, line in enumerate(LINES)], "title string, idx long, sentence string")
+    cut = longform.block_distances(units, chunking.Breakpoints(), block=3)
+    assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()
+    whole = measured(spark, LINES)
+    assert [r["metric"] for r in cut.orderBy("idx").collect()] == [r["metric"] for r in whole]
+
+
+@pytest.mark.parametrize("buffer_size", [0, 1, 3])
+def test_distances_over_slices_and_lists(monkeypatch, buffer_size):
+    """Slices of five texts, lists of many lengths, texts that are null, a batch that is a part of another."""
+    monkeypatch.setattr(embedders, "SLICE_TEXTS", 5)
+    draw = random.Random(buffer_size)
+    lists = [[draw.choice(["a b", "b", "c d d", "", "É e", None]) for _ in range(n)] for n in (4, 0, 1, 17, 2, 5, 11)]
+    texts, ends = pa.array(sum(lists, []), pa.string()), np.cumsum([0, *map(len, lists)])
+    buckets = embedders._Buckets(64)
+    got = embedders._window_distances(texts, ends, buffer_size, buckets).to_pylist()
+    want = []
+    for texts_of_one in lists:
+        counts = embedders._word_counts([t or "" for t in texts_of_one], buckets) if texts_of_one else []
+        for i, text in enumerate(texts_of_one):
+            if i + 1 == len(texts_of_one) or text is None or texts_of_one[i + 1] is None:
+                want.append(None)
+                continue
+            a, b = (counts[max(k - buffer_size, 0) : k + buffer_size + 1].sum(axis=0) for k in (i, i + 1))
+            scale = np.sqrt(a @ a) * np.sqrt(b @ b)
+            want.append(1.0 - (a @ b / scale if scale else 0.0))
+    assert got == want
+
+
+def test_rows_of_one_title_meet(spark):
+    """Units of both rows are ordered by their number in the row; a row without text adds none."""
+    rows = [("t", "z", "a\nb\nc"), ("t", "z", "a\nb\nc"), ("t", "z", None), ("u", "z", None)]
+    table = spark.createDataFrame(rows, "title string, zip_name string, text string")
+    units = chunking.measure_units(table, chunking.Breakpoints(), split_regex="\n").orderBy("idx").collect()
+    assert [(r["idx"], r["n_units"], r["sentence"]) for r in units] == [(i, 3, x) for i, x in enumerate("abc") for _ in "12"]
+    assert sum(r["distance"] is None for r in units) == 1
+    chunks = chunking.semantic_chunk(table, sentence_split_regex="\n").orderBy("chunk_idx").collect()
+    assert " ".join(r["chunk"] for r in chunks) == "a a b b c c" and {r["zip_name"] for r in chunks} == {"z"}
