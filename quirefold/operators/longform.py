@@ -118,7 +118,8 @@ def paragraph_units(
     parts = packed_parts(F.col("paragraph"), max_words)
     sizes = pieces.where("border").groupBy("title", "par").agg(F.sum(F.length("piece")).alias("chars"))
     if sizes.where(F.col("chars") > whole_chars).isEmpty():
-        rows = joined_paragraphs(pieces).select("title", "par", parts.alias("parts"))
+        # written, as the running total reads it twice and packing is its work
+        rows = stage(joined_paragraphs(pieces).select("title", "par", parts.alias("parts")), "parts")
     else:
         long = stage(long_paragraphs(pieces, max_words, whole_chars), "long-paragraphs")
         marked = pieces.join(long.withColumn("_long", F.lit(True)), ["title", "par"], "left")
