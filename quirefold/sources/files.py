@@ -5,10 +5,14 @@ Every read has an explicit schema, so a title that looks like a number stays a s
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +20,12 @@ from quirefold import schemas
 from quirefold.operators.cleaning import title_of
 from quirefold.operators.ordering import dense_index, place_in_order
 from quirefold.session import stage
-from quirefold.sources.archives import opened
+from quirefold.sources.archives import BATCH_BYTES, opened
+
+PATTERN_MATCHES = 10_000  # matches of a pattern that the driver hands to the tasks
+LISTED_FILES = 10_000  # names, or texts, that a task sends on at a time
+# Fixed value: the characters of a path that a URI escapes.
+NOT_IN_URI = r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -25,16 +34,113 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """All `*.txt` files of a folder, one row per file, with line ends normalised: `(title, zip_name, text)`."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    location = F.col("_metadata.file_path")
+    """All `*.txt` files of a folder, one row per file, with line ends normalised: `(title, zip_name, text)`.
+
+    The files are listed by tasks, when this is called, and their names written; the driver knows the folder alone, or
+    what `path` matches if it is a pattern: give patterns that name folders. Empty and hidden files have no rows. Paths
+    that `pyarrow.fs` does not open, and patterns of very many matches, are listed by Spark on the driver.
+    """
+    roots = _folders_to_list(spark, path)
+    if roots is None:
+        files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+        files = files.select("value", F.col("_metadata.file_path").alias("location"))
+    else:
+        listed = spark.createDataFrame([(root,) for root in roots], "root string").mapInArrow(_listed, "root string, path string")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        names = stage(listed, "text-files", compression="zstd").repartition(parts, "path")
+        files = names.mapInArrow(_contents, "location string, value binary")
+    location = F.col("location")
     return files.select(
         title_from_path(location).alias("title"),
         folder_from_path(location).alias("zip_name"),
-        F.regexp_replace("value", "\r\n?", "\n").alias("text"),
+        F.regexp_replace(F.col("value").cast("string"), "\r\n?", "\n").alias("text"),
     )
 
 
+def _folders_to_list(spark: SparkSession, path: str) -> list[str] | None:
+    """The folders (or files) that `path` names, as tasks open them; None if Spark has to list them."""
+    asked = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = asked.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = system.globStatus(asked.makeQualified(system.getUri(), system.getWorkingDirectory()))
+    if not found or len(found) > PATTERN_MATCHES:
+        return None  # Spark says that there is nothing
+    uris = [status.getPath().toUri() for status in found]
+    roots = ["file:" + u.getPath() if u.getScheme() == "file" else u.toString() for u in uris]
+    try:
+        opened(roots[0])
+    except (pa.ArrowException, OSError, NotImplementedError):
+        return None
+    return roots
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, str, bool]]:
+    """(name, path, is a folder) of what lies in a folder; names of a local one are read as they come."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                yield entry.name, entry.path, entry.is_dir()
+    else:
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            yield info.base_name, info.path, info.type == fs.FileType.Directory
+
+
+def _text_paths(system: fs.FileSystem, folder: str, wanted: bool = True, keyed: bool = False) -> Iterator[str]:
+    """Visible `*.txt` files of a folder, and those anywhere below a folder `key=value`, as Spark lists them."""
+    for name, path, is_folder in _entries(system, folder):
+        if not is_folder:
+            if wanted and _is_text(name):
+                yield path
+        elif _is_visible(name):
+            inside = keyed or "=" in name
+            yield from _text_paths(system, path, inside, inside)
+
+
+def _is_visible(name: str) -> bool:
+    return name[0] != "." and (name[0] != "_" or "=" in name)
+
+
+def _is_text(name: str) -> bool:
+    return name.endswith(".txt") and _is_visible(name)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the text files of each folder, or the file itself."""
+    for root in (root for batch in batches for root in batch.column("root").to_pylist()):
+        system, inside = opened(root)
+        info = system.get_file_info(inside)
+        if info.is_file:
+            found = iter([inside] if _is_text(info.base_name) else [])
+        else:
+            found = _text_paths(system, inside or "/")
+        while paths := list(islice(found, LISTED_FILES)):
+            yield pa.RecordBatch.from_pydict({"root": [root] * len(paths), "path": paths})
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: name and bytes of each file that has any."""
+    systems, rows, held = {}, [], 0
+    schema = pa.schema([("location", pa.string()), ("value", pa.binary())])
+    for batch in batches:
+        for root, path in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            if root not in systems:
+                systems[root] = opened(root)[0]
+            with systems[root].open_input_stream(path, compression=None) as file:
+                value = file.read()
+            if value:
+                rows.append((_in_uri(path), value))
+                held += len(value)
+            if held >= BATCH_BYTES or len(rows) >= LISTED_FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+
+def _in_uri(path: str) -> str:
+    """A path as Spark writes it in `_metadata.file_path`: letters of all scripts stay."""
+    return re.sub(NOT_IN_URI, lambda m: quote(m[0], safe=""), path)
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 

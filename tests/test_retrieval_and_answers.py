@@ -9,6 +9,7 @@ import pathlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quirefold import schemas
@@ -619,3 +620,31 @@ def test_write_texts_makes_one_file_per_row(spark, tmp_path):
     assert files.write_texts(rows.limit(0), f"file://{tmp_path}/none") == 0
     assert files.write_texts(rows, f"file://{tmp_path}/flat") == 4
     assert len(list((tmp_path / "flat").glob("part-*.txt"))) == 4
+
+
+def test_text_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    names = ["a b%c#dé[x]{y}.txt", "q?r;s@u&v=w+x$y,z!~*'().txt", "pct%20.v2.txt", "p^`|<>.txt", "日本.txt", "_h.txt", "_h=1.txt", ".h.txt", "UP.TXT"]
+    below = ["k=1/sub/a.txt", "k=2/a.txt", "k=2/.hidden/a.txt", "k=2/_hidden/a.txt"]
+    for name in [f"flat b%c/{n}" for n in names + ["sub/in.txt"]] + [f"keyed/{n}" for n in below] + [f"under/x/{n}" for n in below]:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x\xff\r\ny\rz\n" + name.encode())
+    (tmp_path / "flat b%c" / "empty.txt").touch()
+    (tmp_path / "void").mkdir()
+
+    def by_spark(path):
+        found = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+        location = F.col("_metadata.file_path")
+        return found.select(
+            files.title_from_path(location), files.folder_from_path(location), F.regexp_replace("value", "\r\n?", "\n")
+        )
+
+    counts = {"flat b%c": 6, "keyed": 2, "keyed/*": 1, "under": 2, "void": 0, "flat b%c/pct%20.v2.txt": 1, "flat b%c/p*.txt": 2}
+    for place, n in counts.items():
+        texts = files.read_texts(spark, f"{tmp_path}/{place}")
+        assert not [f for f in texts.inputFiles() if f.endswith(".txt")]
+        found = sorted(map(tuple, texts.collect()))
+        assert len(found) == n and found == sorted(map(tuple, by_spark(f"{tmp_path}/{place}").collect()))
+    assert files.read_texts(spark, f"file://{tmp_path}/keyed").count() == 2
+    with pytest.raises(AnalysisException):
+        files.read_texts(spark, f"{tmp_path}/none")
