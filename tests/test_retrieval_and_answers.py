@@ -648,3 +648,64 @@ def test_text_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
     assert files.read_texts(spark, f"file://{tmp_path}/keyed").count() == 2
     with pytest.raises(AnalysisException):
         files.read_texts(spark, f"{tmp_path}/none")
+
+
+def test_answers_beside_the_generator_are_those_of_prompts_in_rows(spark, monkeypatch):
+    """Prompts, docs and replies of `answer_titles` against `retrieve`, `build_prompts` and `generate`, in small slices."""
+    rng = np.random.default_rng(5)
+    rows = [(f"a-{i}", "a", f"text {i}", rng.random(4).tolist()) for i in range(9)]
+    rows += [("b-1", "b", "one", [1.0, 0.0, 0.0, 1.0]), ("b-1", "b", "again", [1.0, 0.0, 0.0, 1.0]), (None, "b", "no id", [1.0] * 4)]
+    rows += [("c-0", "c", "no vector", None), ("c-1", "c", None, [0.0, 1.0, 0.0, 0.0]), ("d-0", "d", "only", None)]
+    store = spark.createDataFrame(rows, "id string, title string, chunk string, embedding array<double>")
+    titles = spark.createDataFrame([(t,) for t in ["a", "b", "c", "d", "e", None]], "title string")
+    questions = spark.createDataFrame([(i * 3 - 9, f"word{i % 5} w{i}") for i in range(70)], "q_idx int, question string")
+    embedder, asked = HashEmbedder(4), spark.sparkContext.accumulator(0)
+
+    def generator(system_text, prompts, **settings):
+        asked.add(len(prompts))
+        return [None if "w13\n" in p else f"{p} {sorted(settings.items())} {system_text}" for p in prompts]
+
+    hits = retrieval.retrieve(store, retrieval.embed_questions(questions, embedder), digits=6)
+    pairs = retrieval.title_question_pairs(titles, questions)
+    prompts = answering.build_prompts(pairs, retrieval.context_blocks(hits))
+    wanted = answering.generate(prompts, generator).drop("prompt").collect()
+    key = lambda r: (r["title"] or "", r["q_idx"])
+    for slice_, most in ((256, 1 << 13), (32, 40)):
+        monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", slice_)
+        monkeypatch.setattr(answering, "PROMPTS_AT_ONCE", most)
+        before = asked.value
+        found = answering.answer_titles(store, titles, questions, embedder, generator, digits=6)
+        assert found.count() == len(wanted) and sorted(found.collect(), key=key) == sorted(wanted, key=key)
+        assert asked.value - before == len(wanted)  # each prompt once, however often the answers are read
+
+
+def test_prompts_do_not_travel(spark):
+    """A title's chunks are handed to one Python step per slice of questions, and prompts are no column of the plan."""
+    docs = spark.createDataFrame([(f"t{i}", f"red fox {i}") for i in range(4)], "title string, chunk string")
+    store = docs.select(F.concat("title", F.lit("-0")).alias("id"), "title", "chunk", HashEmbedder(8).embed(F.col("chunk")).alias("embedding"))
+    questions = spark.createDataFrame([(i, f"fox {i}") for i in range(50)], "q_idx int, question string")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    answers = comparison.ask(store, docs.select("title"), questions, HashEmbedder(8), generator=answering.stub_generator)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+    replies = [name for name in set(os.listdir(folder)) - before if name.startswith("replies-")]
+    assert len(replies) == 1 and spark.read.parquet(f"{folder}/{replies[0]}").count() == 4
+    assert answers.count() == 200
+
+
+def test_citations_as_before(spark):
+    replies = {
+        "Answer: x.\nSource Chunks: 1.": [1], "Source Chunks: 1": [1], "a Source Chunks: 2,3. Source Chunks: 9.": [2, 3],
+        "Source Chunks: 1\n.": [1], "Source Chunks: \u20281\u2028.": [1], "Source Chunks: +2, -1 .": [2, -1], "Source Chunks: None.": None,
+        "Source Chunks: .": None, "Source Chunks: 1,.": None, "Source Chunks: 1 2.": None, "Source Chunks: 9999999999.": None,
+        "Source Chunks: 999999999.": [999999999], "Source Chunks: \u0661.": None, "no marker": None, "": None, None: None,
+        "\u00e9\u65e5 Source Chunks: 4.": [4], "Source Chunks:1.": None, "Source Chunks: 1Source Chunks: 2.": [1],
+    }
+    rows = spark.createDataFrame([(r,) for r in replies], "response string")
+    found = rows.select("response", answering.cited_numbers(F.col("response")).alias("n"), answering.answer_text(F.col("response")).alias("t")).collect()
+    assert {r["response"]: r["n"] for r in found} == replies
+    assert all(r["t"] == (r["response"] if r["response"] is None else r["response"].split("Source Chunks: ")[0]) for r in found)
+    docs = spark.createDataFrame([([1],), ([0],), ([-2],), ([3],), ([2, 1],), ([1, 3],), ([],), (None,)], "cited array<int>")
+    chunks = docs.select(answering.cited_chunks(F.col("cited"), F.array(F.lit("a"), F.lit("b")), "|", "-").alias("c"))
+    assert [r["c"] for r in chunks.collect()] == ["a", "b", "-", "-", "b|a", "-", "", "-"]
